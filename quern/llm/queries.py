@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality_rules, token_counts, url_filter
+from . import gif_media, jaccard_join, packing, piece_codec, quality_rules, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +15,32 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = gif_media.frames(gif_media.store(_table(spark, sf_dir, "documents"), ["doc_id"]))
+    payload = F.aggregate("frames", F.lit(b""), lambda found, frame: F.concat(found, frame["pixels"]))
+    counts = [F.aggregate("frames", F.lit(0).cast("long"), lambda n, frame, i=i: n + frame["red"][i]).cast("string") for i in range(8)]
+    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(" ms="), F.element_at("frames", 1)["delay_ms"], F.lit(" grey="), F.concat_ws(",", *counts))
+    out = read.select("doc_id", "n_bytes", "media", payload.alias("payload"), feature.alias("feature"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), ["doc_id"], keep_ids=False)
 
@@ -27,7 +49,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_token_counts, op8_best_fit_packing, op9_quality_rules)}
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces under dropout, as a digest, and the digest of what they decode to."""
+    coded = piece_codec.decode(piece_codec.encode(_table(spark, sf_dir, "documents"), ["doc_id"]))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_ALL = (op1_url_filter, op5_jaccard_join, op6_token_counts, op7_gif_media, op8_best_fit_packing, op9_quality_rules, op10_piece_codec)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _OP1 = r"""
 WITH rules(action, rule, h, p) AS (VALUES
