@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import by_bytes, utf8
 
@@ -268,10 +268,5 @@ def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frames(media: DataFrame) -> DataFrame:
     """The rows with screen_width, screen_height and frames of their column `media`."""
-    return media.mapInArrow(_framed, media.schema.add("screen_width", "integer").add("screen_height", "integer").add("frames", _frames_type()))
-
-
-def _frames_type():
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(_FRAME_SQL)
+    schema = T.StructType(list(media.schema.fields))
+    return media.mapInArrow(_framed, schema.add("screen_width", "integer").add("screen_height", "integer").add("frames", T.DataType.fromDDL(_FRAME_SQL)))

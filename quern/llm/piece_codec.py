@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import by_bytes, fold, utf8
 from .token_counts import shared, vocabulary
@@ -277,4 +277,5 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with `decoded`, the text of their column `ids`."""
-    return encoded.mapInArrow(_decoded(path or vocabulary("piece_bpe_32k.model")), encoded.schema.add("decoded", "string"))
+    schema = T.StructType(list(encoded.schema.fields)).add("decoded", "string")
+    return encoded.mapInArrow(_decoded(path or vocabulary("piece_bpe_32k.model")), schema)
