@@ -23,10 +23,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _shade(i: int):
+    return lambda frame: frame["red"][i]
+
+
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = gif_media.frames(gif_media.store(_table(spark, sf_dir, "documents"), ["doc_id"]))
     payload = F.aggregate("frames", F.lit(b""), lambda found, frame: F.concat(found, frame["pixels"]))
-    counts = [F.aggregate("frames", F.lit(0).cast("long"), lambda n, frame, i=i: n + frame["red"][i]).cast("string") for i in range(8)]
+    counts = [F.aggregate(F.transform("frames", _shade(i)), F.lit(0).cast("long"), lambda n, x: n + x).cast("string") for i in range(8)]
     feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(" ms="), F.element_at("frames", 1)["delay_ms"], F.lit(" grey="), F.concat_ws(",", *counts))
     out = read.select("doc_id", "n_bytes", "media", payload.alias("payload"), feature.alias("feature"))
     return out.select(
