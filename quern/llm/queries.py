@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import gif_media, html_extract, jaccard_join, packing, piece_codec, quality_rules, token_counts, toxicity, url_filter
+from . import gif_media, html_extract, jaccard_join, lm_scoring, packing, piece_codec, quality_rules, token_counts, toxicity, url_filter
 from .common import id_remainder
 
 
@@ -16,6 +16,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) == 2)
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -73,7 +77,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-_ALL = (op1_url_filter, op3_html_extraction, op4_toxicity, op5_jaccard_join, op6_token_counts, op7_gif_media, op8_best_fit_packing, op9_quality_rules, op10_piece_codec)
+_ALL = (op1_url_filter, op2_lm_scoring, op3_html_extraction, op4_toxicity, op5_jaccard_join, op6_token_counts, op7_gif_media, op8_best_fit_packing, op9_quality_rules, op10_piece_codec)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _OP1 = r"""
