@@ -294,3 +294,25 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     """`key`, n_shingles, component_id for each row of `docs`."""
     out = JaccardJoin(docs, key, text, n, percent).labelled()
     return out.select(F.col("__id").alias(key), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with the columns it had: that with the smallest id; a null id comes last.
+
+    A row is known by its id and a hash of all its columns, so equal ids of different texts stay apart; of
+    a row that is there several times one is kept. Rows with empty texts are linked with nothing and all stay.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*columns).alias("__row"), F.col(f"`{key}`").alias("id"), F.xxhash64(*columns).alias("h"), F.col(f"`{text}`").cast("string").alias("text"))
+    named = packed.select(F.struct(F.col("id").isNull().alias("no"), "id", "h").alias("k"), "text")
+    labelled = durable(JaccardJoin(named, "k", "text", n, percent).labelled())
+    kept = labelled.where((F.col("size") == 0) | (F.col("__id") == F.col("component")))
+    counted = durable(kept.groupBy("__id").agg(F.count("*").alias("times"), F.max("size").alias("size")))
+    single = counted.where("times = 1 or size = 0").select(F.col("__id.id").alias("of"), F.col("__id.h").alias("oh"))
+    again = counted.where("times > 1 and size > 0").select(F.col("__id.id").alias("of"), F.col("__id.h").alias("oh"))
+    same = (F.col("h") == F.col("oh")) & F.col("id").eqNullSafe(F.col("of"))
+    rows = packed.drop("text")
+    out = rows.join(single, same, "left_semi").select("__row.*")
+    if again.isEmpty():
+        return out
+    return out.unionByName(rows.join(again, same, "left_semi").select("__row.*").distinct())
