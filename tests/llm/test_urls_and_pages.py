@@ -1,0 +1,75 @@
+from quern.llm import html_extract, url_filter
+
+RULES = url_filter.RULES
+
+
+def brute(url, rules=RULES, default="allow"):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut]), rest[cut:]
+        path = rest.split("?")[0].split("#")[0]
+    best = None
+    for action, rule in rules:
+        h, slash, p = rule.partition("/")
+        if url and "://" in url and (host == h or host.endswith("." + h)) and path.startswith(slash + p):
+            if best is None or (len(rule), action == "block") > (len(best[1]), best[0] == "block"):
+                best = (action, rule)
+    return host, path, best and best[1], best[0] if best else default
+
+
+def test_urls_like_brute_force(spark):
+    urls = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/x?q#f", "http://www.example.com/en/", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/", "http://example.com", "http://com/", "x://a.com?/en/", "http://a..com/", "http://É.com/#", "http://a.com/b://c", "http://example.com/en", "http://sub.www.example.com/en/q", "line\nhttp://a.com/\nx"]
+    rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(0, None, "clash"), (4, urls[4], "clash"), (None, urls[5], None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string")
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect()), key=str)
+    assert got == sorted(((i, *brute(u)) for i, u, _ in rows), key=str)
+    assert url_filter.filter_urls(pages.limit(0), url_filter.rule_table(spark)).count() == 0
+
+
+def test_rules_of_any_shape(spark):
+    rules = [("block", "a.b.c/x/y"), ("allow", "c/x"), ("block", "b.c"), ("allow", "b.c"), ("allow", None)]
+    pages = spark.createDataFrame([(1, "http://a.b.c/x/yz"), (2, "http://b.c/"), (3, "http://q.c/xx"), (4, "http://d/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, rules)).collect()}
+    assert got == {1: ("a.b.c/x/y", "block"), 2: ("b.c", "block"), 3: ("c/x", "allow"), 4: (None, "allow")}
+    empty = url_filter.filter_urls(pages, url_filter.rule_table(spark, rules).limit(0))
+    assert {r["verdict"] for r in empty.collect()} == {"allow"}
+
+
+def test_main_text():
+    article = "<p>Running text, with some marks; it goes on. And on, as it does.</p>" * 3
+    page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header>Top</header><nav><a>Menu</a></nav>
+      <div class="cookie-notice">We use cookies, a lot of them. Really, we do; accept.</div><article><h1>Head</h1>{article}<p>Short</p>
+      <form><label>Name</label></form><div class="ad">Buy this, now. And that, too!</div><section id="comments"><p>I disagree, fully. Yes.</p></section></article>
+      <aside>Side</aside><footer>&copy; foot, 2020.</footer><script>if (a < b) "</p>"</script></body></html>"""
+    text = "Running text, with some marks; it goes on. And on, as it does."
+    assert html_extract.main_text(page) == "\n\n".join(["Head", text, text, text, "Short"])
+
+
+def test_main_text_without_semantic_tags():
+    story = "".join(f"<p>Sentence {i}, of the story; it is long enough. It ends here.</p>" for i in range(5))
+    page = f"<body><div class=menu><a>x</a></div><div><ul><li><a>One</a><li><a>Two</a></ul></div><div class=story>{story}<p>End.</p></div><div class=foot>c</div></body>"
+    assert html_extract.main_text(page).split("\n\n") == [f"Sentence {i}, of the story; it is long enough. It ends here." for i in range(5)] + ["End."]
+
+
+def test_markup_and_references():
+    assert html_extract.main_text("<p>a&nbsp;&lt;b&gt; &#x41;\n\t c<br>d<b>e</b><p>f") == "a <b> A c de\n\nf"
+    assert html_extract.main_text("") == "" and html_extract.main_text("<p> </p><script>x") == ""
+    assert html_extract.main_text("5 < 6 & 7") == "5 < 6 & 7"
+
+
+def test_pages_table(spark):
+    pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<p>x y</p>", "t"), (None, None, "", None)], "page_id long, url string, html string, text string")
+    got = sorted(html_extract.extract(pages, ["page_id", "url"]).collect(), key=str)
+    assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("", 0), ("x y", 3)]
+    assert html_extract.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+def test_articles_of_the_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in rows:
+        inner = r["html"].split("<article>")[1].split("</article>")[0]
+        first = inner.split("<h1>")[1].split("</h1>")[0].replace("&amp;", "&")
+        got = html_extract.main_text(r["html"])
+        assert got.startswith(first.strip()) and "&copy;" not in got and "©" not in got
