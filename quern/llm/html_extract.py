@@ -42,6 +42,9 @@ NAMED = frozenset(
     "header masthead footer sidebar aside widget widgets comment comments respond disqus replies reply notice notices cookie cookies consent gdpr alert popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended toolbar pagination pager search form complementary contentinfo".split()
 )
+#: What a reader's comment is called where it is an article of its own, and words that turn a name into its absence or mere presence.
+REMARKS = frozenset("comment comments reply replies respond".split())
+TURNED = frozenset("no not has with without is".split())
 #: Tags that an opening tag closes, as far up as the nearest of their containers.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 KEPT_BY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -67,9 +70,18 @@ class _Block:
         self.path, self.text, self.inside = path, text, inside
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The blocks of text in page order, without the parts that are never content."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, whether it or what is around it is dropped
+def _named(marks: str, names: frozenset[str]) -> bool:
+    """Whether a class, id or role names such a part: `site-footer` does, `no-sidebar` doesn't."""
+    parts = (_WORD.findall(m) for m in marks.split())
+    return any(p and p[0] not in TURNED and not names.isdisjoint(p) for p in parts)
+
+
+def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
+    """The blocks of text in page order, without the parts that are never content.
+
+    `lenient` takes no hints from names and lets forms through, for pages that are wrapped in such a part.
+    """
+    stack: list[tuple[str, str, str]] = []  # tag, label, why it or what is around it is dropped
     out: list[_Block] = []
     words: list[str] = []
 
@@ -151,10 +163,18 @@ def blocks_of(page: str) -> list[_Block]:
                 close(depth)
         flush()
         marks = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower() if attributes.strip() else ""
-        plain = name in ("html", "body", "article", "main")
-        dropped = (stack[-1][2] if stack else False) or name in DROPPED or (not plain and (bool(NAMED.intersection(_WORD.findall(marks))) or bool(_HIDDEN.search(attributes))))
+        plain = name in ("html", "body", "main")
+        around = stack[-1][2] if stack else ""
+        if around == "form" and name in ("article", "main"):
+            around = ""  # a form around a whole page
+        if not around and name in DROPPED and not (lenient and name == "form"):
+            around = name
+        if not around and not plain and not lenient and marks and _named(marks, REMARKS if name == "article" else NAMED):
+            around = "named"
+        if not around and _HIDDEN.search(attributes):
+            around = "hidden"
         if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-            stack.append((name, f"{name}.{marks}" if marks and not plain else name, dropped))
+            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around))
     flush()
     return out
 
@@ -179,7 +199,7 @@ def tag_path_ratios(blocks: list[_Block]) -> dict[tuple[str, ...], float]:
 
 def main_text(page: str) -> str:
     """The content blocks, joined by an empty line."""
-    blocks = blocks_of(page)
+    blocks = blocks_of(page) or blocks_of(page, True)
     if any(b.inside for b in blocks):
         blocks = [b for b in blocks if b.inside]
     if not blocks:

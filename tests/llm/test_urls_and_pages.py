@@ -53,6 +53,13 @@ def test_main_text_without_semantic_tags():
     assert html_extract.main_text(page).split("\n\n") == [f"Sentence {i}, of the story; it is long enough. It ends here." for i in range(5)] + ["End."]
 
 
+def test_wrapped_pages():
+    text = "Running text, with some marks; it goes on. And on, as it does."
+    assert html_extract.main_text(f"<form id=page><nav>m</nav><article class='post no-sidebar'><p>{text}</p><article class=comment><p>No, no.</p></article></article></form>") == text
+    assert html_extract.main_text(f"<body><form><nav>menu</nav><div class='has-sidebar'><p>{text}</p></div></form></body>") == text
+    assert html_extract.main_text(f"<div id=header-page><div><p>{text}</p></div></div>") == text
+
+
 def test_markup_and_references():
     assert html_extract.main_text("<p>a&nbsp;&lt;b&gt; &#x41;\n\t c<br>d<b>e</b><p>f") == "a <b> A c de\n\nf"
     assert html_extract.main_text("") == "" and html_extract.main_text("<p> </p><script>x") == ""
