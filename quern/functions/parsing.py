@@ -130,8 +130,3 @@ def normal_newlines(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
-
-
-def register(spark) -> None:
-    """The functions for use in SQL."""
-    spark.udf.register("parse_module", _parser())

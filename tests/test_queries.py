@@ -64,3 +64,12 @@ def test_filters_reach_the_scan_below_the_parser(spark, tmp_path, sample):
     physical = plan.split("== Physical Plan ==")[1]
     assert physical.count("ArrowEvalPython") == 1
     assert rows.count() == 2
+
+
+def test_functions_in_sql(spark):
+    from quern.functions.sql import register
+
+    register(spark)
+    row = spark.sql("""SELECT parse_module('def f(): pass').functions[0].name AS name, count_tokens('abcd') AS tokens,
+        apply_edit('x = 1\\n', 'replace_text', '{"old_text": "1", "new_text": "2"}', 'm.py').new_text AS text""").first()
+    assert (row["name"], row["tokens"], row["text"]) == ("f", 2, "x = 2\n")
