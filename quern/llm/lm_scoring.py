@@ -22,9 +22,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import WordHashes, fold, shuffle_parts, utf8
+from .common import fold, shuffle_parts, utf8
 
 ORDER = 2
 #: Strength of each order's prior, from order 2 on (the last one holds for all further orders).
@@ -33,7 +34,6 @@ BLOCK_BYTES = 24 << 20
 #: Steps that a text is traversed at once; longer ones go on in further lanes, warmed up with what came before.
 LANE = 2048
 _END, _START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-_MEMO = WordHashes()
 
 
 class BlockGrams:
@@ -45,33 +45,36 @@ class BlockGrams:
 
     def __init__(self, texts: list[bytes], order: int):
         ids: dict[bytes, int] = {}
-        parts, hashes = [], [_START, _END]
+        parts = []
         for text in texts:
             words = text.lower().split()
-            own = np.empty(len(words) + 2, np.int64)
+            own = np.empty(len(words) + 2, np.int32)
             own[0], own[-1] = 0, 1
             own[1:-1] = [ids.setdefault(w, len(ids) + 2) for w in words]
             parts.append(own)
-        hashes += [_MEMO[w] for w in ids]
-        self.words = np.array(hashes, np.uint64)
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.words = np.array([_START, _END, *map(xxhash.xxh3_64_intdigest, ids)], np.uint64)
+        del ids
+        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.lengths = np.array([len(p) for p in parts], np.int64)
+        del parts
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.size = len(self.words)
         n = len(self.tokens)
-        inside = np.arange(n) - np.repeat(self.starts, self.lengths)
-        self.at, self.prefix, self.suffix, self.last, self.keys, self.hashes = [self.tokens.copy()], [None], [None], [np.arange(self.size)], [None], [self.words]
+        self.at, self.prefix, self.suffix, self.last, self.hashes = [self.tokens], [None], [None], [np.arange(self.size, dtype=np.int32)], [self.words]
+        reaches = np.ones(n, bool)
         for k in range(1, order):
-            here = np.flatnonzero(inside >= k)
-            keys = self.at[k - 1][here - 1] * self.size + self.tokens[here]
+            behind = self.starts + k - 1
+            reaches[behind[self.lengths >= k]] = False
+            here = np.flatnonzero(reaches)
+            keys = self.at[k - 1][here - 1] * np.int64(self.size) + self.tokens[here]
             keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
-            at = np.full(n, -1, np.int64)
+            at = np.full(n, -1, np.int32)
             at[here] = number
-            self.at.append(at)
-            self.keys.append(keys)
-            self.prefix.append(keys // self.size)
-            self.last.append(keys % self.size)
             self.suffix.append(self.at[k - 1][here[first]])
+            del here, number, first
+            self.at.append(at)
+            self.prefix.append((keys // self.size).astype(np.int32))
+            self.last.append((keys % self.size).astype(np.int32))
             self.hashes.append(fold(self.hashes[k - 1][self.prefix[k]], self.words[self.last[k]]))
 
     def counts(self, k: int, train: np.ndarray) -> np.ndarray:
@@ -103,10 +106,10 @@ class BackoffAutomaton:
         states, made = [], 1
         for k in range(max(top, 1)):
             seen = counts[k] > 0
-            number = np.where(seen, np.cumsum(seen) - 1 + made, 0)
+            number = np.where(seen, np.cumsum(seen) - 1 + made, 0).astype(np.int32)
             made += int(seen.sum())
             states.append(number)
-        self.failure, self.weight = np.zeros(made, np.int64), np.zeros(made)
+        self.failure, self.weight = np.zeros(made, np.int32), np.zeros(made)
         keys, values, targets = [], [], []
         self.after_root = states[0]
         for k in range(1, top + 1):
@@ -115,7 +118,7 @@ class BackoffAutomaton:
             p = (counts[k] + m * probability[k - 1][grams.suffix[k]]) / (context + m)
             probability.append(p)
             seen = counts[k] > 0
-            keys.append(states[k - 1][grams.prefix[k][seen]] * self.words + grams.last[k][seen])
+            keys.append(states[k - 1][grams.prefix[k][seen]] * np.int64(self.words) + grams.last[k][seen])
             values.append(np.log10(p[seen]))
             targets.append(states[k][seen] if k < top else states[k - 1][grams.suffix[k][seen]])
         for k in range(max(top, 1)):
@@ -127,7 +130,7 @@ class BackoffAutomaton:
         order = np.argsort(keys)
         self.keys = np.concatenate((keys[order], [np.iinfo(np.int64).max]))
         self.values = np.concatenate((np.concatenate(values)[order] if values else np.zeros(0), [0.0]))
-        self.targets = np.concatenate((np.concatenate(targets)[order] if targets else np.zeros(0, np.int64), [0]))
+        self.targets = np.concatenate((np.concatenate(targets)[order] if targets else np.zeros(0, np.int32), np.zeros(1, np.int32)))
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each lane's word, and its next state."""
@@ -147,7 +150,7 @@ class BackoffAutomaton:
             falls = ~(arc | root)
             rest, state = rest[falls], state[falls]
             score[rest] += self.weight[state]
-            state = self.failure[state]
+            state = self.failure[state].astype(np.int64)
         return score, out
 
 
@@ -186,7 +189,7 @@ _TOLD = "block int, bucket int, n int, counts binary, total long, distinct long"
 def _read(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
     """A block's rows in an order of their own, however they came."""
     table = table.append_column("__size", pa.array([len(x) for x in utf8(table["__text"])], pa.int64())).sort_by([("__size", "ascending"), ("__id", "ascending"), ("__text", "ascending")])
-    return table, utf8(table["__text"]), table["__train"].to_numpy()
+    return table.drop_columns(["__text"]), utf8(table["__text"]), table["__train"].to_numpy()
 
 
 def _asking(order: int, buckets: int):
@@ -194,6 +197,7 @@ def _asking(order: int, buckets: int):
         block = table["block"][0].as_py()
         _, texts, train = _read(table)
         grams, rows = BlockGrams(texts, order), []
+        del texts, table
         for k in range(order):
             to, bounds = grams.routes(k, buckets)
             hashes, counts = grams.hashes[k][to], grams.counts(k, train).astype(np.uint32)[to]
@@ -241,7 +245,10 @@ def _answered(order: int, buckets: int, strengths: tuple[float, ...], out: pa.Sc
         if not left.num_rows:
             return out.empty_table()
         table, texts, _ = _read(left)
+        del left
         grams = BlockGrams(texts, order)
+        del texts
+        n = len(grams.lengths)
         told = {(b, k): c for b, k, c in zip(right["bucket"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist())}
         total, distinct = (sum(x for x in right[c].to_pylist() if x is not None) for c in ("total", "distinct"))
         counts = []
@@ -256,14 +263,12 @@ def _answered(order: int, buckets: int, strengths: tuple[float, ...], out: pa.Sc
         words = grams.lengths - 1
         unigrams = counts[0].copy()
         unigrams[0] = 0  # the start is a context, not a token
-        spread = np.repeat(np.arange(len(texts)), grams.lengths)
-        token = grams.tokens != 0
         logs = np.log10((unigrams + 1) / (total + distinct + 1))
-        base = np.bincount(spread[token], logs[grams.tokens[token]], len(texts))
-        known = np.bincount(spread[token], (unigrams > 0)[grams.tokens[token]], len(texts)).astype(np.int64)
-        # A start is seen as often as an end.
+        logs[0] = 0.0
+        base = np.add.reduceat(logs[grams.tokens], grams.starts)
+        known = np.add.reduceat((unigrams > 0).astype(np.int64)[grams.tokens], grams.starts)
         sums = traverse(BackoffAutomaton(grams, counts, total, distinct, strengths), grams, order)
-        made = [table["__id"], table["__held"], pa.array(words), pa.array(known), pa.array(np.full(len(texts), total)), pa.array(base), pa.array(sums)]
+        made = [table["__id"], table["__held"], pa.array(words), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(sums)]
         return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], out.names).cast(out)
 
     return score
