@@ -25,21 +25,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node hangs on one root and no root hangs on another."""
+    tips = edges.groupBy("u").agg(F.count("*").alias("n"))
+    roots = edges.select(F.col("v").alias("r")).distinct()
+    return tips.join(roots, F.col("u") == F.col("r"), "left").where("n > 1 or r is not null").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of `links` (u, v): root is the smallest node of its component."""
     edges = durable(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         edges = durable(_star(_star(edges, True), False))
-        now = _mark(edges)
-        if now == mark:
-            break
-        mark = now
     tips = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return tips.unionByName(roots)

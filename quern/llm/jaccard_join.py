@@ -3,7 +3,7 @@
 A document's set is that of its distinct word n-grams, as 64-bit hashes. Equal sets are one class from
 the start. The order of n-grams is rare first, by a count sketch of fixed size over all documents (ties: by
 hash); any fixed order gives whole results, this one gives few candidates. Two classes meet if an
-n-gram is in both prefixes, and only at the first such one, so a pair comes up once.
+n-gram is in both prefixes; a pair that meets in several is made one, so it is verified once.
 
 Links only have to connect: a pair whose classes are already in one component needs no verification. So
 the join runs in rounds: with each bucket's most central class, then with a sample of its classes, then
@@ -31,13 +31,12 @@ from .common import WordHashes, by_bytes, durable, fold, utf8, word_hashes
 from .components import components
 
 #: The sketch has 2^SKETCH_BITS counters, the bitmap 2^FILTER_BITS bits: fixed, however many rows there are.
-SKETCH_BITS, FILTER_BITS, SLICES = 21, 23, 64
-#: Classes of hashes whose counts bound the distance of two sets (the suffix filter).
-GROUPS = 16
+SKETCH_BITS, FILTER_BITS, SLICES = 22, 24, 64
+#: Groups of hashes whose counts bound the distance of two sets (the suffix filter): so many that even sets of
+#: several thousand n-grams of unlike texts differ by more than the similarity allows. Counts stop at 127, which only loosens the bound.
+GROUPS = 128
 #: One class of this many takes part in the sampled round.
 SAMPLE = 16
-#: Earlier shared n-grams that a row carries.
-BEFORE = 16
 _MEMO = WordHashes()
 
 
@@ -76,29 +75,32 @@ def _sketched(n: int):
             if found:
                 counts += np.bincount(_places(np.concatenate(found)), minlength=len(counts)).astype(np.uint32)
         if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(counts, SLICES)])], ["slice", "counts"])
+            # A task's counts stop at 255: enough for an order by rarity, whatever the order, results are whole.
+            parts = np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts])], ["slice", "counts"])
 
     return sketch
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counters of each slice that comes by."""
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """16-bit ranks from the sums of the counters of each slice that comes by: finer than a twentieth of an octave."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
             total.setdefault(k, np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64))
-            total[k] += np.frombuffer(counts, np.uint32)
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()])], ["slice", "counts"])
+            total[k] += np.frombuffer(counts, np.uint8)
+    for k, sums in total.items():
+        ranks = np.minimum(np.log2(sums.astype(np.float64) + 1) * 1000, 65535).astype(np.uint16)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ranks.tobytes()])], ["slice", "counts"])
 
 
 def rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """16-bit ranks of how often each place of the sketch is hit, over all rows: finer than a twentieth of an octave."""
-    parts = texts.mapInArrow(_sketched(n), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_added, "slice int, counts binary")
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    """How often each place of the sketch is hit, over all rows, as ranks."""
+    parts = texts.mapInArrow(_sketched(n), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_ranked, "slice int, counts binary")
+    ranks = np.zeros(1 << SKETCH_BITS, np.uint16)
     for row in parts.collect():  # SLICES rows of fixed size
-        total[row["slice"] * (len(total) // SLICES) :][: len(total) // SLICES] = np.frombuffer(row["counts"], np.uint64)
-    return np.minimum(np.log2(total.astype(np.float64) + 1) * 1000, 65535).astype(np.uint16)
+        ranks[row["slice"] * (len(ranks) // SLICES) :][: len(ranks) // SLICES] = np.frombuffer(row["counts"], np.uint16)
+    return ranks
 
 
 def least_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -106,30 +108,58 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
+def class_of(found: np.ndarray) -> int:
+    """A set's class: 64 bits of a digest. Two of n different sets share one with a chance below n^2 / 2^65."""
+    return int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True)
+
+
 def _prefixed(n: int, percent: int, ranks):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = ranks.value
         for batch in by_bytes(batches, "__text"):
-            sizes, digests, heads, centres, groups = [], [], [], [], []
+            sizes, classes, heads, centres, groups = [], [], [], [], []
             for found in shingle_sets(utf8(batch.column("__text")), n):
                 sizes.append(len(found))
                 if not len(found):
-                    for column in (digests, heads, centres, groups):
+                    for column in (classes, heads, centres, groups):
                         column.append(None)
                     continue
                 order = rank[_places(found)]
                 keep = len(found) - -(-percent * len(found) // 100) + 1
                 first = np.lexsort((found, order))[:keep]
-                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                classes.append(class_of(found))
                 heads.append(found[first].view(np.int64).tolist())
                 centres.append(float(order.mean()))
-                groups.append(np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).tolist())
-            made = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(centres, pa.float64()), pa.array(groups, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), *made], ["__id", "size", "digest", "head", "centre", "groups"])
+                counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+                groups.append(np.minimum(counts, 127).tolist())
+            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(centres, pa.float32()), pa.array(groups, pa.list_(pa.int8()))]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), *made], ["__id", "size", "class", "head", "centre", "groups"])
 
     return prefix
 
 
+def _met(shared):
+    """Cuts each prefix down to the n-grams in a bitmap; rows without any go."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            heads = batch.column("head")
+            flat, sizes = heads.flatten().to_numpy(), heads.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            on = _inside(bits, flat)
+            row, place, flat = row[on], place[on], flat[on]
+            counts = np.bincount(row, minlength=len(sizes))
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, place.astype(np.int32))]
+            names = [c for c in batch.schema.names if c != "head"]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *lists], [*names, "grams", "places"])
+            yield out.filter(pa.array(counts > 0))
+
+    return meet
+
+
 def _bits(ids: np.ndarray) -> np.ndarray:
     return (fold(ids.view(np.uint64), np.uint64(1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -137,7 +167,7 @@ def _bits(ids: np.ndarray) -> np.ndarray:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << FILTER_BITS, bool)
     for batch in batches:
-        seen[_bits(batch.column("id_hash").to_numpy())] = True
+        seen[_bits(batch.column(0).to_numpy())] = True
     for k, part in enumerate(np.split(np.packbits(seen), SLICES)):
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], ["slice", "bits"])
@@ -154,23 +184,28 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over `id_hash`."""
+    """A bitmap of fixed size over the hashes of a one-column table."""
     parts = ids.mapInArrow(_marked, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(_united, "slice int, bits binary")
     bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for row in parts.collect():  # at most SLICES rows of fixed size
         bits[row["slice"] * (len(bits) // SLICES) :][: len(bits) // SLICES] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(bits).astype(bool)
+    return bits
+
+
+def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _bits(hashes)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _wanted_sets(n: int, wanted):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in by_bytes(batches, "__text"):
-            batch = batch.filter(pa.array(bits[_bits(batch.column("id_hash").to_numpy())]))
+            batch = batch.filter(pa.array(_inside(bits, batch.column("id_hash").to_numpy())))
             if batch.num_rows:
                 found = shingle_sets(utf8(batch.column("__text")), n)
-                made = [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, ["digest", "hashes"])
+                made = [pa.array([class_of(x) if len(x) else None for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, ["class", "hashes"])
 
     return sets
 
@@ -198,96 +233,90 @@ class JaccardJoin:
         self.texts = docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(key)).alias("id_hash"), F.col(text).cast("string").alias("__text"))
         id_type = docs.select(key).schema[0].dataType.simpleString()
         ranks = self.spark.sparkContext.broadcast(rarity(self.texts.select("__text"), n))
-        made = self.texts.select("__id", "__text").mapInArrow(_prefixed(n, percent, ranks), f"__id {id_type}, size long, digest binary, head array<long>, centre double, groups array<int>")
+        made = self.texts.select("__id", "__text").mapInArrow(_prefixed(n, percent, ranks), f"__id {id_type}, size long, class long, head array<long>, centre float, groups array<tinyint>")
         self.rows = durable(made)
 
-    def classes(self) -> DataFrame:
-        """A row for each distinct set: digest, its smallest id, size, prefix, centre, group counts."""
-        rest = F.first(F.struct("size", "head", "centre", "groups")).alias("r")
-        return self.rows.where("size > 0").groupBy("digest").agg(rest, F.min(F.xxhash64("__id")).alias("id_hash")).select("digest", "r.*", "id_hash")
-
     def buckets(self) -> DataFrame:
-        """Prefix n-grams that two classes have at least, a row for each of their classes.
-
-        `before` has the class's last few n-grams of this kind before this one, for the test that a pair
-        meets here first; pairs that met further back are taken out as repeated.
-        """
-        classes = self.classes()
-        spread = classes.select("digest", "centre", F.posexplode("head").alias("place", "gram"))
+        """Prefix n-grams that two classes have at least, a row for each of their classes; sets `counts`."""
+        rows = self.rows.where("size > 0")
+        spread = rows.select("class", F.explode("head").alias("gram"))
+        met = spread.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
+        # The bitmap lets a few n-grams of one class through; they meet nobody.
+        shared = self.spark.sparkContext.broadcast(_bitmap(met))
+        own = rows.select("class", "size", "groups", "centre", F.xxhash64("__id").alias("id_hash"), "head")
+        fields = "class long, size long, groups array<tinyint>, centre float, id_hash long, grams array<long>, places array<int>"
+        per_class = own.mapInArrow(_met(shared), fields).groupBy("class").agg(F.first(F.struct("size", "groups", "centre", "grams", "places")).alias("r"), F.min("id_hash").alias("id_hash"))
+        per_class = durable(per_class.select("class", "id_hash", "r.*"))
+        self.counts = per_class.select("class", "groups")
+        level = F.pmod(F.xxhash64("class"), F.lit(SAMPLE)) == 0
+        wide = per_class.select("class", "size", "id_hash", "centre", level.alias("sampled"), F.explode(F.arrays_zip("grams", "places")).alias("x"))
+        wide = wide.select("class", "size", "id_hash", "centre", "sampled", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
         # The most central class of a bucket has the n-grams that the others share.
-        hubs = spread.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.struct("centre", "digest"))["digest"].alias("hub")).where("n > 1")
-        met = spread.select("digest", "place", "gram").join(hubs.select("gram", "hub"), "gram")
-        per_class = met.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("place", "gram", "hub"))).alias("all"))  # a prefix at most
-        joined = per_class.join(classes.select("digest", "size", "groups", "id_hash"), "digest")
-        grams = F.transform("all", lambda x: x["gram"])
-        wide = joined.select("digest", "size", "groups", "id_hash", grams.alias("grams"), F.posexplode("all").alias("i", "x"))
-        before = F.slice("grams", F.greatest(F.lit(1), F.col("i") - BEFORE + 1), F.least(F.col("i"), F.lit(BEFORE)))
-        level = F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0
-        return durable(wide.select("digest", "size", "groups", "id_hash", before.alias("before"), F.col("x.place").alias("place"), F.col("x.gram").alias("gram"), (F.col("x.hub") == F.col("digest")).alias("hub"), level.alias("sampled")))
+        hubs = wide.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.struct("centre", "class"))["class"].alias("hub")).where("n > 1").select("gram", "hub")
+        return durable(wide.join(hubs, "gram").withColumn("hub", F.col("hub") == F.col("class")).drop("centre"))
 
     def _pairs(self, left: DataFrame, right: DataFrame, also: Column) -> DataFrame:
-        """Candidates between different components that pass all filters, at the first n-gram that they share."""
+        """Candidates between different components that pass all filters, each once."""
         a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns])
         b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
         sa, sb, t = F.col("a_size"), F.col("b_size"), self.percent
-        need = least_overlap(sa, sb, t)
-        apart = F.aggregate(F.zip_with("a_groups", "b_groups", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
         meets = (
             (F.col("a_gram") == F.col("b_gram"))
             & (F.col("a_comp") != F.col("b_comp"))
             & also
             & (100 * sa >= t * sb)  # length
             & (100 * sb >= t * sa)
-            & (1 + F.least(sa - F.col("a_place") - 1, sb - F.col("b_place") - 1) >= need)  # position
-            & (apart <= sa + sb - 2 * need)  # suffix
-            & ~F.arrays_overlap("a_before", "b_before")
+            & (1 + F.least(sa - F.col("a_place") - 1, sb - F.col("b_place") - 1) >= least_overlap(sa, sb, t))  # position
         )
-        return a.join(b, meets).select(F.col("a_digest").alias("u"), F.col("b_digest").alias("v"), F.col("a_id_hash").alias("uid"), F.col("b_id_hash").alias("vid")).distinct()
+        met = a.join(b, meets).select(F.col("a_class").alias("u"), F.col("b_class").alias("v"), F.col("a_id_hash").alias("uid"), F.col("b_id_hash").alias("vid"), (sa + sb - 2 * least_overlap(sa, sb, t)).alias("apart")).distinct()
+        met = met.join(self.counts.select(F.col("class").alias("u"), F.col("groups").alias("gu")), "u").join(self.counts.select(F.col("class").alias("v"), F.col("groups").alias("gv")), "v")
+        apart = F.aggregate(F.zip_with("gu", "gv", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+        return met.where(apart <= F.col("apart")).select("u", "v", "uid", "vid")  # suffix
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar. Sets are made again from the texts of the classes in question only."""
-        pairs = durable(pairs)
         ids = pairs.select(F.col("uid").alias("id_hash")).unionByName(pairs.select(F.col("vid").alias("id_hash")))
         wanted = self.spark.sparkContext.broadcast(_bitmap(ids))
-        sets = self.texts.select("id_hash", "__text").mapInArrow(_wanted_sets(self.n, wanted), "digest binary, hashes binary")
-        inside = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
+        sets = self.texts.select("id_hash", "__text").mapInArrow(_wanted_sets(self.n, wanted), "class long, hashes binary")
+        inside = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
         # Copies of a text make the same set again: one of them is enough.
-        sets = sets.join(inside, "digest", "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes"))
-        with_v = pairs.select("u", "v").join(sets.select(F.col("digest").alias("v"), F.col("hashes").alias("right")), "v")
-        full = with_v.join(sets.select(F.col("digest").alias("u"), F.col("hashes").alias("left")), "u")
-        return durable(full.select("u", "v", "left", "right").mapInArrow(_verified(self.percent), "u binary, v binary"))
+        sets = sets.join(inside, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes"))
+        with_v = pairs.select("u", "v").join(sets.select(F.col("class").alias("v"), F.col("hashes").alias("right")), "v")
+        full = with_v.join(sets.select(F.col("class").alias("u"), F.col("hashes").alias("left")), "u")
+        return durable(full.select("u", "v", "left", "right").mapInArrow(_verified(self.percent), "u long, v long"))
 
     def roots(self) -> DataFrame:
         """node, root: each class that is linked, and its component's smallest class."""
-        buckets, links, found = self.buckets(), None, None
-        a_hub, b_hub, a_in, b_in = F.col("a_hub"), F.col("b_hub"), F.col("a_sampled"), F.col("b_sampled")
+        found, here = None, self.buckets().withColumn("comp", F.col("class"))
+        b_hub, b_in = F.col("b_hub"), F.col("b_sampled")
         rounds = (
             (F.col("hub"), ~b_hub),
-            (F.col("sampled") & ~F.col("hub"), ~b_hub & (~b_in | (F.col("a_digest") < F.col("b_digest")))),
-            (~F.col("sampled") & ~F.col("hub"), ~b_hub & ~b_in & (F.col("a_digest") < F.col("b_digest"))),
+            (F.col("sampled") & ~F.col("hub"), ~b_hub & (~b_in | (F.col("a_class") < F.col("b_class")))),
+            (~F.col("sampled") & ~F.col("hub"), ~b_hub & ~b_in & (F.col("a_class") < F.col("b_class"))),
         )
         for leads, also in rounds:
-            if found is None:
-                here = buckets.withColumn("comp", F.col("digest"))
-            else:
-                named = buckets.join(found, F.col("digest") == F.col("node"), "left")
-                here = named.withColumn("comp", F.coalesce("root", "digest")).drop("node", "root")
-                # Buckets whose classes are all in one component have nothing left to find.
-                open_ = here.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-                here = durable(here.join(open_, "gram", "left_semi"))
-            new = self._links(self._pairs(here.where(leads), here, also))
-            links = new if links is None else durable(links.unionByName(new))
-            found = durable(components(links))
-        return found
+            pairs = durable(self._pairs(here.where(leads), here, also))
+            new = None if pairs.isEmpty() else self._links(pairs)
+            if new is None or new.isEmpty():
+                continue
+            # What was found before is a star for each component, so links never pile up.
+            stars = None if found is None else found.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            found = durable(components(new if stars is None else new.unionByName(stars)))
+            named = here.drop("comp").join(found, F.col("class") == F.col("node"), "left")
+            named = named.withColumn("comp", F.coalesce("root", "class")).drop("node", "root")
+            # Buckets whose classes are all in one component have nothing left to find.
+            open_ = named.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+            here = durable(named.join(open_, "gram", "left_semi"))
+        return self.rows.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0) if found is None else found
 
     def labelled(self) -> DataFrame:
         """__id, size, component: the smallest id reachable by links."""
         roots = self.roots()
-        least = self.rows.where("size > 0").groupBy("digest").agg(F.min("__id").alias("least"))
-        named = least.join(roots, F.col("digest") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "digest").alias("root"))
+        least = self.rows.where("size > 0").groupBy("class").agg(F.min("__id").alias("least"))
+        named = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
         best = named.groupBy("root").agg(F.min("least").alias("component"))
-        by_class = named.join(best, "root").select(F.col("digest").alias("of"), "component")
-        return self.rows.select("__id", "size", "digest").join(by_class, F.col("digest") == F.col("of"), "left").select("__id", "size", F.coalesce("component", "__id").alias("component"))
+        by_class = named.join(best, "root").select(F.col("class").alias("of"), "component")
+        return self.rows.select("__id", "size", "class").join(by_class, F.col("class") == F.col("of"), "left").select("__id", "size", F.coalesce("component", "__id").alias("component"))
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
