@@ -5,8 +5,8 @@ vocabulary, the best-ranked (leftmost of equals) joins first. With dropout each
 if a keyed hash of (seed, variant, place, both pieces) falls below the rate; so a segmentation depends on
 its key only, never on the machine, the batch or a retry. At rate 0 it is the library's own.
 
-No piece but runs of spaces has a space after its first letter and none has a line end, so texts are cut
-there, and each segment is encoded once for each of `VARIANTS` variants that come up; a keyed hash of the text
+No piece but runs of spaces has a space after its first letter, none has a line end, and none has a Latin
+letter before a full stop or comma, so texts are cut there (the model is asked), and each segment is encoded once for each of `VARIANTS` variants that come up; a keyed hash of the text
 and the segment's number picks the variant. Short segments run through the agenda in lockstep, long
 ones through a heap; both give the same pieces.
 
@@ -30,9 +30,15 @@ from .common import by_bytes, fold, utf8
 from .token_counts import shared, vocabulary
 
 RATE, SEED, VARIANTS = 0.1, 20_240, 4
+#: The rank of pairs that don't join.
+NEVER = 2**31 - 1
 #: The space mark of these models.
 MARK = "▁"
 _SEGMENT = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_LATIN = "A-Za-z\u00c0-\u024f"
+_REST = rf"[^{MARK}\n.,]"
+#: As above, with a cut between a Latin letter and a full stop or comma as well.
+_APART = re.compile(rf"{MARK}*(?:{_REST}+|[.,]+{_REST}*)(?:(?<![{_LATIN}])[.,]+{_REST}*)*|{MARK}+|\n")
 
 
 def _mixed(*parts: int) -> int:
@@ -70,65 +76,80 @@ class MergeModel:
         self.merges = merges
         keys = np.array(sorted(merges), np.int64)
         self.keys = np.concatenate((keys, [np.iinfo(np.int64).max]))
-        self.ranks = np.array([*[merges[k][0] for k in keys.tolist()], 1 << 40], np.int64)
-        self.merged = np.array([*[merges[k][1] for k in keys.tolist()], -1], np.int64)
+        self.ranks = np.array([*[merges[k][0] for k in keys.tolist()], NEVER], np.int32)
+        self.by_rank = np.array(order, np.int32)
+        self.letters = np.full(0x110000, -3, np.int32)  # -3: a letter without a piece
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letters[ord(p)] = i
+        # Where no piece has a letter before a mark, texts may be cut between them as well.
+        self.cut = _SEGMENT if any(re.search(rf"[{_LATIN}][.,]", p) for p in self.ids) else _APART
 
     # A candidate's hash: of the seed and variant, the place of its left piece in the segment, and both pieces.
 
     def _skipped(self, key: np.ndarray, place: np.ndarray, pair: np.ndarray, below: np.uint64) -> np.ndarray:
         return fold(fold(key, place.astype(np.uint64)), pair.astype(np.uint64)) < below
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and merged piece of neighbours; a rank of 2^40 where they don't join or are skipped."""
-        pair = np.where((left < 0) | (right < 0), -1, left << 20 | right)
+    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, below: np.uint64) -> np.ndarray:
+        """Ranks of neighbours; NEVER where they don't join or are skipped."""
+        pair = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 20 | right)
         at = np.searchsorted(self.keys, pair)
-        off = self.keys[at] != pair
+        on = self.keys[at] == pair
+        rank = np.where(on, self.ranks[at], np.int32(NEVER))
         if below:
-            off |= self._skipped(key, place, pair, below)
-        at[off] = len(self.keys) - 1
-        return self.ranks[at], self.merged[at]
+            on = np.flatnonzero(on)
+            rank[on[self._skipped(key[on], place[on], pair[on], below)]] = NEVER
+        return rank
 
     def together(self, segments: list[str], keys: np.ndarray, below: np.uint64) -> list[bytes]:
-        """Short segments in lockstep: each step joins the best candidate of each segment that has one."""
-        n, longest = len(segments), max(map(len, segments))
-        symbols = np.full((n, longest + 1), -2, np.int64)  # -2: nothing; -1 - i: a letter without a piece
-        for r, s in enumerate(segments):
-            symbols[r, : len(s)] = [self.ids.get(c, -3) for c in s]
-        place = np.broadcast_to(np.arange(longest + 1), symbols.shape).copy()
-        key = np.broadcast_to(keys[:, None], symbols.shape)
-        rank, piece = self._ranked(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), place[:, :-1].ravel(), key[:, :-1].ravel(), below)
-        rank, piece = rank.reshape(n, -1), piece.reshape(n, -1)
-        alive = np.arange(n)
-        while len(alive):
-            best = rank[alive].argmin(1)
-            joins = rank[alive, best] < 1 << 40
-            alive, best = alive[joins], best[joins]
-            if not len(alive):
-                break
-            symbols[alive, best] = piece[alive, best]
-            # What stands behind the joined pair moves one to the left.
-            columns = np.arange(longest)
-            source = columns[None, :] + (columns[None, :] > best[:, None])
-            source = np.minimum(source, longest)
-            symbols[alive, :longest] = np.take_along_axis(symbols[alive], source, 1)
-            place[alive, :longest] = np.take_along_axis(place[alive], source, 1)
-            symbols[alive, longest] = -2
-            width = rank.shape[1]
-            rank[alive] = np.take_along_axis(rank[alive], np.minimum(source, width - 1), 1)
-            piece[alive] = np.take_along_axis(piece[alive], np.minimum(source, width - 1), 1)
-            rank[alive, width - 1], piece[alive, width - 1] = 1 << 40, -1
-            for at, rows in ((best, alive), (best - 1, alive)):
-                rows, at = rows[at >= 0], at[at >= 0]
-                r, p = self._ranked(symbols[rows, at], symbols[rows, at + 1], place[rows, at], keys[rows], below)
-                rank[rows, at], piece[rows, at] = r, p
-        out = []
-        for r, s in enumerate(segments):
-            row = symbols[r][symbols[r] != -2]
-            if (row >= 0).all():
-                out.append(row.astype("<u4").tobytes())
-            else:
-                where = place[r][symbols[r] != -2]
-                out.append(self._spelled(s, row.tolist(), where.tolist()))
+        """Short segments in lockstep: each step joins the best candidate of each segment that has one.
+
+        Pieces keep the place of their first letter and are linked to their neighbours; a joined one is -2.
+        """
+        lengths = np.array([len(s) for s in segments])
+        n, wide = len(segments), int(lengths.max()) + 1
+        codes = np.frombuffer("".join([s.ljust(wide, "\0") for s in segments]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols = self.letters[codes].reshape(n, wide)
+        symbols[np.arange(wide) >= lengths[:, None]] = -2
+        symbols = symbols.ravel()
+        following = np.tile(np.arange(1, wide + 1, dtype=np.int16), n)
+        before = following - np.int16(2)
+        places = np.tile(np.arange(wide - 1), n)
+        at = (np.arange(n)[:, None] * wide + np.arange(wide - 1)).ravel()
+        rank = self._ranked(symbols[at], symbols[at + 1], places, np.repeat(keys, wide - 1), below).reshape(n, wide - 1)
+        rows = np.arange(n)
+        while len(rows):
+            here = np.arange(len(rows))
+            best = rank.argmin(1)
+            top = rank[here, best]
+            on = top < NEVER
+            if not on.all():
+                if on.sum() < 0.8 * len(rows):
+                    rank, rows = rank[on], rows[on]
+                    continue
+                here, best, top = here[on], best[on], top[on]
+            row = rows[here]
+            base = row * wide
+            gone = following[base + best].astype(np.int64)
+            after = following[base + gone].astype(np.int64)
+            ahead = before[base + best].astype(np.int64)
+            symbols[base + best] = self.by_rank[top]
+            symbols[base + gone] = -2
+            following[base + best] = after
+            inner = after < wide
+            before[(base + after)[inner]] = best[inner]
+            rank[here[gone < wide - 1], gone[gone < wide - 1]] = NEVER
+            right = np.where(inner, symbols[base + np.minimum(after, wide - 1)], -2)
+            own = keys[row]
+            rank[here, best] = self._ranked(symbols[base + best], right, best, own, below)
+            has = ahead >= 0
+            rank[here[has], ahead[has]] = self._ranked(symbols[(base + ahead)[has]], symbols[(base + best)[has]], ahead[has], own[has], below)
+        grid = symbols.reshape(n, wide)
+        left = grid != -2
+        data, ends = grid[left].astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(left.sum(1))))
+        out = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for r in np.flatnonzero((grid == -3).any(1)).tolist():
+            out[r] = self._spelled(segments[r], grid[r][left[r]].tolist(), np.flatnonzero(left[r]).tolist())
         return out
 
     def _spelled(self, segment: str, row: list[int], where: list[int]) -> bytes:
@@ -171,7 +192,7 @@ class MergeModel:
 class PieceEncoder:
     """Segments remembered for each variant, up to a fixed number."""
 
-    REMEMBERED, SHORT = 1 << 20, 32
+    REMEMBERED, SHORT = 1 << 19, 32
 
     def __init__(self, path: str):
         self.model, self.known = MergeModel(path), {}
@@ -225,18 +246,18 @@ class PieceEncoder:
         """The space mark itself, by its bytes."""
         return np.array([self.model.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
 
-    @staticmethod
-    def _segments(text: str) -> list[str]:
+    def _segments(self, text: str) -> list[str]:
+        find = self.model.cut.findall
         if not text:
             return []
         if MARK not in text:
-            return _SEGMENT.findall(MARK + text.replace(" ", MARK))
+            return find(MARK + text.replace(" ", MARK))
         out: list[str] = []
         for k, part in enumerate(text.split(MARK)):
             if k:
                 out.append("\0" + MARK)
             part = part.replace(" ", MARK)
-            out += _SEGMENT.findall(part if k else MARK + part)
+            out += find(part if k else MARK + part)
         return out
 
     def decode(self, ids: bytes) -> bytes:
