@@ -2,12 +2,16 @@
 
 Encoding follows the agenda of merge-type models: of all neighbouring pieces that join to a piece of the
 vocabulary, the best-ranked (leftmost of equals) joins first. With dropout each candidate is skipped for good
-if a keyed hash of (seed, variant, place, both pieces) falls below the rate; so a segmentation depends on
-its key only, never on the machine, the batch or a retry. At rate 0 it is the library's own.
+if a keyed hash of (seed, text, number of the segment, place, both pieces) falls below the rate; so each occurrence
+of a word is segmented on its own, and a segmentation depends on its key only, never on the machine, the batch
+or a retry. At rate 0 it is the library's own.
 
 No piece but runs of spaces has a space after its first letter, none has a line end, and none has a Latin
-letter before a full stop or comma, so texts are cut there (the model is asked), and each segment is encoded once for each of `VARIANTS` variants that come up; a keyed hash of the text
-and the segment's number picks the variant. Short segments run through the agenda in lockstep, long
+letter before a full stop or comma, so texts are cut there (the model is asked). What is remembered of a short segment
+is a tree: of each set of skipped candidates that came up, the pieces and the candidates met on the way that
+weren't met before. An occurrence hashes these candidates, and if it skips some it goes on to the set with
+them added; so it gets what its own merging would give. What comes up for the first time is merged under its own key
+and only noted; from the second time on it is remembered. Short segments run through the agenda in lockstep, long
 ones through a heap; both give the same pieces.
 
 Decoding is lossless: what the vocabulary lacks, and the space mark itself where it stands in a text, goes by
@@ -19,17 +23,20 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, fold, utf8
+from .common import M1, M2, by_bytes, fold, utf8
 from .token_counts import shared, vocabulary
 
-RATE, SEED, VARIANTS = 0.1, 20_240, 4
+#: At `VARIANTS` > 0 a segment has at most so many segmentations; 0 is no limit.
+RATE, SEED, VARIANTS = 0.1, 20_240, 0
 #: The rank of pairs that don't join.
 NEVER = 2**31 - 1
 #: The space mark of these models.
@@ -85,27 +92,48 @@ class MergeModel:
         # Where no piece has a letter before a mark, texts may be cut between them as well.
         self.cut = _SEGMENT if any(re.search(rf"[{_LATIN}][.,]", p) for p in self.ids) else _APART
 
-    # A candidate's hash: of the seed and variant, the place of its left piece in the segment, and both pieces.
+    # A candidate's hash: of the occurrence's key, the place of its left piece in the segment, and both pieces.
 
     def _skipped(self, key: np.ndarray, place: np.ndarray, pair: np.ndarray, below: np.uint64) -> np.ndarray:
         return fold(fold(key, place.astype(np.uint64)), pair.astype(np.uint64)) < below
 
-    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, below: np.uint64) -> np.ndarray:
+    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, skipped) -> np.ndarray:
         """Ranks of neighbours; NEVER where they don't join or are skipped."""
         pair = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 20 | right)
         at = np.searchsorted(self.keys, pair)
         on = self.keys[at] == pair
         rank = np.where(on, self.ranks[at], np.int32(NEVER))
-        if below:
+        if skipped:
             on = np.flatnonzero(on)
-            rank[on[self._skipped(key[on], place[on], pair[on], below)]] = NEVER
+            rank[on[skipped(key[on], place[on], pair[on])]] = NEVER
         return rank
 
-    def together(self, segments: list[str], keys: np.ndarray, below: np.uint64) -> list[bytes]:
+    def listed(self, segments: list[str], skips: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The pieces of short segments that skip just the candidates of `skips`, and all candidates met.
+
+        Candidates are place << 40 | pair; those met have the segment's number above that, and are sorted.
+        """
+        sizes = [len(x) // 8 for x in skips]
+        listed = np.sort(np.repeat(np.arange(len(skips)), sizes) << 46 | np.frombuffer(b"".join(skips), np.int64))
+        met = []
+
+        def skipped(row: np.ndarray, place: np.ndarray, pair: np.ndarray) -> np.ndarray:
+            code = row << 46 | place.astype(np.int64) << 40 | pair
+            met.append(code)
+            if not len(listed):
+                return np.zeros(len(code), bool)
+            return listed[np.minimum(np.searchsorted(listed, code), len(listed) - 1)] == code
+
+        made = self.together(segments, np.arange(len(segments)), np.uint64(0), skipped)
+        return made, np.unique(np.concatenate(met))
+
+    def together(self, segments: list[str], keys: np.ndarray, below: np.uint64, skipped=None) -> list[bytes]:
         """Short segments in lockstep: each step joins the best candidate of each segment that has one.
 
         Pieces keep the place of their first letter and are linked to their neighbours; a joined one is -2.
         """
+        if below and not skipped:
+            skipped = partial(self._skipped, below=below)
         lengths = np.array([len(s) for s in segments])
         n, wide = len(segments), int(lengths.max()) + 1
         codes = np.frombuffer("".join([s.ljust(wide, "\0") for s in segments]).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -116,7 +144,7 @@ class MergeModel:
         before = following - np.int16(2)
         places = np.tile(np.arange(wide - 1), n)
         at = (np.arange(n)[:, None] * wide + np.arange(wide - 1)).ravel()
-        rank = self._ranked(symbols[at], symbols[at + 1], places, np.repeat(keys, wide - 1), below).reshape(n, wide - 1)
+        rank = self._ranked(symbols[at], symbols[at + 1], places, np.repeat(keys, wide - 1), skipped).reshape(n, wide - 1)
         rows = np.arange(n)
         while len(rows):
             here = np.arange(len(rows))
@@ -141,9 +169,9 @@ class MergeModel:
             rank[here[gone < wide - 1], gone[gone < wide - 1]] = NEVER
             right = np.where(inner, symbols[base + np.minimum(after, wide - 1)], -2)
             own = keys[row]
-            rank[here, best] = self._ranked(symbols[base + best], right, best, own, below)
+            rank[here, best] = self._ranked(symbols[base + best], right, best, own, skipped)
             has = ahead >= 0
-            rank[here[has], ahead[has]] = self._ranked(symbols[(base + ahead)[has]], symbols[(base + best)[has]], ahead[has], own[has], below)
+            rank[here[has], ahead[has]] = self._ranked(symbols[(base + ahead)[has]], symbols[(base + best)[has]], ahead[has], own[has], skipped)
         grid = symbols.reshape(n, wide)
         left = grid != -2
         data, ends = grid[left].astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(left.sum(1))))
@@ -164,14 +192,19 @@ class MergeModel:
         symbol = [self.ids.get(c, -3) for c in segment]
         before, after, width = list(range(-1, n - 1)), list(range(1, n + 1)), [1] * n
         heap: list[tuple[int, int, int, int, int]] = []
-        whole = np.full(1, key, np.uint64)
+        below, one, two, full = int(below), int(M1), int(M2), 2**64 - 1
+
+        def folded(first: int, second: int) -> int:
+            h = (first * one & full) ^ (second + two & full)
+            h = (h ^ h >> 32) * two & full
+            return h ^ h >> 29
 
         def add(a: int, b: int) -> None:
             if a < 0 or b >= n or symbol[a] < 0 or symbol[b] < 0:
                 return
             pair = symbol[a] << 20 | symbol[b]
             found = self.merges.get(pair)
-            if found and not (below and self._skipped(whole, np.full(1, a), np.full(1, pair), below)[0]):
+            if found and not (below and folded(folded(key, a), pair) < below):
                 heapq.heappush(heap, (found[0], a, b, width[a] + width[b], found[1]))
 
         for i in range(n - 1):
@@ -190,59 +223,150 @@ class MergeModel:
 
 
 class PieceEncoder:
-    """Segments remembered for each variant, up to a fixed number."""
+    """Segments remembered as trees of skipped candidates, up to a fixed number of nodes."""
 
-    REMEMBERED, SHORT = 1 << 19, 32
+    REMEMBERED, SHORT, WIDEST, BLOCK = 1 << 18, 32, 64, 1 << 14
+    #: The node of what is merged under its own key: long segments, sets with more than `WIDEST` new candidates, and what comes up first.
+    APART = 0
 
     def __init__(self, path: str):
-        self.model, self.known = MergeModel(path), {}
-
-    def encode(self, texts: list[bytes], rate: float, seed: int, variants: int) -> list[bytes]:
+        self.model = MergeModel(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.children: dict[int, int] = {}  # node << 64 | mask of the candidates it skips
+        self.noted: set[str | int] = set()  # segments and children that came up once
+        self.segment, self.skips, self.pieces = [""], [b""], [b""]
+        self.candidates, self.bounds = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _add(self, segments: list[str], skips: list[bytes], made: list[bytes], new: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Nodes with these pieces and new candidates."""
+        first = len(self.pieces)
+        self.segment += segments
+        self.skips += skips
+        self.pieces += made
+        last = self.bounds[first]
+        while last + len(new) > len(self.candidates):
+            self.candidates = np.concatenate((self.candidates, np.zeros_like(self.candidates)))
+        while len(self.pieces) >= len(self.bounds):
+            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+        self.candidates[last : last + len(new)] = new
+        self.bounds[first + 1 : len(self.pieces) + 1] = last + np.cumsum(counts)
+        return np.arange(first, len(self.pieces))
+
+    def _grow(self, segments: list[str], skips: list[bytes], before: list[int]) -> list[int]:
+        """A node for each short segment and set of skipped candidates; `before` has its parent, or APART."""
+        out = np.zeros(len(segments), np.int64)
+        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
+        start = 0
+        while start < len(order):
+            size, stop = len(segments[order[start]]), start
+            while stop < len(order) and stop - start < 20_000 and len(segments[order[stop]]) <= size + 3:
+                stop += 1
+            part = order[start:stop]
+            own, skip = [segments[i] for i in part], [skips[i] for i in part]
+            made, met = self.model.listed(own, skip)
+            # Met before: what is skipped, and the parent's candidates.
+            parent = np.array([before[i] for i in part], np.int64)
+            row, at = self._spread(parent)
+            known = np.concatenate((row << 46 | self.candidates[at], np.repeat(np.arange(len(part)), [len(x) // 8 for x in skip]) << 46 | np.frombuffer(b"".join(skip), np.int64)))
+            met = met[~np.isin(met, known)]
+            counts = np.bincount(met >> 46, minlength=len(part))
+            narrow = counts <= self.WIDEST
+            new = met[narrow[met >> 46]] & (1 << 46) - 1
+            keep = np.flatnonzero(narrow).tolist()
+            out[np.array(part)[keep]] = self._add([own[i] for i in keep], [skip[i] for i in keep], [made[i] for i in keep], new, counts[keep])
+            start = stop
+        return out.tolist()
+
+    def _spread(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each candidate of each node in turn: the place of the node in the list and that of the candidate."""
+        first, counts = self.bounds[node], self.bounds[node + 1] - self.bounds[node]
+        row = np.repeat(np.arange(len(node)), counts)
+        return row, np.arange(len(row)) + np.repeat(first - np.cumsum(counts) + counts, counts)
+
+    def _skipping(self, node: np.ndarray, keys: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences that skip a candidate of their node, and which ones, as a mask."""
+        places, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for start in range(0, len(node), self.BLOCK):
+            own = node[start : start + self.BLOCK]
+            row, at = self._spread(own)
+            code = self.candidates[at]
+            hit = np.flatnonzero(self.model._skipped(keys[start : start + self.BLOCK][row], code >> 40, code & (1 << 40) - 1, below))
+            row, bit = row[hit], np.uint64(1) << (at[hit] - self.bounds[own[row[hit]]]).astype(np.uint64)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            if len(first):
+                places.append(row[first] + start)
+                masks.append(np.bitwise_or.reduceat(bit, first))
+        return np.concatenate(places), np.concatenate(masks)
+
+    def encode(self, texts: list[bytes], rate: float, seed: int, variants: int = VARIANTS) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         below = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
-        variants = variants if rate > 0 else 1
-        salts = [_mixed(seed, v) for v in range(variants)]
-        segments, picks, bounds = [], [], [0]
+        if len(self.pieces) > self.REMEMBERED or len(self.noted) > 2 * self.REMEMBERED:
+            self._forget()
+        segments, keys, bounds = [], [np.zeros(0, np.uint64)], [0]
         for raw in texts:
             own = self._segments(raw.decode("utf-8", "replace"))
             segments += own
             bounds.append(len(segments))
-            if variants > 1:
-                start = np.full(1, xxhash.xxh3_64_intdigest(raw, seed), np.uint64)
-                picks.append((fold(start, np.arange(len(own), dtype=np.uint64)) >> np.uint64(32)) % np.uint64(variants))
-        chosen = np.concatenate(picks).tolist() if picks else [0] * len(segments)
-        known = [self.known.setdefault((rate, seed, v), {}) for v in range(variants)]
-        if sum(map(len, self.known.values())) > self.REMEMBERED:
-            for k in self.known.values():
-                k.clear()
-        out = [known[v].get(s) for s, v in zip(segments, chosen)]
-        missing = list({(s, v) for s, v, ids in zip(segments, chosen, out) if ids is None})
-        missing.sort(key=lambda x: (len(x[0]), x))
-        made, start = {}, 0
-        while start < len(missing):
-            size = len(missing[start][0])
+            keys.append(fold(np.full(1, xxhash.xxh3_64_intdigest(raw, seed), np.uint64), np.arange(len(own), dtype=np.uint64)))
+        keys = np.concatenate(keys)
+        if variants > 0:
+            salts = np.array([_mixed(seed, v) for v in range(variants)], np.uint64)
+            hashes = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64)
+            keys = fold(salts[((keys >> np.uint64(32)) % np.uint64(variants)).astype(np.int64)], hashes)
+        special = "\0" + MARK
+        if special not in self.roots:
+            self.roots[special] = int(self._add([special], [b""], [self._special()], np.zeros(0, np.int64), np.zeros(1, np.int64))[0])
+        short = self._again([s for s in segments if s not in self.roots and len(s) <= self.SHORT], not below)
+        self.roots.update(zip(short, self._grow(short, [b""] * len(short), [self.APART] * len(short))))
+        node = np.array([self.roots.get(s, self.APART) for s in segments], np.int64)
+        at = np.arange(len(node))
+        while below and len(at):
+            on, masks = self._skipping(node[at], keys[at], below)
+            at = at[on]
+            steps = [n << 64 | m for n, m in zip(node[at].tolist(), masks.tolist())]
+            more = self._again([x for x in steps if x not in self.children], False)
+            parents = [x >> 64 for x in more]
+            skips = [self.skips[n] + self._masked(n, x & 2**64 - 1) for n, x in zip(parents, more)]
+            self.children.update(zip(more, self._grow([self.segment[n] for n in parents], skips, parents)))
+            node[at] = [self.children.get(x, self.APART) for x in steps]
+        ids = [self.pieces[n] for n in node.tolist()]
+        self._apart(segments, keys, below, np.flatnonzero(node == self.APART).tolist(), ids)
+        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+    def _again(self, asked: list, all_of_them: bool) -> list:
+        """Those that come up for the second time at least; the others are noted."""
+        counts = Counter(asked)
+        again = [x for x, n in counts.items() if all_of_them or n > 1 or x in self.noted]
+        self.noted.update(counts)
+        self.noted.difference_update(again)
+        return again
+
+    def _apart(self, segments: list[str], keys: np.ndarray, below: np.uint64, at: list[int], ids: list[bytes]) -> None:
+        """The ids of the occurrences `at`, each merged under its own key."""
+        at.sort(key=lambda i: len(segments[i]))
+        start = 0
+        while start < len(at):
+            size, stop = len(segments[at[start]]), start + 1
             if size > self.SHORT:
-                s, v = missing[start]
-                made[s, v] = self._special(s) if s[0] == "\0" and s == "\0" + MARK else self.model.alone(s, self._key(s, salts[v]), below)
-                start += 1
-                continue
-            stop = start
-            while stop < len(missing) and stop - start < 20_000 and len(missing[stop][0]) <= min(size + 3, self.SHORT):
-                stop += 1
-            part = missing[start:stop]
-            keys = np.array([self._key(s, salts[v]) for s, v in part], np.uint64)
-            for (s, v), ids in zip(part, self.model.together([s for s, _ in part], keys, below)):
-                made[s, v] = self._special(s) if s == "\0" + MARK else ids
-                known[v][s] = made[s, v]
+                ids[at[start]] = self.model.alone(segments[at[start]], int(keys[at[start]]), below)
+            else:
+                while stop < len(at) and stop - start < 20_000 and len(segments[at[stop]]) <= min(size + 3, self.SHORT):
+                    stop += 1
+                part = at[start:stop]
+                for i, made in zip(part, self.model.together([segments[i] for i in part], keys[part], below)):
+                    ids[i] = made
             start = stop
-        ids = [made[s, v] if x is None else x for s, v, x in zip(segments, chosen, out)] if missing else out
-        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
-    @staticmethod
-    def _key(segment: str, salt: int) -> int:
-        return xxhash.xxh3_64_intdigest(segment.encode("utf-8", "surrogatepass"), salt)
+    def _masked(self, node: int, mask: int) -> bytes:
+        """The candidates of a node that a mask names."""
+        own = self.candidates[self.bounds[node] : self.bounds[node + 1]]
+        return own[[i for i in range(len(own)) if mask >> i & 1]].tobytes()
 
-    def _special(self, segment: str) -> bytes:
+    def _special(self) -> bytes:
         """The space mark itself, by its bytes."""
         return np.array([self.model.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
 

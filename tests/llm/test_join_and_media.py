@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 
 from quern.llm import gif_media, jaccard_join, piece_codec, queries
+from quern.llm.common import fold
 from quern.llm.components import components
 from quern.llm.token_counts import vocabulary
 
@@ -203,6 +205,33 @@ def test_lockstep_and_heap_agree(encoder):
         assert model.together(parts, keys, below) == [model.alone(s, int(k), below) for s, k in zip(parts, keys)]
 
 
+def test_each_occurrence_drops_on_its_own(encoder, monkeypatch):
+    words = ["▁the", "▁tokenization", "▁international", "▁extraordinarily"]
+    texts = [" ".join(w[1:] for w in words) + f" {i}" for i in range(4000)]
+    got = Counter()
+    model, below = encoder.model, np.uint64(int(0.1 * 2**64))
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts], 0.1, 5)):
+        start = np.full(1, xxhash.xxh3_64_intdigest(text.encode(), 5), np.uint64)
+        own = encoder._segments(text)
+        keys = fold(start, np.arange(len(own), dtype=np.uint64)).tolist()
+        parts = [model.alone(s, k, below) for s, k in zip(own, keys)]
+        assert b"".join(parts) == ids
+        got.update(zip(own[1:4], parts[1:4]))
+    for w in words[1:]:
+        assert sum(s == w for s, _ in got) > 40
+    # The one candidate of a segment of two letters is skipped at the rate itself.
+    whole = model.alone("is", 0, np.uint64(0))
+    assert 330 < sum(not ids.endswith(whole) for ids in encoder.encode([f"{i}\nis".encode() for i in range(4000)], 0.1, 5)) < 470
+    # What is remembered doesn't change a result, nor do sets with many new candidates.
+    texts = [t.encode() for t in samples(4)]
+    want = encoder.encode(texts, 0.3, 5)
+    for name, value in (("REMEMBERED", 0), ("WIDEST", 3), ("SHORT", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(piece_codec.PieceEncoder, name, value)
+            other = piece_codec.PieceEncoder(vocabulary("piece_bpe_32k.model"))
+            assert [x for i in range(0, len(texts), 100) for x in other.encode(texts[i : i + 100], 0.3, 5)] == want
+
+
 def test_piece_tables(odd, none):
     rows = piece_codec.decode(piece_codec.encode(odd, ["doc_id"])).collect()
     assert Counter(r["decoded"] for r in rows) == Counter(r["text"] or "" for r in odd.collect())
