@@ -3,8 +3,10 @@
 A page is read into blocks of text, each with its root-to-leaf path of block tags and classes. For each path
 the length of its text and its punctuation are added up and divided by its blocks; both ratios are
 smoothed over the blocks in page order and fused by their product, so that the paths of running text stand
-out. The best path's container, and every path whose fused ratio passes a share of the best one's,
-give the content nodes. What HTML itself or a class names as menu, header, footer, sidebar, notice, advert, form
+out. A path is content if its fused ratio passes a share of that of the path with most running text, whatever length it adds
+up to and unless it is mostly links. Kept is all of each part that directly holds such a path and, in the smallest
+element around all of them (the body, say), every block between the first and the last one, with the heading before
+and lists, tables and quotations right after. What HTML itself or a class names as menu, header, footer, sidebar, notice, advert, form
 or comments is never content, and text inside `article` or `main` is preferred if there is any.
 
 Nulls and odd cases: a null or empty page, or one without text, gives the empty text; unclosed and misplaced
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,16 +61,21 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Elements that may hold a page's content as a whole, and those that belong to the running text before them.
+WRAPPERS = frozenset("article main body div section td".split())
+HEADINGS, APPENDED = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("ul ol dl table blockquote pre figure details".split())
 _WORD = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("path", "text", "inside")
+    """A block's path of labels, the numbers of these elements in the page, its text and whether that is mostly links."""
 
-    def __init__(self, path: tuple[str, ...], text: str, inside: bool):
-        self.path, self.text, self.inside = path, text, inside
+    __slots__ = ("path", "at", "text", "inside", "linked")
+
+    def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, inside: bool, linked: bool):
+        self.path, self.at, self.text, self.inside, self.linked = path, at, text, inside, linked
 
 
 def _named(marks: str, names: frozenset[str]) -> bool:
@@ -81,17 +89,21 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
 
     `lenient` takes no hints from names and lets forms through, for pages that are wrapped in such a part.
     """
-    stack: list[tuple[str, str, str]] = []  # tag, label, why it or what is around it is dropped
+    stack: list[tuple[str, str, str, int]] = []  # tag, label, why it or what is around it is dropped, its number
     out: list[_Block] = []
     words: list[str] = []
+    link, in_links, number = False, 0, 0
 
     def flush() -> None:
+        nonlocal in_links
         if words:
+            linked = 2 * in_links > sum(len(w.strip()) for w in words)
             text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
             words.clear()
+            in_links = 0
             if text and not (stack and stack[-1][2]):
                 labels = tuple(s[1] for s in stack)
-                out.append(_Block(labels, text, any(s[0] in ("article", "main") for s in stack)))
+                out.append(_Block(labels, tuple(s[3] for s in stack), text, any(s[0] in ("article", "main") for s in stack), linked))
 
     def close(depth: int) -> None:
         flush()
@@ -104,6 +116,7 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
         token = m.group()
         if token[0] != "<":
             words.append(token)
+            in_links += len(token.strip()) if link else 0
             continue
         name = m.group(2) or m.group(5)
         if name is None:
@@ -113,6 +126,8 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
                 words.append(html.escape(token[9:-3]))
             continue
         closing, name, attributes = m.group(1) or m.group(4), name.lower(), m.group(3) or m.group(6) or ""
+        if name == "a":
+            link = not closing
         if closing:
             if name == "br":
                 words.append(" ")
@@ -174,7 +189,8 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
         if not around and _HIDDEN.search(attributes):
             around = "hidden"
         if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around))
+            number += 1
+            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around, number))
     flush()
     return out
 
@@ -193,25 +209,54 @@ def tag_path_ratios(blocks: list[_Block]) -> dict[tuple[str, ...], float]:
     fused: dict[tuple[str, ...], list[float]] = {}
     for b, (length, marks) in zip(blocks, smooth.tolist()):
         fused.setdefault(b.path, []).append(length * marks)
-    # A path counts by its text as well: the ratio of one long line doesn't outweigh an article of many.
-    return {p: sum(v) / len(v) * totals[p][1] for p, v in fused.items()}
+    return {p: sum(v) / len(v) for p, v in fused.items()}
+
+
+def _depth(block: _Block, most: int | None = None) -> int:
+    """How many elements of a block's path, of the first `most`, lead to the innermost one that may hold content."""
+    return next((i for i in range(len(block.path) if most is None else most, 0, -1) if block.path[i - 1].split(".")[0] in WRAPPERS), 0)
+
+
+def content(blocks: list[_Block]) -> list[_Block]:
+    """The blocks of running text and what stands among them."""
+    if not blocks:
+        return []
+    fused, totals = tag_path_ratios(blocks), Counter()
+    for b in blocks:
+        totals[b.path] += 0 if b.linked else len(b.text)
+    # The path to compare with counts by its text as well: one long line doesn't outweigh an article of many.
+    best = max(fused, key=lambda p: fused[p] * totals[p])
+    running = [b for b in blocks if fused[b.path] >= SHARE * fused[best] and not b.linked] or [b for b in blocks if b.path == best]
+    first, most = running[0].at, min(len(b.at) for b in running)
+    shared = next((i for i in range(most) if any(b.at[i] != first[i] for b in running)), most)
+    depth = _depth(running[0], shared)
+    around = first[:depth]
+    parts = {b.at[:d] for b in running for d in [_depth(b)] if d and b.path[d - 1] != "body"}
+    sure = {id(b) for b in running}
+    held = [i for i, b in enumerate(blocks) if id(b) in sure or any(b.at[:d] in parts for d in range(1, len(b.at) + 1))]
+    start, stop = held[0], held[-1] + 1
+    heading = next((i for i in range(start - 1, -1, -1) if blocks[i].linked or blocks[i].at[:depth] != around or _heading(blocks[i])), -1)
+    while heading >= 0 and blocks[heading].at[:depth] == around and _heading(blocks[heading]):
+        start, heading = heading, heading - 1
+    for i in range(stop, len(blocks)):
+        b = blocks[i]
+        tag = b.path[depth].split(".")[0] if b.at[:depth] == around and len(b.path) > depth and not b.linked else ""
+        if tag in APPENDED:
+            stop = i + 1
+        elif tag not in HEADINGS:
+            break
+    return [b for b in blocks[start:stop] if b.at[:depth] == around]
+
+
+def _heading(block: _Block) -> bool:
+    return not block.linked and bool(block.path) and block.path[-1].split(".")[0] in HEADINGS
 
 
 def main_text(page: str) -> str:
     """The content blocks, joined by an empty line."""
     blocks = blocks_of(page) or blocks_of(page, True)
-    if any(b.inside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
-    if not blocks:
-        return ""
-    fused = tag_path_ratios(blocks)
-    best = max(fused, key=fused.get)
-    around = next((i for i in range(len(best) - 1, -1, -1) if best[i].split(".")[0] in ("article", "main", "body", "div", "section", "td")), 0)
-    container = best[: around + 1]
-    limit = SHARE * fused[best]
-    wide = container[-1:] and container[-1].split(".")[0] in ("article", "main", "div", "section", "td")
-    kept = [b.text for b in blocks if (wide and b.path[: around + 1] == container) or fused[b.path] >= limit or b.inside]
-    return "\n\n".join(kept)
+    inside = [b for b in blocks if b.inside]
+    return "\n\n".join(b.text for b in inside or content(blocks))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

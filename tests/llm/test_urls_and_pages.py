@@ -53,6 +53,27 @@ def test_main_text_without_semantic_tags():
     assert html_extract.main_text(page).split("\n\n") == [f"Sentence {i}, of the story; it is long enough. It ends here." for i in range(5)] + ["End."]
 
 
+def test_an_article_right_in_the_body():
+    text = "Running text, with some marks; it goes on and on, at length. And on, as it does, to its end."
+    part = "".join(f"<p>{text} {i}</p>" for i in range(3))
+    sections = "".join(f"<h2>Part {i}</h2>{part}" for i in range(4))
+    more = "<ul><li>one</li><li>two</li></ul><blockquote><p>Said once.</p></blockquote>"
+    table = "<h2>Figures</h2><table><tr><td>5</td><td>6</td></tr></table>"
+    want = ["Head", "By me", *[x for i in range(4) for x in (f"Part {i}", *[f"{text} {k}" for k in range(3)])]]
+    menu = "<ul><li><a href=x>Home</a><li><a href=y>News</a></ul>"
+    for page in (f"<body>{menu}<h1>Head</h1><div>By me</div>{sections}{more}{table}<div class=foot>c</div></body>", f"<body>{menu}<h1>Head</h1><div>By me</div>{sections}{more}{table}{menu}</body>"):
+        assert html_extract.main_text(page).split("\n\n") == [*want, "one", "two", "Said once.", "Figures", "5", "6"]
+    page = f"<body>{menu}<h1>Head</h1><div>By me</div>{sections.replace('<h2>Part 2', more + '<h2>Part 2')}<div class=foot>c</div></body>"
+    at = want.index("Part 2")
+    assert html_extract.main_text(page).split("\n\n") == [*want[:at], "one", "two", "Said once.", *want[at:]]
+
+
+def test_a_lead_beside_the_body():
+    text = "Running text, with some marks; it goes on and on, at length. And on, as it does, to its end."
+    page = f"<body><div class=top>x</div><div class=content><h1>Head</h1><div class=lead><p>Lead: {text}</p></div><div class=body>{f'<p>{text}</p>' * 12}<p class=end>End</p></div></div><div class=foot>c</div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", f"Lead: {text}", *[text] * 12, "End"]
+
+
 def test_wrapped_pages():
     text = "Running text, with some marks; it goes on. And on, as it does."
     assert html_extract.main_text(f"<form id=page><nav>m</nav><article class='post no-sidebar'><p>{text}</p><article class=comment><p>No, no.</p></article></article></form>") == text
