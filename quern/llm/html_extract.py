@@ -6,8 +6,11 @@ smoothed over the blocks in page order and fused by their product, so that the p
 out. A path is content if its fused ratio passes a share of that of the path with most running text, whatever length it adds
 up to and unless it is mostly links. Kept is all of each part that directly holds such a path and, in the smallest
 element around all of them (the body, say), every block between the first and the last one, with the heading before
-and lists, tables and quotations right after. What HTML itself or a class names as menu, header, footer, sidebar, notice, advert, form
-or comments is never content, and text inside `article` or `main` is preferred if there is any.
+and lists, tables and quotations right after. What HTML itself calls menu,
+header, footer, aside or the like is never content. What only a class names so, and forms, are read in a second go,
+which counts if it gives `MUCH` times the running text; names of remarks, adverts and cookie notes hold unless nothing
+is left without them. A `main` is free of the names around it. Text inside `article` or `main` is preferred
+unless the content without that preference has `MUCH` times the running text outside of it.
 
 Nulls and odd cases: a null or empty page, or one without text, gives the empty text; unclosed and misplaced
 tags are closed where HTML closes them; equal pages give equal texts; repeated rows stay; an empty table gives an
@@ -29,6 +32,8 @@ from .common import by_bytes, utf8
 
 #: Share of the best path's fused ratio that makes a path content by itself; weight of the neighbours when smoothing.
 SHARE, NEIGHBOUR = 0.15, 0.5
+#: How many times the running text outweighs a name or an `article`.
+MUCH = 4
 # Fixed values of the format: void elements, raw-text elements, elements that break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
@@ -47,6 +52,10 @@ NAMED = frozenset(
 )
 #: What a reader's comment is called where it is an article of its own, and words that turn a name into its absence or mere presence.
 REMARKS = frozenset("comment comments reply replies respond".split())
+#: Names that hold however much text the part has: such parts may be longer than the article.
+FIRM = REMARKS | frozenset("disqus ad ads advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr related recommended".split())
+#: Why a part is left out: a form or name that may mislead, a firm name, or HTML itself.
+LOOSE, STRICT, NEVER = 1, 2, 3
 TURNED = frozenset("no not has with without is".split())
 #: Tags that an opening tag closes, as far up as the nearest of their containers.
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -72,10 +81,10 @@ _SPACE = re.compile(r"\s+")
 class _Block:
     """A block's path of labels, the numbers of these elements in the page, its text and whether that is mostly links."""
 
-    __slots__ = ("path", "at", "text", "inside", "linked")
+    __slots__ = ("path", "at", "text", "inside", "linked", "mark")
 
-    def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, inside: bool, linked: bool):
-        self.path, self.at, self.text, self.inside, self.linked = path, at, text, inside, linked
+    def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, inside: bool, linked: bool, mark: int):
+        self.path, self.at, self.text, self.inside, self.linked, self.mark = path, at, text, inside, linked, mark
 
 
 def _named(marks: str, names: frozenset[str]) -> bool:
@@ -84,12 +93,9 @@ def _named(marks: str, names: frozenset[str]) -> bool:
     return any(p and p[0] not in TURNED and not names.isdisjoint(p) for p in parts)
 
 
-def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
-    """The blocks of text in page order, without the parts that are never content.
-
-    `lenient` takes no hints from names and lets forms through, for pages that are wrapped in such a part.
-    """
-    stack: list[tuple[str, str, str, int]] = []  # tag, label, why it or what is around it is dropped, its number
+def blocks_of(page: str) -> list[_Block]:
+    """The blocks of text in page order with their marks, without the parts that are never content."""
+    stack: list[tuple[str, str, int, int, str]] = []  # tag, label, mark of it or what is around it, its number, why it is marked
     out: list[_Block] = []
     words: list[str] = []
     link, in_links, number = False, 0, 0
@@ -101,9 +107,10 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
             text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
             words.clear()
             in_links = 0
-            if text and not (stack and stack[-1][2]):
+            mark = stack[-1][2] if stack else 0
+            if text and mark < NEVER:
                 labels = tuple(s[1] for s in stack)
-                out.append(_Block(labels, tuple(s[3] for s in stack), text, any(s[0] in ("article", "main") for s in stack), linked))
+                out.append(_Block(labels, tuple(s[3] for s in stack), text, any(s[0] in ("article", "main") for s in stack), linked, mark))
 
     def close(depth: int) -> None:
         flush()
@@ -179,18 +186,18 @@ def blocks_of(page: str, lenient: bool = False) -> list[_Block]:
         flush()
         marks = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower() if attributes.strip() else ""
         plain = name in ("html", "body", "main")
-        around = stack[-1][2] if stack else ""
-        if around == "form" and name in ("article", "main"):
-            around = ""  # a form around a whole page
-        if not around and name in DROPPED and not (lenient and name == "form"):
-            around = name
-        if not around and not plain and not lenient and marks and _named(marks, REMARKS if name == "article" else NAMED):
-            around = "named"
-        if not around and _HIDDEN.search(attributes):
-            around = "hidden"
+        around, why = (stack[-1][2], stack[-1][4]) if stack else (0, "")
+        if around < NEVER and (name == "main" or why == "form" and name == "article"):
+            around, why = 0, ""  # a named part or a form around a whole page
+        if name == "form" and around < LOOSE:
+            around, why = LOOSE, "form"
+        elif name != "form" and name in DROPPED or _HIDDEN.search(attributes):
+            around = NEVER
+        if around < STRICT and not plain and marks and _named(marks, REMARKS if name == "article" else NAMED):
+            around, why = STRICT if _named(marks, FIRM) else LOOSE, "named"
         if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
             number += 1
-            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around, number))
+            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around, number, why))
     flush()
     return out
 
@@ -252,11 +259,36 @@ def _heading(block: _Block) -> bool:
     return not block.linked and bool(block.path) and block.path[-1].split(".")[0] in HEADINGS
 
 
+def _running(blocks: list[_Block]) -> int:
+    """How much running text there is: with a mark, and not mostly links."""
+    return sum(len(b.text) for b in blocks if not b.linked and _PUNCTUATION.search(b.text))
+
+
+def _preferred(blocks: list[_Block]) -> list[_Block]:
+    """What is inside `article` or `main`, unless the real article stands outside of it."""
+    inside = [b for b in blocks if b.inside]
+    if not inside or len(inside) == len(blocks):
+        return inside or content(blocks)
+    outside = [b for b in blocks if not b.inside]
+    if _running(outside) <= MUCH * _running(inside) or _running(found := content(outside)) <= MUCH * _running(inside):
+        return inside
+    sure = {id(b) for b in found}
+    first, last = blocks.index(found[0]), blocks.index(found[-1])
+    return [b for b in blocks[first : last + 1] if b.inside or id(b) in sure]
+
+
 def main_text(page: str) -> str:
     """The content blocks, joined by an empty line."""
-    blocks = blocks_of(page) or blocks_of(page, True)
-    inside = [b for b in blocks if b.inside]
-    return "\n\n".join(b.text for b in inside or content(blocks))
+    blocks = blocks_of(page)
+    kept: list[_Block] = []
+    for mark in (0, LOOSE, STRICT):
+        if any(b.mark == mark for b in blocks):
+            now, before = [b for b in blocks if b.mark <= mark], _running(kept)
+            # Firm names hold as long as there is running text, or an article of a few words, without them.
+            if not kept or (mark == LOOSE or not before and not any(b.inside for b in kept)) and _running(now) > MUCH * before:
+                found = _preferred(now)
+                kept = found if not kept or _running(found) > MUCH * before else kept
+    return "\n\n".join(b.text for b in kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

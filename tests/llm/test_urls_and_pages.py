@@ -81,6 +81,21 @@ def test_wrapped_pages():
     assert html_extract.main_text(f"<div id=header-page><div><p>{text}</p></div></div>") == text
 
 
+def test_a_name_does_not_outweigh_an_article():
+    text = "Running text, with some marks; it goes on. And on, as it does."
+    story = f"<p>{text}</p>" * 10
+    want = "\n\n".join([text] * 10)
+    for wrap in ("content-sidebar-wrap", "header widget", "social", "comments-page"):
+        assert html_extract.main_text(f"<div class='{wrap}'><main>{story}</main></div><p>Copyright</p>") == want
+    for wrap in ("content-sidebar-wrap", "header widget", "social", "form"):
+        assert html_extract.main_text(f"<div class='{wrap}'><article>{story}</article></div><div><p>Copyright</p></div>") == want
+        assert html_extract.main_text(f"<body><div class='{wrap}'><div>{story}</div></div><div class=foot>Copyright</div></body>") == want
+    # A teaser isn't the article; a sidebar, an advert or remarks of some length aren't either.
+    assert html_extract.main_text(f"<body><article class=teaser><p>Read this, too.</p></article><div class=story>{story}</div></body>") == want
+    assert html_extract.main_text(f"<article>{story}</article><div class=sidebar>{story}</div><section id=comments>{story * 9}</section>") == want
+    assert html_extract.main_text(f"<main><p>Short, it is.</p></main><div id=comments><article>{story}</article></div><div class=cookies>{story}</div>") == "Short, it is."
+
+
 def test_markup_and_references():
     assert html_extract.main_text("<p>a&nbsp;&lt;b&gt; &#x41;\n\t c<br>d<b>e</b><p>f") == "a <b> A c de\n\nf"
     assert html_extract.main_text("") == "" and html_extract.main_text("<p> </p><script>x") == ""
