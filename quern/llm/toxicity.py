@@ -3,7 +3,7 @@
 Terms are a text's distinct words (A-Z lower-cased, punctuation taken off) and the words' first four and five
 bytes, each as a 64-bit hash. The machine has a weight and a short vector for each term; the dot products of
 vectors let pairs of terms count together, such as an insult and the mention of a group, which a
-sum of weights misses.
+sum of weights misses. Terms are those that tell the labels apart alone, or with one other term.
 
 It is fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`, by a hash of their ids) that the caller allows for
 training; the sample's terms are collected, the model has at most `MAX_TERMS` terms and is broadcast. Every
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import by_bytes, id_remainder, utf8
 
 SAMPLE_ROWS, MAX_TERMS, LEAST_TEXTS = 10_000, 1 << 15, 3
-#: Terms whose share among the two labels differs by fewer standard errors are left out.
-LEAST_Z = 4.0
+#: Terms whose share among the two labels differs by fewer standard errors are left out, unless they are in a telling pair:
+#: one more often toxic than all texts and than either member, beyond a chance of `PAIR_CHANCE` that any pair is by luck.
+LEAST_Z, PAIR_CHANCE, PAIR_BLOCK = 4.0, 0.01, 512
 FACTORS, ROUNDS, BATCH, STEP, DECAY, SEED = 4, 60, 256, 0.1, 1e-3, 7
 THRESHOLD = 0.7
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -65,6 +66,45 @@ class _Terms(dict):
         return sorted(set().union(*map(self.__getitem__, set(text.lower().split()))))
 
 
+def telling_pairs(kept: list[np.ndarray], labels: np.ndarray, total: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Which terms are in a telling pair; `kept` has the numbers of each row's terms, `total` and `hits` their rows and toxic ones.
+
+    The chance is Chernoff's bound for the toxic rows of a pair, over the pairs of all terms in `LEAST_TEXTS` rows or
+    more. A pair needs some toxic rows for it, so terms in fewer of them are passed over at no loss; the others'
+    pairs are all counted, a block of terms at a time.
+    """
+    share = labels.mean()
+    usable = total >= LEAST_TEXTS
+    evidence = np.log(max(usable.sum(), 2) ** 2 / 2 / PAIR_CHANCE)
+    places = np.flatnonzero(usable & (hits * -np.log(share) >= evidence))
+    telling = np.zeros(len(total), bool)
+    if len(places) < 2:
+        return telling
+    number = np.full(len(total), -1)
+    number[places] = np.arange(len(places))
+    rows = [x[x >= 0] for x in (number[r] for r in kept)]
+    # Toxic rows first, so that each part of the rows has one label.
+    parts = [(y, [rows[i] for i in at[k : k + 1000]]) for y in (1, 0) for at in [np.flatnonzero(labels == y)] for k in range(0, len(at), 1000)]
+    least = np.maximum(share, hits[places] / total[places])
+    for start in range(0, len(places), PAIR_BLOCK):
+        both = np.zeros((2, len(places[start : start + PAIR_BLOCK]), len(places)), np.float32)
+        for y, part in parts:
+            x = np.zeros((len(part), len(places)), np.float32)
+            x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+            both[y] += x[:, start : start + PAIR_BLOCK].T @ x
+        a, b = np.nonzero(both[1] * -np.log(share) >= evidence)
+        on = a + start != b
+        a, b = a[on], b[on]
+        toxic = both[1][a, b].astype(np.float64)
+        n, e = toxic + both[0][a, b], np.minimum(np.maximum(least[a + start], least[b]), 1 - 1e-9)
+        rate = toxic / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            against = np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - e)), 0)
+        found = (rate > e) & (n * (rate * np.log(rate / e) + against) >= evidence)
+        telling[places[a[found] + start]] = telling[places[b[found]]] = True
+    return telling
+
+
 class FactorizationMachine:
     """score = sigmoid(bias + sum of weights + half of (|sum of vectors|^2 - sum of |vector|^2))."""
 
@@ -97,8 +137,10 @@ class FactorizationMachine:
             hits = np.bincount(at, y)
             p = positive / n
             z = (hits - total * p) / np.sqrt(total * p * (1 - p))
-            chosen = np.flatnonzero((total >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
-            chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MAX_TERMS]])
+            bounds = np.cumsum([len(r) for r in rows])[:-1]
+            paired = telling_pairs(np.split(at, bounds), labels, total, hits)
+            chosen = np.flatnonzero((total >= LEAST_TEXTS) & ((np.abs(z) >= LEAST_Z) | paired))
+            chosen = np.sort(chosen[np.lexsort((-np.abs(z[chosen]), ~paired[chosen]))[:MAX_TERMS]])
             terms = terms[chosen]
         rng = np.random.default_rng(SEED)
         model = cls(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))

@@ -204,6 +204,37 @@ def test_pairs_count_beyond_weights():
     assert ask(1, 2) > 0.9 and ask(1) < 0.2 and ask(2) < 0.2 and ask() < 0.2
 
 
+def test_pairs_of_rare_terms_that_say_little_alone():
+    # Term 1 in 200 texts, term 2 in 200; toxic in all 20 that they share and at the base rate else.
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for i in range(10_000):
+        own = [*([1] if i < 200 else []), *([2] if 180 <= i < 380 else []), *np.unique(rng.integers(100, 1000, 30)).tolist()]
+        rows.append(np.array(own, np.uint64))
+        labels.append(float(180 <= i < 200 or rng.random() < 0.115))
+    model = toxicity.FactorizationMachine.fit(rows, np.array(labels))
+    assert {1, 2} <= set(model.terms.tolist()) and len(model.terms) < 20
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    ask = lambda *t: model.scores(np.array([place[x] for x in t], np.int64), np.array([len(t)]))[0]
+    assert ask(1, 2) >= toxicity.THRESHOLD and ask(1) < 0.3 and ask(2) < 0.3
+    # All pairs against counting them one by one, over more than one block.
+    kept = [np.unique(rng.integers(0, 40, 12)) for _ in range(900)]
+    y = np.array([float({3, 4} <= set(r.tolist()) or rng.random() < 0.1) for r in kept])
+    total = np.bincount(np.concatenate(kept), minlength=40)
+    hits = np.bincount(np.concatenate(kept), np.repeat(y, list(map(len, kept))), 40)
+    want, evidence = set(), math.log(40**2 / 2 / toxicity.PAIR_CHANCE)
+    for a in range(40):
+        for b in range(a):
+            both = y[[a in r and b in r for r in kept]]
+            n, q, e = len(both), both.mean(), max(y.mean(), hits[a] / total[a], hits[b] / total[b])
+            against = (1 - q) * math.log((1 - q) / (1 - e)) if q < 1 else 0
+            if q > e and n * (q * math.log(q / e) + against) >= evidence:
+                want |= {a, b}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "PAIR_BLOCK", 7)
+        assert set(np.flatnonzero(toxicity.telling_pairs(kept, y, total, hits)).tolist()) == want >= {3, 4}
+
+
 def test_toxicity_edge_cases(spark, odd, none):
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, no_labels, toxicity.trainable)
