@@ -82,11 +82,12 @@ class WordCounter:
             self.known.clear()
         known = self.known
         fresh = set().union(*split).difference(known)
-        # "word," is "word" and ",": a letter and a following mark never share a token, and A-Z are lower-cased.
+        # "word," is "word" and ",": a letter and a following mark never share a token, and A-Z are lower-cased, but in special strings.
         stems = {}
         for w in fresh:
             mark = w[-1:] if len(w) > 1 and w[-1:] in (b".", b",") and w[:-1].isalpha() and w.isascii() else b""
-            stems[w] = ((w[: -1] if mark else w).lower(), mark)
+            stem = w[:-1] if mark else w
+            stems[w] = (stem if b"<|" in stem else stem.lower(), mark)
         need = list({s for s, _ in stems.values()}.difference(known) | {m for _, m in stems.values() if m and m not in known})
         plain = [w for w in need if b"<|" not in w]
         odd = [w for w in need if b"<|" in w]

@@ -82,6 +82,16 @@ def test_counting_at_marks_and_spaces():
     assert encoder.ids("x" * 30_000) == np.array(slow.encode("x" * 30_000, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_special_strings_count_in_their_case_only():
+    counter = token_counts.WordCounter(token_counts.vocabulary("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "x<|ENDOFTEXT|>y", "X<|endoftext|>Y", "A<|B", "<|StartOfText|>, <|startoftext|>."]
+    want = [len(counter.tokenizer.encode(t, add_special_tokens=False)) for t in texts]
+    assert want[0] != want[1]
+    for order in (texts, texts[::-1]):
+        again = token_counts.WordCounter(token_counts.vocabulary("word_bpe_49k.json"))
+        assert again.count([t.encode() for t in order]) == (want if order is texts else want[::-1])
+
+
 def test_packing_is_gapless_and_whole(documents, odd, none):
     slow = token_counts.load(token_counts.vocabulary("byte_bpe_50k.json"))
     for docs in (documents, odd):
