@@ -24,12 +24,22 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where all runs in one process (tests)."""
     context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quern-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -57,31 +67,6 @@ def by_bytes(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20)
             start = stop
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for at most `LIMIT` words at a time."""
-
-    LIMIT = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def word_hashes(texts: list[bytes], memo: WordHashes, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, one text after another, and each text's number of words.
-
-    bytes.split() splits at 0x20 and 0x09-0x0D and bytes.lower() touches A-Z only, as the contracts ask.
-    """
-    counts, parts = np.zeros(len(texts), np.int64), []
-    for i, text in enumerate(texts):
-        words = (text.lower() if lower else text).split()
-        counts[i] = len(words)
-        parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), counts
-
-
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -92,3 +77,42 @@ def fold(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         h *= M2
         return h ^ (h >> np.uint64(29))
+
+
+_FACTORS = [np.zeros(0, np.uint64)]
+
+
+def _factors(size: int) -> np.ndarray:
+    """An odd random number for each place in a word."""
+    if len(_FACTORS[0]) < size:
+        grown = np.arange(max(64, 2 * size), dtype=np.uint64)
+        _FACTORS[0] = fold(fold(grown, M1), M2) | np.uint64(1)
+    return _FACTORS[0]
+
+
+def hashed_words(texts: list[bytes], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each lower-cased (A-Z) word of the texts, one after another, and each text's number of words.
+
+    Words are runs of bytes but 0x20 and 0x09-0x0D. A hash is the sum of the letters, each times a random number for its place.
+    """
+    out, counts, start = [], np.zeros(len(texts), np.int64), 0
+    while start < len(texts):
+        size, stop = len(texts[start]), start + 1
+        while stop < len(texts) and size + len(texts[stop]) <= chunk:
+            size, stop = size + len(texts[stop]), stop + 1
+        own = texts[start:stop]
+        raw = np.frombuffer(b" ".join([b"", *own, b""]).lower(), np.uint8)
+        inside = ((raw - np.uint8(9)) > 4) & (raw != 32)
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        begin, longest = edges[::2], int((edges[1::2] - edges[::2]).max(initial=0))
+        if len(begin):
+            # White space counts as nothing after the word before it.
+            place = np.arange(begin[0], len(raw)) - np.repeat(begin, np.diff(begin, append=len(raw)))
+            letters = (raw[begin[0] :] + np.uint64(1)) * inside[begin[0] :]
+            with np.errstate(over="ignore"):
+                letters *= _factors(longest)[np.minimum(place, longest - 1)]
+                out.append(np.add.reduceat(letters, begin - begin[0]))
+            ends = np.cumsum([len(x) + 1 for x in own])
+            counts[start:stop] = np.diff(np.searchsorted(begin, ends + 1), prepend=0)
+        start = stop
+    return (fold(np.concatenate(out), M1) if out else np.zeros(0, np.uint64)), counts

@@ -1,17 +1,21 @@
 """N-gram Jaccard join: rare-first prefix filtering, then length, positional and suffix filters.
 
-A document's set is that of its distinct word n-grams, as 64-bit hashes. Equal sets are one class from
-the start. The order of n-grams is rare first, by a count sketch of fixed size over all documents (ties: by
-hash); any fixed order gives whole results, this one gives few candidates. Two classes meet if an
-n-gram is in both prefixes; a pair that meets in several is made one, so it is verified once.
+A document's set is that of its distinct word n-grams, as 64-bit hashes. Texts with the same words in the same order
+are one class from the start, known by 128 bits of a digest. Classes are dealt into blocks, and each block asks how often its n-grams
+occur in all classes (`counts`): so the order is rare first by counts that don't saturate, in steps of a third of an octave
+(ties: by hash), and nothing grows with the corpus on the driver or in a broadcast. An n-gram that occurs once meets
+nobody; a class whose whole prefix is such n-grams, as with most texts, is done. Of the others the
+rest of the prefix is kept with the set. Two classes meet if an n-gram is in both prefixes; a pair that meets
+in several is made one, so it is verified once.
 
 Links only have to connect: a pair whose classes are already in one component needs no verification. So
 the join runs in rounds: with each bucket's most central class, then with a sample of its classes, then
 with all of them, always between different components only. The last round covers every pair that is
 left, hence no link between components is lost, while a bucket of near copies costs about its size.
 
-What is broadcast has a fixed size: the sketch, and a bitmap of the classes to verify. Buckets are never
-gathered; counts are pre-aggregated and hot keys fall to adaptive joins.
+A text's copies are sent on once by each task that reads them, those of a text with more than a
+thousandth of all rows (there are at most `HOT` such texts) only for their least id. Buckets are never gathered; counts
+are pre-aggregated and hot keys fall to adaptive joins.
 
 Nulls and odd cases: a null or empty text has an empty set and is linked with nothing; a text with fewer than
 n words has its whole sequence as one n-gram; a null id is never the smallest id of a component with another;
@@ -27,31 +31,41 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import WordHashes, by_bytes, durable, fold, utf8, word_hashes
+from .common import by_bytes, durable, fold, hashed_words, utf8
 from .components import components
+from .counts import answer, distinct, hash_bits, looked_up
 
-#: The sketch has 2^SKETCH_BITS counters, the bitmap 2^FILTER_BITS bits: fixed, however many rows there are.
-SKETCH_BITS, FILTER_BITS, SLICES = 22, 24, 64
+#: Bytes of text of a block, and rows that a text must have as a share of all (one in `HOT`) to be sent on for one id only.
+BLOCK_BYTES, HOT = 12 << 20, 1000
+#: Digests that a task remembers to send each text on once.
+REMEMBERED = 1 << 18
 #: Groups of hashes whose counts bound the distance of two sets (the suffix filter): so many that even sets of
 #: several thousand n-grams of unlike texts differ by more than the similarity allows. Counts stop at 127, which only loosens the bound.
 GROUPS = 128
 #: One class of this many takes part in the sampled round.
 SAMPLE = 16
-_MEMO = WordHashes()
+#: Bits of the rank of an n-gram in its key; the others are those of its hash.
+RANK_BITS = np.uint64(6)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """The sorted distinct hashes of each text's n-grams of lower-cased words."""
-    words, counts = word_hashes(texts, _MEMO)
-    size = len(words)
-    grams = words[: max(size - n + 1, 0)]
+def plain(text: bytes) -> bytes:
+    """The words, A-Z lower-cased, with one space between.
+
+    bytes.split() splits at 0x20 and 0x09-0x0D and bytes.lower() touches A-Z only, as the contracts ask.
+    """
+    return b" ".join(text.lower().split())
+
+
+def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The hashes of each text's n-grams of lower-cased words, in order; of a shorter text that of all its words."""
+    words, counts = hashed_words(texts)
+    grams = words[: max(len(words) - n + 1, 0)]
     for k in range(1, n):
         grams = fold(grams, words[k : k + len(grams)])
     out, start = [], 0
     for count in counts.tolist():
         if count >= n:
-            part = np.sort(grams[start : start + count - n + 1])
-            out.append(part[np.concatenate(([True], part[1:] != part[:-1]))])
+            out.append(grams[start : start + count - n + 1])
         elif count:
             whole = np.full(1, 0x5851F42D4C957F2D + count, np.uint64)
             for w in words[start : start + count]:
@@ -63,151 +77,97 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _sketched(n: int):
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in by_bytes(batches, "__text"):
-            found = shingle_sets(utf8(batch.column("__text")), n)
-            if found:
-                counts += np.bincount(_places(np.concatenate(found)), minlength=len(counts)).astype(np.uint32)
-        if counts.any():
-            # A task's counts stop at 255: enough for an order by rarity, whatever the order, results are whole.
-            parts = np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts])], ["slice", "counts"])
-
-    return sketch
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """16-bit ranks from the sums of the counters of each slice that comes by: finer than a twentieth of an octave."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            total.setdefault(k, np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64))
-            total[k] += np.frombuffer(counts, np.uint8)
-    for k, sums in total.items():
-        ranks = np.minimum(np.log2(sums.astype(np.float64) + 1) * 1000, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([ranks.tobytes()])], ["slice", "counts"])
-
-
-def rarity(texts: DataFrame, n: int) -> np.ndarray:
-    """How often each place of the sketch is hit, over all rows, as ranks."""
-    parts = texts.mapInArrow(_sketched(n), "slice int, counts binary").repartition(SLICES, "slice").mapInArrow(_ranked, "slice int, counts binary")
-    ranks = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for row in parts.collect():  # SLICES rows of fixed size
-        ranks[row["slice"] * (len(ranks) // SLICES) :][: len(ranks) // SLICES] = np.frombuffer(row["counts"], np.uint16)
-    return ranks
+def unique(sorted_values: np.ndarray) -> np.ndarray:
+    keep = np.ones(len(sorted_values), bool)
+    np.not_equal(sorted_values[1:], sorted_values[:-1], out=keep[1:])
+    return sorted_values[keep]
 
 
-def least_overlap(a: Column, b: Column, percent: int) -> Column:
-    """The least intersection of sets of these sizes that gives the similarity."""
-    return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "__text"):
+        words = [plain(x) for x in utf8(batch.column("__text"))]
+        made = [pa.array([xxhash.xxh3_128_digest(x) if x else None for x in words], pa.binary()), pa.array([len(x) for x in words], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.select(["__id", "id_hash"]).columns, *made], ["__id", "id_hash", "class", "n_bytes"])
 
 
-def class_of(found: np.ndarray) -> int:
-    """A set's class: 64 bits of a digest. Two of n different sets share one with a chance below n^2 / 2^65."""
-    return int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True)
+def _sent(hot):
+    """Each class that comes by and its words, but those of hot classes for the id named only."""
 
-
-def _prefixed(n: int, percent: int, ranks):
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, seen = hot.value, set()
         for batch in by_bytes(batches, "__text"):
-            sizes, classes, heads, centres, groups = [], [], [], [], []
-            for found in shingle_sets(utf8(batch.column("__text")), n):
-                sizes.append(len(found))
-                if not len(found):
-                    for column in (classes, heads, centres, groups):
-                        column.append(None)
-                    continue
-                order = rank[_places(found)]
-                keep = len(found) - -(-percent * len(found) // 100) + 1
-                first = np.lexsort((found, order))[:keep]
-                classes.append(class_of(found))
-                heads.append(found[first].view(np.int64).tolist())
-                centres.append(float(order.mean()))
-                counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                groups.append(np.minimum(counts, 127).tolist())
-            made = [pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(centres, pa.float32()), pa.array(groups, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), *made], ["__id", "size", "class", "head", "centre", "groups"])
+            classes, texts = [], []
+            for h, raw in zip(batch.column("id_hash").to_pylist(), utf8(batch.column("__text"))):
+                words = plain(raw)
+                digest = xxhash.xxh3_128_digest(words)
+                if words and digest not in seen and least.get(digest, h) == h:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
+                    classes.append(digest)
+                    texts.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(texts, pa.binary())], ["class", "words"])
+
+    return send
+
+
+def _block(table: pa.Table, n: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """A block's classes, each once, in an order of their own, and their n-grams."""
+    own = dict(zip(table["class"].to_pylist(), table["words"].to_pylist()))
+    classes = sorted(own)
+    return classes, shingles([own[c] for c in classes], n)
+
+
+def _gathered(n: int, bits: int):
+    def gather(table: pa.Table):
+        _, grams = _block(table, n)
+        values, counts, _ = distinct(np.concatenate(grams) >> np.uint64(64 - bits))
+        return [(values, counts)]
+
+    return gather
+
+
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """The rank of an n-gram by its count: 0 for 1, then three ranks an octave."""
+    return np.minimum(np.ceil(3 * np.log2(np.maximum(counts, 1))), 63).astype(np.uint64)
+
+
+_FIELDS = pa.schema([("class", pa.binary()), ("size", pa.int64()), ("centre", pa.float32()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("groups", pa.list_(pa.int8())), ("hashes", pa.binary())])
+_FIELDS_SQL = "class binary, size long, centre float, grams array<long>, places array<int>, groups array<tinyint>, hashes binary"
+
+
+def _prefixed(n: int, percent: int, bits: int):
+    """Each class's size, and for those that may meet others the shared n-grams of their prefix, and their set."""
+
+    def prefix(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _FIELDS.empty_table()
+        classes, grams = _block(table, n)
+        flat = np.concatenate(grams)
+        _, _, at = distinct(flat >> np.uint64(64 - bits))
+        keys = ranked(answer(told, 0)[0])[at] << np.uint64(64 - RANK_BITS) | flat >> RANK_BITS
+        first_shared, rows, start = np.uint64(1) << np.uint64(64 - RANK_BITS), [], 0
+        for name, own in zip(classes, grams):
+            key = unique(np.sort(keys[start : start + len(own)]))
+            start += len(own)
+            size = len(key)
+            keep = size - -(-percent * size // 100) + 1
+            alone = int(np.searchsorted(key[:keep], first_shared))
+            if alone == keep:
+                rows.append((name, size, None, None, None, None, None))
+                continue
+            found = unique(np.sort(own))
+            counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+            centre = float((key >> np.uint64(64 - RANK_BITS)).mean())
+            rows.append((name, size, centre, key[alone:keep].view(np.int64), np.arange(alone, keep, dtype=np.int32), np.minimum(counts, 127).astype(np.int8), found.tobytes()))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
 
     return prefix
 
 
-def _met(shared):
-    """Cuts each prefix down to the n-grams in a bitmap; rows without any go."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            heads = batch.column("head")
-            flat, sizes = heads.flatten().to_numpy(), heads.value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            on = _inside(bits, flat)
-            row, place, flat = row[on], place[on], flat[on]
-            counts = np.bincount(row, minlength=len(sizes))
-            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, place.astype(np.int32))]
-            names = [c for c in batch.schema.names if c != "head"]
-            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *lists], [*names, "grams", "places"])
-            yield out.filter(pa.array(counts > 0))
-
-    return meet
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (fold(ids.view(np.uint64), np.uint64(1)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        seen[_bits(batch.column(0).to_numpy())] = True
-    for k, part in enumerate(np.split(np.packbits(seen), SLICES)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], ["slice", "bits"])
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, bits in zip(batch.column("slice").to_pylist(), batch.column("bits").to_pylist()):
-            part = np.frombuffer(bits, np.uint8)
-            total[k] = total[k] | part if k in total else part
-    for k, part in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], ["slice", "bits"])
-
-
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the hashes of a one-column table."""
-    parts = ids.mapInArrow(_marked, "slice int, bits binary").repartition(SLICES, "slice").mapInArrow(_united, "slice int, bits binary")
-    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for row in parts.collect():  # at most SLICES rows of fixed size
-        bits[row["slice"] * (len(bits) // SLICES) :][: len(bits) // SLICES] = np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
-def _inside(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bits(hashes)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-
-
-def _wanted_sets(n: int, wanted):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        for batch in by_bytes(batches, "__text"):
-            batch = batch.filter(pa.array(_inside(bits, batch.column("id_hash").to_numpy())))
-            if batch.num_rows:
-                found = shingle_sets(utf8(batch.column("__text")), n)
-                made = [pa.array([class_of(x) if len(x) else None for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, ["class", "hashes"])
-
-    return sets
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """The least intersection of sets of these sizes that gives the similarity."""
+    return F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
 
 
 def _verified(percent: int):
@@ -228,29 +188,26 @@ def _verified(percent: int):
 class JaccardJoin:
     """The join of one table with itself; see the module's text."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90):
-        self.spark, self.n, self.percent = docs.sparkSession, n, percent
-        self.texts = docs.select(F.col(key).alias("__id"), F.xxhash64(F.col(key)).alias("id_hash"), F.col(text).cast("string").alias("__text"))
-        id_type = docs.select(key).schema[0].dataType.simpleString()
-        ranks = self.spark.sparkContext.broadcast(rarity(self.texts.select("__text"), n))
-        made = self.texts.select("__id", "__text").mapInArrow(_prefixed(n, percent, ranks), f"__id {id_type}, size long, class long, head array<long>, centre float, groups array<tinyint>")
-        self.rows = durable(made)
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block_bytes: int = BLOCK_BYTES):
+        self.percent = percent
+        texts = docs.select(F.col(f"`{key}`").alias("__id"), F.xxhash64(F.col(f"`{key}`")).alias("id_hash"), F.col(f"`{text}`").cast("string").alias("__text"))
+        id_type = texts.schema["__id"].dataType.simpleString()
+        self.rows = durable(texts.mapInArrow(_classed, f"__id {id_type}, id_hash long, class binary, n_bytes long"))
+        each = self.rows.where("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("id_hash").alias("least"), F.max("n_bytes").alias("size"))
+        size, rows = each.agg(F.sum("size"), F.sum("n")).first()
+        # At most HOT of them: each has more than one in HOT of the rows.
+        often = each.where((F.col("n") * HOT > (rows or 0)) & (F.col("n") > 16)).select("class", "least").collect()
+        hot = docs.sparkSession.sparkContext.broadcast({bytes(r["class"]): r["least"] for r in often})
+        blocks, bits = -(-(size or 0) // block_bytes) or 1, hash_bits((size or 0) // 4, 12)
+        sent = texts.select("id_hash", "__text").mapInArrow(_sent(hot), "class binary, words binary")
+        dealt = sent.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("block"), "class", "words")
+        self.classes = durable(looked_up(dealt, blocks, bits, _gathered(n, bits), _prefixed(n, percent, bits), _FIELDS_SQL))
 
     def buckets(self) -> DataFrame:
-        """Prefix n-grams that two classes have at least, a row for each of their classes; sets `counts`."""
-        rows = self.rows.where("size > 0")
-        spread = rows.select("class", F.explode("head").alias("gram"))
-        met = spread.groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
-        # The bitmap lets a few n-grams of one class through; they meet nobody.
-        shared = self.spark.sparkContext.broadcast(_bitmap(met))
-        own = rows.select("class", "size", "groups", "centre", F.xxhash64("__id").alias("id_hash"), "head")
-        fields = "class long, size long, groups array<tinyint>, centre float, id_hash long, grams array<long>, places array<int>"
-        per_class = own.mapInArrow(_met(shared), fields).groupBy("class").agg(F.first(F.struct("size", "groups", "centre", "grams", "places")).alias("r"), F.min("id_hash").alias("id_hash"))
-        per_class = durable(per_class.select("class", "id_hash", "r.*"))
-        self.counts = per_class.select("class", "groups")
+        """Shared n-grams of prefixes that two classes have at least, a row for each of their classes."""
         level = F.pmod(F.xxhash64("class"), F.lit(SAMPLE)) == 0
-        wide = per_class.select("class", "size", "id_hash", "centre", level.alias("sampled"), F.explode(F.arrays_zip("grams", "places")).alias("x"))
-        wide = wide.select("class", "size", "id_hash", "centre", "sampled", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
+        wide = self.classes.where("grams is not null").select("class", "size", "centre", level.alias("sampled"), F.explode(F.arrays_zip("grams", "places")).alias("x"))
+        wide = wide.select("class", "size", "centre", "sampled", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
         # The most central class of a bucket has the n-grams that the others share.
         hubs = wide.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.struct("centre", "class"))["class"].alias("hub")).where("n > 1").select("gram", "hub")
         return durable(wide.join(hubs, "gram").withColumn("hub", F.col("hub") == F.col("class")).drop("centre"))
@@ -268,22 +225,18 @@ class JaccardJoin:
             & (100 * sb >= t * sa)
             & (1 + F.least(sa - F.col("a_place") - 1, sb - F.col("b_place") - 1) >= least_overlap(sa, sb, t))  # position
         )
-        met = a.join(b, meets).select(F.col("a_class").alias("u"), F.col("b_class").alias("v"), F.col("a_id_hash").alias("uid"), F.col("b_id_hash").alias("vid"), (sa + sb - 2 * least_overlap(sa, sb, t)).alias("apart")).distinct()
-        met = met.join(self.counts.select(F.col("class").alias("u"), F.col("groups").alias("gu")), "u").join(self.counts.select(F.col("class").alias("v"), F.col("groups").alias("gv")), "v")
+        met = a.join(b, meets).select(F.col("a_class").alias("u"), F.col("b_class").alias("v"), (sa + sb - 2 * least_overlap(sa, sb, t)).alias("apart")).distinct()
+        own = self.classes.where("grams is not null").select("class", "groups")
+        met = met.join(own.select(F.col("class").alias("u"), F.col("groups").alias("gu")), "u").join(own.select(F.col("class").alias("v"), F.col("groups").alias("gv")), "v")
         apart = F.aggregate(F.zip_with("gu", "gv", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
-        return met.where(apart <= F.col("apart")).select("u", "v", "uid", "vid")  # suffix
+        return met.where(apart <= F.col("apart")).select("u", "v")  # suffix
 
     def _links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. Sets are made again from the texts of the classes in question only."""
-        ids = pairs.select(F.col("uid").alias("id_hash")).unionByName(pairs.select(F.col("vid").alias("id_hash")))
-        wanted = self.spark.sparkContext.broadcast(_bitmap(ids))
-        sets = self.texts.select("id_hash", "__text").mapInArrow(_wanted_sets(self.n, wanted), "class long, hashes binary")
-        inside = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
-        # Copies of a text make the same set again: one of them is enough.
-        sets = sets.join(inside, "class", "left_semi").groupBy("class").agg(F.first("hashes").alias("hashes"))
-        with_v = pairs.select("u", "v").join(sets.select(F.col("class").alias("v"), F.col("hashes").alias("right")), "v")
+        """The pairs that are similar."""
+        sets = self.classes.where("grams is not null").select("class", "hashes")
+        with_v = pairs.join(sets.select(F.col("class").alias("v"), F.col("hashes").alias("right")), "v")
         full = with_v.join(sets.select(F.col("class").alias("u"), F.col("hashes").alias("left")), "u")
-        return durable(full.select("u", "v", "left", "right").mapInArrow(_verified(self.percent), "u long, v long"))
+        return durable(full.select("u", "v", "left", "right").mapInArrow(_verified(self.percent), "u binary, v binary"))
 
     def roots(self) -> DataFrame:
         """node, root: each class that is linked, and its component's smallest class."""
@@ -312,11 +265,14 @@ class JaccardJoin:
     def labelled(self) -> DataFrame:
         """__id, size, component: the smallest id reachable by links."""
         roots = self.roots()
-        least = self.rows.where("size > 0").groupBy("class").agg(F.min("__id").alias("least"))
+        least = self.rows.where("class is not null").groupBy("class").agg(F.min("__id").alias("least"))
         named = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
         best = named.groupBy("root").agg(F.min("least").alias("component"))
-        by_class = named.join(best, "root").select(F.col("class").alias("of"), "component")
-        return self.rows.select("__id", "size", "class").join(by_class, F.col("class") == F.col("of"), "left").select("__id", "size", F.coalesce("component", "__id").alias("component"))
+        # Sizes of classes that a hot id sends on more than once are the same.
+        sizes = self.classes.select(F.col("class").alias("of"), "size")
+        by_class = named.join(best, "root").select("class", "component").join(sizes, F.col("class") == F.col("of")).select("of", "size", "component")
+        joined = self.rows.select("__id", "class").join(by_class, F.col("class") == F.col("of"), "left")
+        return joined.select("__id", F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("component", "__id").alias("component"))
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
