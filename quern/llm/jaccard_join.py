@@ -121,7 +121,7 @@ def _block(table: pa.Table, n: int) -> tuple[list[bytes], list[np.ndarray]]:
 def _gathered(n: int, bits: int):
     def gather(table: pa.Table):
         _, grams = _block(table, n)
-        values, counts, _ = distinct(np.concatenate(grams) >> np.uint64(64 - bits))
+        values, counts, _ = distinct(np.concatenate(grams) >> np.uint64(64 - bits), bits=bits)
         return [(values, counts)]
 
     return gather
@@ -144,7 +144,7 @@ def _prefixed(n: int, percent: int, bits: int):
             return _FIELDS.empty_table()
         classes, grams = _block(table, n)
         flat = np.concatenate(grams)
-        _, _, at = distinct(flat >> np.uint64(64 - bits))
+        _, _, at = distinct(flat >> np.uint64(64 - bits), bits=bits)
         keys = ranked(answer(told, 0)[0])[at] << np.uint64(64 - RANK_BITS) | flat >> RANK_BITS
         first_shared, rows, start = np.uint64(1) << np.uint64(64 - RANK_BITS), [], 0
         for name, own in zip(classes, grams):

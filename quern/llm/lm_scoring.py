@@ -7,289 +7,215 @@ the failure arc to the state of g' at the cost of log10(m / (c(g) + m)). A text
 traversal that carries the state and adds up log probabilities.
 
 Counts are those of all training texts, none is pruned, so the automaton grows with the corpus and no worker
-holds it whole. Rows are dealt into blocks by size. Each block sends its distinct n-grams, as 64-bit hashes with
-their counts, to buckets by hash; buckets add up and send back, in the order asked, the counts of just these
-n-grams; the block builds the part of the automaton that its own texts can reach and traverses it, its
-texts in lockstep. Blocks and buckets both hold about `BLOCK_BYTES`, so what meets between them is what a shuffle
-between as many tasks has anyway. A frequent word is one entry of each block, never a hot key.
+holds it whole. Rows are dealt into blocks of about `BLOCK_BYTES` by id and text. Each block asks how often its distinct n-grams,
+as hashes, occur in training (`counts`), builds the part of the automaton that its own texts can reach and
+traverses it, its texts in lockstep. N and V come with the same answers. Messages grow in proportion to the blocks.
 
 Nulls and odd cases: a null or empty text is the end token alone; a null id counts as the empty text for the
-split; without training rows every token has probability 1 (N = V = 0); repeated rows stay; an empty table
-gives an empty result; extra columns are left out.
+split; without training rows every token has probability 1 (N = V = 0); repeated rows stay (one that makes more than a
+thousandth of all rows is scored once and laid out again); an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import fold, shuffle_parts, utf8
+from .common import fold, hashed_words, utf8
+from .counts import answer, distinct, hash_bits, looked_up
 
-ORDER = 2
+ORDER = 3
 #: Strength of each order's prior, from order 2 on (the last one holds for all further orders).
 STRENGTHS = (1000.0, 100.0)
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
+#: Rows that are the same are scored once if they are more than one in HOT of all.
+HOT = 1000
 #: Steps that a text is traversed at once; longer ones go on in further lanes, warmed up with what came before.
 LANE = 2048
 _END, _START = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
 class BlockGrams:
-    """The n-grams of a block's texts, by local number, order by order.
+    """The n-grams of a block's texts, order by order, numbered in the order of their hashes of `bits` bits.
 
     `tokens` has a start, the words and an end for each text; `at[k]` gives for each token the number of the
-    (k + 1)-gram that ends there, or -1 at a start or where the text doesn't reach back so far.
+    (k + 1)-gram that ends there, or -1 at a start or where the text doesn't reach back so far. Of a gram `prefix`
+    and `suffix` are the numbers of the gram without its last and first word.
     """
 
-    def __init__(self, texts: list[bytes], order: int):
-        ids: dict[bytes, int] = {}
-        parts = []
-        for text in texts:
-            words = text.lower().split()
-            own = np.empty(len(words) + 2, np.int32)
-            own[0], own[-1] = 0, 1
-            own[1:-1] = [ids.setdefault(w, len(ids) + 2) for w in words]
-            parts.append(own)
-        self.words = np.array([_START, _END, *map(xxhash.xxh3_64_intdigest, ids)], np.uint64)
-        del ids
-        self.tokens = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        del parts
+    def __init__(self, texts: list[bytes], order: int, bits: int = 64):
+        words, counts = hashed_words(texts)
+        self.lengths = counts + 2
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.size = len(self.words)
-        n = len(self.tokens)
-        self.at, self.prefix, self.suffix, self.last, self.hashes = [self.tokens], [None], [None], [np.arange(self.size, dtype=np.int32)], [self.words]
-        reaches = np.ones(n, bool)
+        n, cut = int(self.lengths.sum()), np.uint64(64 - bits)
+        own = np.empty(n, np.uint64)
+        inner = np.ones(n, bool)
+        inner[self.starts] = inner[self.starts + self.lengths - 1] = False
+        own[inner], own[self.starts], own[self.starts + self.lengths - 1] = words, _START, _END
+        del words, inner
+        values, _, self.tokens = distinct(own >> cut, bits=bits)
+        self.first = int(np.searchsorted(values, _START >> cut))  # the start's number
+        self.values, self.at, self.prefix, self.suffix = [values], [self.tokens], [None], [None]
+        reaches, hashes = np.ones(n, bool), own
         for k in range(1, order):
-            behind = self.starts + k - 1
-            reaches[behind[self.lengths >= k]] = False
+            reaches[self.starts[self.lengths >= k] + k - 1] = False
             here = np.flatnonzero(reaches)
-            keys = self.at[k - 1][here - 1] * np.int64(self.size) + self.tokens[here]
-            keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
+            longer = np.zeros(n, np.uint64)
+            longer[here] = fold(hashes[here - 1], own[here])
+            hashes = longer
+            values, _, number = distinct(hashes[here] >> cut, bits=bits)
             at = np.full(n, -1, np.int32)
             at[here] = number
-            self.suffix.append(self.at[k - 1][here[first]])
-            del here, number, first
+            prefix, suffix = np.empty(len(values), np.int32), np.empty(len(values), np.int32)
+            prefix[number], suffix[number] = self.at[k - 1][here - 1], self.at[k - 1][here]
+            self.values.append(values)
             self.at.append(at)
-            self.prefix.append((keys // self.size).astype(np.int32))
-            self.last.append((keys % self.size).astype(np.int32))
-            self.hashes.append(fold(self.hashes[k - 1][self.prefix[k]], self.words[self.last[k]]))
+            self.prefix.append(prefix)
+            self.suffix.append(suffix)
 
-    def counts(self, k: int, train: np.ndarray) -> np.ndarray:
-        """How often each (k + 1)-gram ends in a training text."""
-        used = np.repeat(train, self.lengths) & (self.at[k] >= 0)
-        return np.bincount(self.at[k][used], minlength=len(self.hashes[k]))
-
-    def routes(self, k: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """An order of the (k + 1)-grams, by bucket and hash, and the bounds of each bucket in it."""
-        bucket = (self.hashes[k] >> np.uint64(20)) % np.uint64(buckets)
-        order = np.lexsort((self.hashes[k], bucket))
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    def counts(self, k: int, times: np.ndarray) -> np.ndarray:
+        """How often each (k + 1)-gram ends in the texts, each counted so many times."""
+        weights = np.repeat(times, self.lengths)
+        used = (self.at[k] >= 0) & (weights > 0)
+        return np.bincount(self.at[k][used], weights[used], len(self.values[k])).astype(np.int64)
 
 
 class BackoffAutomaton:
     """States, arcs and failure arcs for the n-grams of a block, from their counts in training.
 
-    State 0 is the root. `failure` and `weight` give where a state falls back to and at what cost; arcs lie
-    sorted by (state, word).
+    All n-grams are numbered through, shorter ones first. Those seen that can be a context are states, with
+    `failure` and `weight`: where a state falls back to and at what cost. The arc of a state under a word is
+    the n-gram of both; it is there if that was seen, with `value` and `target`. The root is the last state; it has an arc for each word.
     """
 
-    def __init__(self, grams: BlockGrams, counts: list[np.ndarray], total: int, distinct: int, strengths: tuple[float, ...]):
-        self.words = grams.size
-        floor = 1.0 / (total + distinct + 1)
-        self.root = np.log10((counts[0] + 1) * floor)
-        probability = [(counts[0] + 1) * floor]
-        top = len(counts) - 1
-        # A state for each seen n-gram that can be a context; those shorter than the longest by their number.
-        states, made = [], 1
-        for k in range(max(top, 1)):
-            seen = counts[k] > 0
-            number = np.where(seen, np.cumsum(seen) - 1 + made, 0).astype(np.int32)
-            made += int(seen.sum())
-            states.append(number)
-        self.failure, self.weight = np.zeros(made, np.int32), np.zeros(made)
-        keys, values, targets = [], [], []
-        self.after_root = states[0]
-        for k in range(1, top + 1):
-            m = strengths[min(k - 1, len(strengths) - 1)]
-            context = counts[k - 1][grams.prefix[k]]
-            p = (counts[k] + m * probability[k - 1][grams.suffix[k]]) / (context + m)
-            probability.append(p)
-            seen = counts[k] > 0
-            keys.append(states[k - 1][grams.prefix[k][seen]] * np.int64(self.words) + grams.last[k][seen])
-            values.append(np.log10(p[seen]))
-            targets.append(states[k][seen] if k < top else states[k - 1][grams.suffix[k][seen]])
-        for k in range(max(top, 1)):
-            own = counts[k] > 0
-            self.failure[states[k][own]] = states[k - 1][grams.suffix[k][own]] if k else 0
-            m = strengths[min(k, len(strengths) - 1)]
-            self.weight[states[k][own]] = np.log10(m / (counts[k][own] + m)) if top else 0.0
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.argsort(keys)
-        self.keys = np.concatenate((keys[order], [np.iinfo(np.int64).max]))
-        self.values = np.concatenate((np.concatenate(values)[order] if values else np.zeros(0), [0.0]))
-        self.targets = np.concatenate((np.concatenate(targets)[order] if targets else np.zeros(0, np.int32), np.zeros(1, np.int32)))
-
-    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each lane's word, and its next state."""
-        score, out, rest = np.zeros(len(state)), np.zeros(len(state), np.int64), np.arange(len(state))
-        state = state.copy()
-        while len(rest):
-            key = state * self.words + word[rest]
-            at = np.searchsorted(self.keys, key)
-            arc = (self.keys[at] == key) & (state > 0)
-            root = state == 0
-            hit = rest[arc]
-            score[hit] += self.values[at[arc]]
-            out[hit] = self.targets[at[arc]]
-            hit = rest[root]
-            score[hit] += self.root[word[hit]]
-            out[hit] = self.after_root[word[hit]]
-            falls = ~(arc | root)
-            rest, state = rest[falls], state[falls]
-            score[rest] += self.weight[state]
-            state = self.failure[state].astype(np.int64)
+    def __init__(self, grams: BlockGrams, counts: list[np.ndarray], total: int, distinct_words: int, strengths: tuple[float, ...]):
+        offsets = np.cumsum([0, *map(len, counts)])
+        size, top = int(offsets[-1]), len(counts) - 1
+        self.at = np.full((top + 1, len(grams.tokens)), -1, np.int32)  # by the state's length: the arc's number at each token
+        self.root, self.seen = size, np.zeros(size + 1, bool)
+        self.value, self.weight = np.zeros(size + 1), np.zeros(size + 1)
+        self.target, self.failure = np.full(size + 1, size, np.int32), np.full(size + 1, size, np.int32)
+        self.depth = np.zeros(size + 1, np.int8)
+        probability = (counts[0] + 1) / (total + distinct_words + 1)
+        for k, own in enumerate(counts):
+            here, m = slice(offsets[k], offsets[k + 1]), strengths[min(k, len(strengths) - 1)]
+            on = grams.at[k] >= 0
+            self.at[k, on] = grams.at[k][on] + offsets[k]
+            if k:
+                prior = strengths[min(k - 1, len(strengths) - 1)]
+                probability = (own + prior * probability[grams.suffix[k]]) / (counts[k - 1][grams.prefix[k]] + prior)
+                shorter = grams.suffix[k] + np.int32(offsets[k - 1])
+            self.seen[here] = (own > 0) | (k == 0)
+            self.value[here] = np.log10(probability)
+            if k < top:
+                state = own > 0
+                self.depth[here] = k + 1
+                self.target[here] = np.where(state, np.arange(offsets[k], offsets[k + 1], dtype=np.int32), np.int32(size))
+                self.weight[here] = np.log10(m / (own + m))
+                if k:
+                    self.failure[here] = shorter
+            elif k:
+                self.target[here] = shorter
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each lane's word, at the places `token`, and its next state."""
+        score, out, rest = np.zeros(len(state)), np.empty(len(state), np.int32), None
+        while len(state):
+            arc = self.at[self.depth[state], token]
+            hit = self.seen[arc]
+            gain = np.where(hit, self.value[arc], self.weight[state])
+            if rest is None:
+                score += gain
+                out[hit] = self.target[arc[hit]]
+                rest = np.flatnonzero(~hit)
+            else:
+                score[rest] += gain
+                out[rest[hit]] = self.target[arc[hit]]
+                rest = rest[~hit]
+            state, token = self.failure[state[~hit]], token[~hit]
         return score, out
 
 
 def traverse(automaton: BackoffAutomaton, grams: BlockGrams, order: int) -> np.ndarray:
     """Each text's sum of log probabilities."""
-    lane_text, lane_from, lane_to = [], [], []
-    for i, (start, length) in enumerate(zip(grams.starts.tolist(), grams.lengths.tolist())):
-        for at in range(start + 1, start + length, LANE):
-            lane_text.append(i)
-            lane_from.append(at)
-            lane_to.append(min(at + LANE, start + length))
-    text, begin, end = (np.array(x, np.int64) for x in (lane_text, lane_from, lane_to))
-    by_length = np.argsort(begin - end, kind="stable")
-    text, begin, end = text[by_length], begin[by_length], end[by_length]
-    size = end - begin
+    lanes = -(-(grams.lengths - 1) // LANE)
+    text = np.repeat(np.arange(len(lanes)), lanes)
+    begin = grams.starts[text] + 1 + LANE * (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    size = np.minimum(LANE, grams.starts[text] + grams.lengths[text] - begin)
+    by_length = np.argsort(-size, kind="stable")
+    text, begin, size = text[by_length], begin[by_length], size[by_length]
     # The state before a lane's first word is that of the longest seen n-gram that ends there.
-    state = np.zeros(len(text), np.int64)
-    back = np.maximum(begin - max(order - 1, 1), grams.starts[text]) if len(text) else begin
+    state = np.full(len(text), automaton.root, np.int32)
     for ahead in range(max(order - 1, 1), 0, -1):
-        here = begin - ahead
-        on = here >= back
-        _, moved = automaton.step(state[on], grams.tokens[here[on]])
-        state[on] = moved
+        on = begin - ahead >= grams.starts[text]
+        state[on] = automaton.step(state[on], begin[on] - ahead)[1]
     total = np.zeros(len(text))
-    for t in range(int(size.max()) if len(size) else 0):
-        active = int(np.searchsorted(-size, -t, "left"))  # lanes longer than t stand in front
-        score, state[:active] = automaton.step(state[:active], grams.tokens[begin[:active] + t])
-        total[:active] += score
+    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left").tolist()  # lanes longer than t stand in front
+    for t, n in enumerate(active):
+        score, state = automaton.step(state[:n], begin[:n] + t)
+        total[:n] += score
     return np.bincount(text, total, len(grams.lengths))
 
 
-_ASK = "block int, bucket int, n int, hashes binary, counts binary"
-_TOLD = "block int, bucket int, n int, counts binary, total long, distinct long"
-
-
-def _read(table: pa.Table) -> tuple[pa.Table, list[bytes], np.ndarray]:
-    """A block's rows in an order of their own, however they came."""
-    table = table.append_column("__size", pa.array([len(x) for x in utf8(table["__text"])], pa.int64())).sort_by([("__size", "ascending"), ("__id", "ascending"), ("__text", "ascending")])
-    return table.drop_columns(["__text"]), utf8(table["__text"]), table["__train"].to_numpy()
+def _gathered(order: int, bits: int):
+    """A block's distinct n-grams of each order and how often they occur in its training texts."""
 
-
-def _asking(order: int, buckets: int):
-    def ask(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        _, texts, train = _read(table)
-        grams, rows = BlockGrams(texts, order), []
-        del texts, table
+    def gather(table: pa.Table):
+        grams = BlockGrams(utf8(table["__text"]), order, bits)
+        times = np.where(table["__train"].to_numpy(), table["__times"].to_numpy(), 0)
         for k in range(order):
-            to, bounds = grams.routes(k, buckets)
-            hashes, counts = grams.hashes[k][to], grams.counts(k, train).astype(np.uint32)[to]
-            rows += [(block, b, k, hashes[s:e].tobytes(), counts[s:e].tobytes()) for b, (s, e) in enumerate(zip(bounds, bounds[1:])) if e > s]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["block", "bucket", "n", "hashes", "counts"])
-
-    return ask
-
+            yield grams.values[k], grams.counts(k, times)
 
-def _telling(blocks: int):
-    def tell(table: pa.Table) -> pa.Table:
-        return _told(table, blocks)
+    return gather
 
-    return tell
 
-
-def _told(table: pa.Table, blocks: int) -> pa.Table:
-    """A bucket's answer: the sums over all blocks, for each block in the order that it asked in.
-
-    Every block also gets the bucket's numbers of tokens and of distinct tokens, to add up.
-    """
-    rows, bucket = [], table["bucket"][0].as_py()
-    order = table["n"].to_numpy()
-    for k in np.unique(order).tolist():
-        part = table.filter(pa.array(order == k))
-        hashes = [np.frombuffer(x, np.uint64) for x in part["hashes"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"].to_pylist()])
-        unique, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(at, counts, len(unique)).astype(np.int64)
-        start = 0
-        for block, own in zip(part["block"].to_pylist(), hashes):
-            rows.append((block, bucket, k, sums[at[start : start + len(own)]].astype(np.uint32 if sums.max() < 2**32 else np.uint64).tobytes(), None, None))
-            start += len(own)
-        if k == 0:
-            token = unique != _START
-            known = int(sums[token].sum()), int((sums[token] > 0).sum())
-            rows += [(block, bucket, -1, None, *known) for block in range(blocks)]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], ["block", "bucket", "n", "counts", "total", "distinct"])
-
-
-def _answered(order: int, buckets: int, strengths: tuple[float, ...], out: pa.Schema):
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+def _scored(order: int, bits: int, strengths: tuple[float, ...], out: pa.Schema):
+    def score(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
             return out.empty_table()
-        table, texts, _ = _read(left)
-        del left
-        grams = BlockGrams(texts, order)
-        del texts
-        n = len(grams.lengths)
-        told = {(b, k): c for b, k, c in zip(right["bucket"].to_pylist(), right["n"].to_pylist(), right["counts"].to_pylist())}
-        total, distinct = (sum(x for x in right[c].to_pylist() if x is not None) for c in ("total", "distinct"))
-        counts = []
+        grams, counts = BlockGrams(utf8(table["__text"]), order, bits), []
+        table = table.drop_columns(["__text"])
         for k in range(order):
-            to, bounds = grams.routes(k, buckets)
-            sums = np.zeros(len(to), np.int64)
-            for b, (s, e) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
-                if e > s:
-                    raw = told[b, k]
-                    sums[to[s:e]] = np.frombuffer(raw, np.uint32 if len(raw) == 4 * (e - s) else np.uint64)
+            sums, tokens, kinds = answer(told, k)
             counts.append(sums)
-        words = grams.lengths - 1
+            if not k:
+                # The start is a context, not a token.
+                total, vocabulary = tokens - int(counts[0][grams.first]), kinds - int(counts[0][grams.first] > 0)
         unigrams = counts[0].copy()
-        unigrams[0] = 0  # the start is a context, not a token
-        logs = np.log10((unigrams + 1) / (total + distinct + 1))
-        logs[0] = 0.0
+        unigrams[grams.first] = 0
+        logs = np.log10((unigrams + 1) / (total + vocabulary + 1))
+        logs[grams.first] = 0.0
         base = np.add.reduceat(logs[grams.tokens], grams.starts)
         known = np.add.reduceat((unigrams > 0).astype(np.int64)[grams.tokens], grams.starts)
-        sums = traverse(BackoffAutomaton(grams, counts, total, distinct, strengths), grams, order)
-        made = [table["__id"], table["__held"], pa.array(words), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(sums)]
-        return pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], out.names).cast(out)
+        sums = traverse(BackoffAutomaton(grams, counts, total, vocabulary, strengths), grams, order)
+        made = [table["__id"], table["__held"], pa.array(grams.lengths - 1), pa.array(known), pa.array(np.full(len(base), total)), pa.array(base), pa.array(sums)]
+        found = pa.table([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in made], out.names[:-1])
+        return found.append_column("__times", table["__times"]).cast(out)
 
     return score
 
 
-def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, strengths: tuple[float, ...] = STRENGTHS, block_bytes: int = BLOCK_BYTES, **routing) -> DataFrame:
     """`key`, held_out, n_tokens, n_known, train_tokens, base_score and score for each row; rows that aren't held out are trained on."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("__id"), held_out.alias("__held"), F.col(text).cast("string").alias("__text"))
-    size = rows.agg(F.sum(F.octet_length("__text").cast("long"))).first()[0] or 0
-    blocks = max(-(-size // block_bytes), shuffle_parts(spark))
-    # The row's place spreads rows with equal ids; it is the same whenever the same input is read again.
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("__id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("__train", ~F.col("__held"))
-    # Both uses of the dealt rows have the same columns, so Spark deals them out once.
-    asked = rows.groupBy("block").applyInArrow(_asking(order, blocks), _ASK)
-    told = asked.groupBy("bucket").applyInArrow(_telling(blocks), _TOLD)
-    id_field = rows.schema["__id"]
-    schema = T.StructType([T.StructField(key, id_field.dataType)]).add("held_out", "boolean")
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
-        schema = schema.add(name, kind)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    paired = rows.groupBy("block").cogroup(told.groupBy("block"))
-    return paired.applyInArrow(_answered(order, blocks, tuple(strengths), to_arrow_schema(schema)), schema)
+    rows = docs.select(F.col(f"`{key}`").alias("__id"), held_out.alias("__held"), F.col(f"`{text}`").cast("string").alias("__text"))
+    rows = rows.select(F.xxhash64("__id", "__text").alias("__row"), "__id", "__held", (~F.col("__held")).alias("__train"), "__text")
+    each = rows.groupBy("__row").agg(F.count("*").alias("n"), F.sum(F.octet_length("__text").cast("long")).alias("size"))
+    size, count, most = each.agg(F.sum("size"), F.sum("n"), F.max("n")).first()
+    blocks, bits = -(-(size or 0) // block_bytes) or 1, hash_bits((size or 0) // 4, 20)
+    dealt = rows.withColumn("__times", F.lit(1).cast("long"))
+    if most and most > 16 and most * HOT > count:
+        # At most HOT of them: each has more than one in HOT of the rows.
+        often = [r["__row"] for r in each.where((F.col("n") * HOT > count) & (F.col("n") > 16)).select("__row").collect()]
+        once = rows.where(F.col("__row").isin(often)).groupBy(*rows.columns).agg(F.count("*").alias("__times"))
+        dealt = dealt.where(~F.col("__row").isin(often)).unionByName(once)
+    dealt = dealt.select(F.pmod("__row", F.lit(blocks)).alias("block"), "__id", "__held", "__train", "__times", "__text")
+    schema = T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]).add("held_out", "boolean")
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("__times", "long")):
+        schema = schema.add(name, kind)
+    found = looked_up(dealt, blocks, bits, _gathered(order, bits), _scored(order, bits, tuple(strengths), to_arrow_schema(schema)), schema, **routing)
+    if most and most > 16 and most * HOT > count:
+        found = found.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__times")))
+    return found.select(F.col("__id").alias(key), *[c for c in schema.names[1:-1]])

@@ -166,14 +166,14 @@ def brute_lm(texts, train, order, strengths):
     return out
 
 
-@pytest.mark.parametrize(("order", "lane"), [(2, 2048), (3, 64)])
-def test_lm_like_brute_force(documents, odd, order, lane, monkeypatch):
+@pytest.mark.parametrize(("order", "lane", "fan_bits"), [(2, 2048, 13), (3, 64, 2)])
+def test_lm_like_brute_force(documents, odd, order, lane, fan_bits, monkeypatch):
     monkeypatch.setattr(lm_scoring, "LANE", lane)
     for docs in (documents, odd):
         rows = docs.select("doc_id", "text").collect()
         held = [zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 7 == 2 for r in rows]
         want = brute_lm([r["text"] for r in rows], [not h for h in held], order, lm_scoring.STRENGTHS)
-        got = lm_scoring.score(docs, id_remainder(F.col("doc_id"), 7) == 2, order=order, block_bytes=1 << 16).collect()
+        got = lm_scoring.score(docs, id_remainder(F.col("doc_id"), 7) == 2, order=order, block_bytes=1 << 15, fan_bits=fan_bits).collect()
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
         key = lambda r: (str(r[:5]), r[6])
         found = sorted(((*(r[n] for n in names), r["base_score"], r["score"]) for r in got), key=key)
@@ -182,6 +182,17 @@ def test_lm_like_brute_force(documents, odd, order, lane, monkeypatch):
         assert np.allclose([r[5:] for r in found], [r[5:] for r in expected], rtol=1e-9)
 
 
+def test_lm_scores_a_row_that_holds_a_third_of_all_once(spark, documents):
+    again = documents.limit(1).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("i")
+    docs = documents.unionByName(again)
+    rows = docs.select("doc_id", "text").collect()
+    held = [zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows]
+    want = brute_lm([r["text"] for r in rows], [not h for h in held], 2, lm_scoring.STRENGTHS)
+    got = lm_scoring.score(docs, id_remainder(F.col("doc_id"), 7) == 2, order=2, block_bytes=1 << 16).collect()
+    assert np.allclose(sorted(r["score"] for r in got), sorted(w[4] for w in want))
+    assert {r["train_tokens"] for r in got} == {want[0][2]} and sum(r["n_known"] for r in got) == sum(w[1] for w in want)
+
+
 def test_lm_without_training_rows(odd, none):
     got = lm_scoring.score(odd, F.lit(True)).collect()
     assert len(got) == odd.count() and all(r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
