@@ -4,15 +4,12 @@ Encoding follows the agenda of merge-type models: of all neighbouring pieces tha
 vocabulary, the best-ranked (leftmost of equals) joins first. With dropout each candidate is skipped for good
 if a keyed hash of (seed, text, number of the segment, place, both pieces) falls below the rate; so each occurrence
 of a word is segmented on its own, and a segmentation depends on its key only, never on the machine, the batch
-or a retry. At rate 0 it is the library's own.
+or a retry. Nothing is remembered between texts. At rate 0 it is the library's own.
 
 No piece but runs of spaces has a space after its first letter, none has a line end, and none has a Latin
-letter before a full stop or comma, so texts are cut there (the model is asked). What is remembered of a short segment
-is a tree: of each set of skipped candidates that came up, the pieces and the candidates met on the way that
-weren't met before. An occurrence hashes these candidates, and if it skips some it goes on to the set with
-them added; so it gets what its own merging would give. What comes up for the first time is merged under its own key
-and only noted; from the second time on it is remembered. Short segments run through the agenda in lockstep, long
-ones through a heap; both give the same pieces.
+letter before a full stop or comma, so texts are cut there (the model is asked). Short segments run through the
+agenda in lockstep, those of one length together: each step joins the best candidate of every segment that has one, so all that
+go on have the same length again. Long segments go through a heap; both give the same pieces.
 
 Decoding is lossless: what the vocabulary lacks, and the space mark itself where it stands in a text, goes by
 byte pieces. A null text is empty and has no pieces; equal texts have equal pieces; repeated rows stay;
@@ -23,9 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,24 +30,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import M1, M2, by_bytes, fold, utf8
 from .token_counts import shared, vocabulary
 
-#: At `VARIANTS` > 0 a segment has at most so many segmentations; 0 is no limit.
-RATE, SEED, VARIANTS = 0.1, 20_240, 0
+RATE, SEED = 0.1, 20_240
 #: The rank of pairs that don't join.
 NEVER = 2**31 - 1
-#: The space mark of these models.
-MARK = "▁"
-_SEGMENT = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+#: The space mark of these models, and the code that stands for it where it is part of a text.
+MARK, OWN_MARK = "▁", 0x110000
+#: Longest segment for the lockstep, and how many go together.
+SHORT, TOGETHER = 32, 1 << 13
 _LATIN = "A-Za-z\u00c0-\u024f"
-_REST = rf"[^{MARK}\n.,]"
-#: As above, with a cut between a Latin letter and a full stop or comma as well.
-_APART = re.compile(rf"{MARK}*(?:{_REST}+|[.,]+{_REST}*)(?:(?<![{_LATIN}])[.,]+{_REST}*)*|{MARK}+|\n")
-
-
-def _mixed(*parts: int) -> int:
-    out = np.full(1, parts[0], np.uint64)
-    for p in parts[1:]:
-        out = fold(out, np.full(1, p, np.uint64))
-    return int(out[0])
+_SLOT_BITS = 19
 
 
 class MergeModel:
@@ -66,130 +52,95 @@ class MergeModel:
         pieces = [processor.id_to_piece(i) for i in range(self.size)]
         usual = [not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) or processor.is_unused(i)) for i in range(self.size)]
         self.ids = {p: i for i, p in enumerate(pieces) if usual[i]}
-        self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if processor.is_byte(i)}
-        if len(self.byte_ids) < 256:
-            raise ValueError("without byte pieces decoding would not be lossless")
+        byte_ids = {int(p[3:5], 16): i for i, p in enumerate(pieces) if processor.is_byte(i)}
+        if len(byte_ids) < 256 or self.size > 1 << 20:
+            raise ValueError("without byte pieces decoding would not be lossless; pieces must be fewer than 2^20")
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids):
             raise ValueError("pieces cross the cuts of segments")
+        self.byte_ids = np.array([byte_ids[b] for b in range(256)], np.int32)
         self.surfaces = [bytes([int(p[3:5], 16)]) if processor.is_byte(i) else p.replace(MARK, " ").encode() if usual[i] else b"" for i, p in enumerate(pieces)]
         order = sorted(self.ids.values(), key=lambda i: (-processor.get_score(i), i))
         rank = {i: k for k, i in enumerate(order)}
-        merges = {}
+        self.merges = {}
         for p, i in self.ids.items():
             for k in range(1, len(p)):
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
-                    merges[a << 20 | b] = (rank[i], i)
-        self.merges = merges
-        keys = np.array(sorted(merges), np.int64)
-        self.keys = np.concatenate((keys, [np.iinfo(np.int64).max]))
-        self.ranks = np.array([*[merges[k][0] for k in keys.tolist()], NEVER], np.int32)
+                    self.merges[a << 20 | b] = (rank[i], i)
         self.by_rank = np.array(order, np.int32)
-        self.letters = np.full(0x110000, -3, np.int32)  # -3: a letter without a piece
+        self.letters = np.full(OWN_MARK + 1, -1, np.int32)  # -1: a letter without a piece
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.letters[ord(p)] = i
         # Where no piece has a letter before a mark, texts may be cut between them as well.
-        self.cut = _SEGMENT if any(re.search(rf"[{_LATIN}][.,]", p) for p in self.ids) else _APART
-
-    # A candidate's hash: of the occurrence's key, the place of its left piece in the segment, and both pieces.
-
-    def _skipped(self, key: np.ndarray, place: np.ndarray, pair: np.ndarray, below: np.uint64) -> np.ndarray:
-        return fold(fold(key, place.astype(np.uint64)), pair.astype(np.uint64)) < below
-
-    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, skipped) -> np.ndarray:
+        self.apart = not any(re.search(rf"[{_LATIN}][.,]", p) for p in self.ids)
+        self._slots()
+
+    def _slots(self) -> None:
+        """The merges as a hash table with linear probing."""
+        size = max(1 << _SLOT_BITS, 4 * len(self.merges))
+        self.slot_bits = (size - 1).bit_length()
+        self.slot_pair = np.full(1 << self.slot_bits, -1, np.int64)
+        self.slot_rank = np.full(1 << self.slot_bits, NEVER, np.int32)
+        pairs = np.array(list(self.merges), np.int64)
+        for pair, at in zip(pairs.tolist(), self._slot(pairs).tolist()):
+            while self.slot_pair[at] >= 0:
+                at = at + 1 & (1 << self.slot_bits) - 1
+            self.slot_pair[at], self.slot_rank[at] = pair, self.merges[pair][0]
+
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (pair.astype(np.uint64) * M1 >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, key: np.ndarray, below: np.uint64) -> np.ndarray:
         """Ranks of neighbours; NEVER where they don't join or are skipped."""
-        pair = np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 20 | right)
-        at = np.searchsorted(self.keys, pair)
-        on = self.keys[at] == pair
-        rank = np.where(on, self.ranks[at], np.int32(NEVER))
-        if skipped:
-            on = np.flatnonzero(on)
-            rank[on[skipped(key[on], place[on], pair[on])]] = NEVER
+        pair = left.astype(np.int64) << 20 | right
+        at = self._slot(pair)
+        there = self.slot_pair[at]
+        rank = np.where(there == pair, self.slot_rank[at], np.int32(NEVER))
+        further = np.flatnonzero((there != pair) & (there >= 0))
+        while len(further):
+            at[further] = at[further] + 1 & (1 << self.slot_bits) - 1
+            there = self.slot_pair[at[further]]
+            hit = there == pair[further]
+            rank[further[hit]] = self.slot_rank[at[further[hit]]]
+            further = further[~hit & (there >= 0)]
+        if below:
+            on = np.flatnonzero(rank < NEVER)
+            # A candidate's hash: of the occurrence's key, the place of its left piece in the segment, and both pieces.
+            rank[on[fold(fold(key[on], place[on].astype(np.uint64)), pair[on].astype(np.uint64)) < below]] = NEVER
         return rank
 
-    def listed(self, segments: list[str], skips: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-        """The pieces of short segments that skip just the candidates of `skips`, and all candidates met.
-
-        Candidates are place << 40 | pair; those met have the segment's number above that, and are sorted.
-        """
-        sizes = [len(x) // 8 for x in skips]
-        listed = np.sort(np.repeat(np.arange(len(skips)), sizes) << 46 | np.frombuffer(b"".join(skips), np.int64))
-        met = []
-
-        def skipped(row: np.ndarray, place: np.ndarray, pair: np.ndarray) -> np.ndarray:
-            code = row << 46 | place.astype(np.int64) << 40 | pair
-            met.append(code)
-            if not len(listed):
-                return np.zeros(len(code), bool)
-            return listed[np.minimum(np.searchsorted(listed, code), len(listed) - 1)] == code
-
-        made = self.together(segments, np.arange(len(segments)), np.uint64(0), skipped)
-        return made, np.unique(np.concatenate(met))
-
-    def together(self, segments: list[str], keys: np.ndarray, below: np.uint64, skipped=None) -> list[bytes]:
-        """Short segments in lockstep: each step joins the best candidate of each segment that has one.
-
-        Pieces keep the place of their first letter and are linked to their neighbours; a joined one is -2.
-        """
-        if below and not skipped:
-            skipped = partial(self._skipped, below=below)
-        lengths = np.array([len(s) for s in segments])
-        n, wide = len(segments), int(lengths.max()) + 1
-        codes = np.frombuffer("".join([s.ljust(wide, "\0") for s in segments]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.letters[codes].reshape(n, wide)
-        symbols[np.arange(wide) >= lengths[:, None]] = -2
-        symbols = symbols.ravel()
-        following = np.tile(np.arange(1, wide + 1, dtype=np.int16), n)
-        before = following - np.int16(2)
-        places = np.tile(np.arange(wide - 1), n)
-        at = (np.arange(n)[:, None] * wide + np.arange(wide - 1)).ravel()
-        rank = self._ranked(symbols[at], symbols[at + 1], places, np.repeat(keys, wide - 1), skipped).reshape(n, wide - 1)
-        rows = np.arange(n)
-        while len(rows):
-            here = np.arange(len(rows))
+    def together(self, letters: np.ndarray, keys: np.ndarray, below: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pieces of segments of one length, given as rows of letters' ids: rows' numbers, and their pieces, by how many they have."""
+        n, size = letters.shape
+        rows, symbols, places = np.arange(n), letters, np.tile(np.arange(size, dtype=np.int8), (n, 1))
+        rank = self._ranked(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), places[:, :-1].ravel(), np.repeat(keys, size - 1), below).reshape(n, size - 1)
+        while size > 1:
             best = rank.argmin(1)
-            top = rank[here, best]
+            top = rank[np.arange(len(rows)), best]
             on = top < NEVER
             if not on.all():
-                if on.sum() < 0.8 * len(rows):
-                    rank, rows = rank[on], rows[on]
-                    continue
-                here, best, top = here[on], best[on], top[on]
-            row = rows[here]
-            base = row * wide
-            gone = following[base + best].astype(np.int64)
-            after = following[base + gone].astype(np.int64)
-            ahead = before[base + best].astype(np.int64)
-            symbols[base + best] = self.by_rank[top]
-            symbols[base + gone] = -2
-            following[base + best] = after
-            inner = after < wide
-            before[(base + after)[inner]] = best[inner]
-            rank[here[gone < wide - 1], gone[gone < wide - 1]] = NEVER
-            right = np.where(inner, symbols[base + np.minimum(after, wide - 1)], -2)
-            own = keys[row]
-            rank[here, best] = self._ranked(symbols[base + best], right, best, own, skipped)
-            has = ahead >= 0
-            rank[here[has], ahead[has]] = self._ranked(symbols[(base + ahead)[has]], symbols[(base + best)[has]], ahead[has], own[has], skipped)
-        grid = symbols.reshape(n, wide)
-        left = grid != -2
-        data, ends = grid[left].astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(left.sum(1))))
-        out = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        for r in np.flatnonzero((grid == -3).any(1)).tolist():
-            out[r] = self._spelled(segments[r], grid[r][left[r]].tolist(), np.flatnonzero(left[r]).tolist())
-        return out
-
-    def _spelled(self, segment: str, row: list[int], where: list[int]) -> bytes:
-        ids: list[int] = []
-        for i, at in zip(row, where):
-            ids += [i] if i >= 0 else [self.byte_ids[b] for b in segment[at].encode("utf-8", "surrogatepass")]
-        return np.array(ids, "<u4").tobytes()
-
-    def alone(self, segment: str, key: int, below: np.uint64) -> bytes:
-        """One long segment by a heap."""
-        n = len(segment)
-        symbol = [self.ids.get(c, -3) for c in segment]
+                yield rows[~on], symbols[~on]
+                rows, symbols, places, rank, best, top = (x[on] for x in (rows, symbols, places, rank, best, top))
+            if not len(rows):
+                return
+            size -= 1
+            here, column = np.arange(len(rows)), np.arange(size)
+            kept = column <= best[:, None]
+            symbols, places = np.where(kept, symbols[:, :-1], symbols[:, 1:]), np.where(kept, places[:, :-1], places[:, 1:])
+            symbols[here, best] = self.by_rank[top]
+            if size == 1:
+                break
+            rank = np.where(column[:-1] < best[:, None], rank[:, :-1], rank[:, 1:])
+            for at, has in ((best, best < size - 1), (best - 1, best > 0)):
+                row, at = here[has], at[has]
+                rank[row, at] = self._ranked(symbols[row, at], symbols[row, at + 1], places[row, at], keys[rows[row]], below)
+        yield rows, symbols
+
+    def alone(self, letters: np.ndarray, key: int, below: np.uint64) -> np.ndarray:
+        """The pieces of one long segment by a heap."""
+        n, symbol = len(letters), letters.tolist()
         before, after, width = list(range(-1, n - 1)), list(range(1, n + 1)), [1] * n
         heap: list[tuple[int, int, int, int, int]] = []
         below, one, two, full = int(below), int(M1), int(M2), 2**64 - 1
@@ -200,7 +151,7 @@ class MergeModel:
             return h ^ h >> 29
 
         def add(a: int, b: int) -> None:
-            if a < 0 or b >= n or symbol[a] < 0 or symbol[b] < 0:
+            if a < 0 or b >= n:
                 return
             pair = symbol[a] << 20 | symbol[b]
             found = self.merges.get(pair)
@@ -218,171 +169,85 @@ class MergeModel:
                 before[after[b]] = a
             add(before[a], a)
             add(a, after[a])
-        row = [i for i in range(n) if width[i]]
-        return self._spelled(segment, [symbol[i] for i in row], row)
+        return np.array([symbol[i] for i in range(n) if width[i]], np.int32)
 
+    def cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All letters' ids, the segments' starts among them, and how many segments each text has.
+
+        A letter without a piece stands there by its bytes' pieces. A text that isn't empty has a space put before it.
+        """
+        words = [raw.decode("utf-8", "replace") for raw in texts]
+        sizes = np.array([len(w) + 1 if w else 0 for w in words], np.int64)
+        codes = np.frombuffer("".join([MARK + w for w in words if w]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        mark = codes == ord(" ")
+        codes[codes == ord(MARK)] = OWN_MARK
+        codes[mark] = ord(MARK)
+        codes[first] = ord(MARK)
+        mark[first] = True
+        line = codes == ord("\n")
+        starts = line | mark
+        starts[1:] |= line[:-1]
+        starts[1:] &= ~(mark[1:] & mark[:-1])
+        if self.apart:
+            latin = (codes >= 0xC0) & (codes < 0x250) | ((codes | 32) >= ord("a")) & ((codes | 32) <= ord("z"))
+            starts[1:] |= latin[:-1] & ((codes[1:] == ord(".")) | (codes[1:] == ord(",")))
+        starts[first] = True
+        count = np.add.reduceat(starts, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+        per_text = np.zeros(len(texts), np.int64)
+        per_text[sizes > 0] = count
+        starts = np.flatnonzero(starts)
+        letters = self.letters[codes]
+        odd = np.flatnonzero(letters < 0)
+        if len(odd):
+            spelled = [(chr(c) if c < OWN_MARK else MARK).encode("utf-8", "surrogatepass") for c in codes[odd].tolist()]
+            wide = np.ones(len(codes), np.int64)
+            wide[odd] = [len(x) for x in spelled]
+            moved = np.cumsum(wide) - wide
+            letters = np.repeat(letters, wide)
+            letters[letters < 0] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]
+            starts = moved[starts]
+        return letters, starts, per_text
+
+    def pieces(self, letters: np.ndarray, starts: np.ndarray, keys: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all segments, one segment after another, and how many each has."""
+        lengths = np.diff(starts, append=len(letters))
+        counts, found = np.ones(len(starts), np.int64), []
+        order = np.argsort(np.minimum(lengths, SHORT + 1).astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(lengths[order], np.arange(1, SHORT + 2)).tolist()
+        for size, (s, e) in enumerate(zip(bounds, bounds[1:]), 1):
+            for at in range(s, e, TOGETHER):
+                part = order[at : min(at + TOGETHER, e)]
+                grid = letters[starts[part][:, None] + np.arange(size)]
+                for rows, made in self.together(grid, keys[part], below) if size > 1 else ((slice(None), grid),):
+                    counts[part[rows]] = made.shape[1]
+                    found.append((part[rows], made))
+        for i in order[bounds[-1] :].tolist():
+            made = self.alone(letters[starts[i] : starts[i] + lengths[i]], int(keys[i]), below)
+            counts[i] = len(made)
+            found.append((np.array([i]), made[None, :]))
+        out, first = np.empty(int(counts.sum()), "<u4"), np.cumsum(counts) - counts
+        for part, made in found:
+            out[first[part][:, None] + np.arange(made.shape[1])] = made
+        return out, counts
 
-class PieceEncoder:
-    """Segments remembered as trees of skipped candidates, up to a fixed number of nodes."""
 
-    REMEMBERED, SHORT, WIDEST, BLOCK = 1 << 18, 32, 64, 1 << 14
-    #: The node of what is merged under its own key: long segments, sets with more than `WIDEST` new candidates, and what comes up first.
-    APART = 0
+class PieceEncoder:
+    """Encoding and decoding of whole texts."""
 
     def __init__(self, path: str):
         self.model = MergeModel(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.children: dict[int, int] = {}  # node << 64 | mask of the candidates it skips
-        self.noted: set[str | int] = set()  # segments and children that came up once
-        self.segment, self.skips, self.pieces = [""], [b""], [b""]
-        self.candidates, self.bounds = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _add(self, segments: list[str], skips: list[bytes], made: list[bytes], new: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Nodes with these pieces and new candidates."""
-        first = len(self.pieces)
-        self.segment += segments
-        self.skips += skips
-        self.pieces += made
-        last = self.bounds[first]
-        while last + len(new) > len(self.candidates):
-            self.candidates = np.concatenate((self.candidates, np.zeros_like(self.candidates)))
-        while len(self.pieces) >= len(self.bounds):
-            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        self.candidates[last : last + len(new)] = new
-        self.bounds[first + 1 : len(self.pieces) + 1] = last + np.cumsum(counts)
-        return np.arange(first, len(self.pieces))
-
-    def _grow(self, segments: list[str], skips: list[bytes], before: list[int]) -> list[int]:
-        """A node for each short segment and set of skipped candidates; `before` has its parent, or APART."""
-        out = np.zeros(len(segments), np.int64)
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        start = 0
-        while start < len(order):
-            size, stop = len(segments[order[start]]), start
-            while stop < len(order) and stop - start < 20_000 and len(segments[order[stop]]) <= size + 3:
-                stop += 1
-            part = order[start:stop]
-            own, skip = [segments[i] for i in part], [skips[i] for i in part]
-            made, met = self.model.listed(own, skip)
-            # Met before: what is skipped, and the parent's candidates.
-            parent = np.array([before[i] for i in part], np.int64)
-            row, at = self._spread(parent)
-            known = np.concatenate((row << 46 | self.candidates[at], np.repeat(np.arange(len(part)), [len(x) // 8 for x in skip]) << 46 | np.frombuffer(b"".join(skip), np.int64)))
-            met = met[~np.isin(met, known)]
-            counts = np.bincount(met >> 46, minlength=len(part))
-            narrow = counts <= self.WIDEST
-            new = met[narrow[met >> 46]] & (1 << 46) - 1
-            keep = np.flatnonzero(narrow).tolist()
-            out[np.array(part)[keep]] = self._add([own[i] for i in keep], [skip[i] for i in keep], [made[i] for i in keep], new, counts[keep])
-            start = stop
-        return out.tolist()
-
-    def _spread(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each candidate of each node in turn: the place of the node in the list and that of the candidate."""
-        first, counts = self.bounds[node], self.bounds[node + 1] - self.bounds[node]
-        row = np.repeat(np.arange(len(node)), counts)
-        return row, np.arange(len(row)) + np.repeat(first - np.cumsum(counts) + counts, counts)
-
-    def _skipping(self, node: np.ndarray, keys: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        """The occurrences that skip a candidate of their node, and which ones, as a mask."""
-        places, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for start in range(0, len(node), self.BLOCK):
-            own = node[start : start + self.BLOCK]
-            row, at = self._spread(own)
-            code = self.candidates[at]
-            hit = np.flatnonzero(self.model._skipped(keys[start : start + self.BLOCK][row], code >> 40, code & (1 << 40) - 1, below))
-            row, bit = row[hit], np.uint64(1) << (at[hit] - self.bounds[own[row[hit]]]).astype(np.uint64)
-            first = np.flatnonzero(np.diff(row, prepend=-1))
-            if len(first):
-                places.append(row[first] + start)
-                masks.append(np.bitwise_or.reduceat(bit, first))
-        return np.concatenate(places), np.concatenate(masks)
-
-    def encode(self, texts: list[bytes], rate: float, seed: int, variants: int = VARIANTS) -> list[bytes]:
+
+    def encode(self, texts: list[bytes], rate: float, seed: int) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
         below = np.uint64(min(int(rate * 2.0**64), 2**64 - 1))
-        if len(self.pieces) > self.REMEMBERED or len(self.noted) > 2 * self.REMEMBERED:
-            self._forget()
-        segments, keys, bounds = [], [np.zeros(0, np.uint64)], [0]
-        for raw in texts:
-            own = self._segments(raw.decode("utf-8", "replace"))
-            segments += own
-            bounds.append(len(segments))
-            keys.append(fold(np.full(1, xxhash.xxh3_64_intdigest(raw, seed), np.uint64), np.arange(len(own), dtype=np.uint64)))
-        keys = np.concatenate(keys)
-        if variants > 0:
-            salts = np.array([_mixed(seed, v) for v in range(variants)], np.uint64)
-            hashes = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segments], np.uint64)
-            keys = fold(salts[((keys >> np.uint64(32)) % np.uint64(variants)).astype(np.int64)], hashes)
-        special = "\0" + MARK
-        if special not in self.roots:
-            self.roots[special] = int(self._add([special], [b""], [self._special()], np.zeros(0, np.int64), np.zeros(1, np.int64))[0])
-        short = self._again([s for s in segments if s not in self.roots and len(s) <= self.SHORT], not below)
-        self.roots.update(zip(short, self._grow(short, [b""] * len(short), [self.APART] * len(short))))
-        node = np.array([self.roots.get(s, self.APART) for s in segments], np.int64)
-        at = np.arange(len(node))
-        while below and len(at):
-            on, masks = self._skipping(node[at], keys[at], below)
-            at = at[on]
-            steps = [n << 64 | m for n, m in zip(node[at].tolist(), masks.tolist())]
-            more = self._again([x for x in steps if x not in self.children], False)
-            parents = [x >> 64 for x in more]
-            skips = [self.skips[n] + self._masked(n, x & 2**64 - 1) for n, x in zip(parents, more)]
-            self.children.update(zip(more, self._grow([self.segment[n] for n in parents], skips, parents)))
-            node[at] = [self.children.get(x, self.APART) for x in steps]
-        ids = [self.pieces[n] for n in node.tolist()]
-        self._apart(segments, keys, below, np.flatnonzero(node == self.APART).tolist(), ids)
-        return [b"".join(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
-
-    def _again(self, asked: list, all_of_them: bool) -> list:
-        """Those that come up for the second time at least; the others are noted."""
-        counts = Counter(asked)
-        again = [x for x, n in counts.items() if all_of_them or n > 1 or x in self.noted]
-        self.noted.update(counts)
-        self.noted.difference_update(again)
-        return again
-
-    def _apart(self, segments: list[str], keys: np.ndarray, below: np.uint64, at: list[int], ids: list[bytes]) -> None:
-        """The ids of the occurrences `at`, each merged under its own key."""
-        at.sort(key=lambda i: len(segments[i]))
-        start = 0
-        while start < len(at):
-            size, stop = len(segments[at[start]]), start + 1
-            if size > self.SHORT:
-                ids[at[start]] = self.model.alone(segments[at[start]], int(keys[at[start]]), below)
-            else:
-                while stop < len(at) and stop - start < 20_000 and len(segments[at[stop]]) <= min(size + 3, self.SHORT):
-                    stop += 1
-                part = at[start:stop]
-                for i, made in zip(part, self.model.together([segments[i] for i in part], keys[part], below)):
-                    ids[i] = made
-            start = stop
-
-    def _masked(self, node: int, mask: int) -> bytes:
-        """The candidates of a node that a mask names."""
-        own = self.candidates[self.bounds[node] : self.bounds[node + 1]]
-        return own[[i for i in range(len(own)) if mask >> i & 1]].tobytes()
-
-    def _special(self) -> bytes:
-        """The space mark itself, by its bytes."""
-        return np.array([self.model.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
-
-    def _segments(self, text: str) -> list[str]:
-        find = self.model.cut.findall
-        if not text:
-            return []
-        if MARK not in text:
-            return find(MARK + text.replace(" ", MARK))
-        out: list[str] = []
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.append("\0" + MARK)
-            part = part.replace(" ", MARK)
-            out += find(part if k else MARK + part)
-        return out
+        letters, starts, per_text = self.model.cut(texts)
+        own = np.array([xxhash.xxh3_64_intdigest(raw, seed) for raw in texts], np.uint64)
+        number = np.arange(len(starts)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        ids, counts = self.model.pieces(letters, starts, fold(np.repeat(own, per_text), number.astype(np.uint64)), below)
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
     def decode(self, ids: bytes) -> bytes:
         surfaces = self.model.surfaces
@@ -390,12 +255,12 @@ class PieceEncoder:
         return whole[1:] if whole[:1] == b" " else whole
 
 
-def _encoded(path: str, rate: float, seed: int, variants: int):
+def _encoded(path: str, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(PieceEncoder, path)
-        for batch in by_bytes(batches, "__text", 2 << 20):
+        for batch in by_bytes(batches, "__text", 1 << 20):
             raw = utf8(batch.column("__text"))
-            ids = encoder.encode(raw, rate, seed, variants)
+            ids = encoder.encode(raw, rate, seed)
             names = [n for n in batch.schema.names if n != "__text"]
             made = [pa.array([len(x) for x in raw], pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + made, [*names, "n_bytes", "ids"])
@@ -403,11 +268,11 @@ def _encoded(path: str, rate: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """`keys`, n_bytes and ids (little-endian unsigned 32-bit) for each row."""
     kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
     schema = kept.drop("__text").schema.add("n_bytes", "long").add("ids", "binary")
-    return kept.mapInArrow(_encoded(path or vocabulary("piece_bpe_32k.model"), rate, seed, variants), schema)
+    return kept.mapInArrow(_encoded(path or vocabulary("piece_bpe_32k.model"), rate, seed), schema)
 
 
 def _decoded(path: str):
