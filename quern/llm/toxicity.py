@@ -1,17 +1,23 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are a text's distinct words (A-Z lower-cased, punctuation taken off) and the words' first four and five
-bytes, each as a 64-bit hash. The machine has a weight and a short vector for each term; the dot products of
+bytes, each hashed to one of 2^32 buckets. The machine has a weight and a short vector for each bucket; the dot products of
 vectors let pairs of terms count together, such as an insult and the mention of a group, which a
-sum of weights misses. Terms are those that tell the labels apart alone, or with one other term.
+sum of weights misses.
 
-It is fitted on a bounded sample of labelled rows (`SAMPLE_ROWS`, by a hash of their ids) that the caller allows for
-training; the sample's terms are collected, the model has at most `MAX_TERMS` terms and is broadcast. Every
+All buckets are fitted, with a penalty of `LEAST_Z` standard errors of a bucket's own slope: what the residuals say
+about its weight or its vector by less than that leaves both at zero. As in other active-set methods, rounds take turns: every
+bucket's slopes are taken over all rows, given the machine so far, then the non-zero ones are fitted. So a term that says nothing
+alone comes in once the terms it goes with are in. Two that say nothing alone but much together (an exclusive or) have no slope
+at zero; such pairs are found by counting pairs, and start with vectors.
+
+It is fitted on a bounded sample of labelled rows that the caller allows for training: at most `SAMPLE_ROWS`, by a hash of their ids, and
+`SAMPLE_BYTES` of terms; one row of each id. The sample's terms are collected, the model is broadcast. Every
 text is then scored whole.
 
 Nulls and odd cases: a null or empty text has no terms and gets the score of the bias; without labels of both
 kinds the score is the smoothed share of label 1 (0.5 without labels); labels with a null are passed over, of
-a repeated id the larger label counts; repeated documents stay repeated; an empty table gives an empty result.
+a repeated id the larger label counts, and of its texts the first in order; repeated documents stay repeated; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, id_remainder, utf8
+from .common import by_bytes, durable, id_remainder, utf8
 
-SAMPLE_ROWS, MAX_TERMS, LEAST_TEXTS = 10_000, 1 << 15, 3
-#: Terms whose share among the two labels differs by fewer standard errors are left out, unless they are in a telling pair:
-#: one more often toxic than all texts and than either member, beyond a chance of `PAIR_CHANCE` that any pair is by luck.
+SAMPLE_ROWS, SAMPLE_BYTES, LEAST_TEXTS = 10_000, 256 << 20, 3
+#: A bucket's penalty in standard errors of its slope. A telling pair is more (or less) often toxic than all texts and than either member,
+#: beyond a chance of `PAIR_CHANCE` that any pair is by luck.
 LEAST_Z, PAIR_CHANCE, PAIR_BLOCK = 4.0, 0.01, 512
-FACTORS, ROUNDS, BATCH, STEP, DECAY, SEED = 4, 60, 256, 0.1, 1e-3, 7
+FACTORS, ROUNDS, EPOCHS, BATCH, STEP, DECAY, SEED = 4, 3, 20, 256, 0.1, 1e-3, 7
+#: Spread of the starting vectors of telling pairs.
+PAIR_START = 0.03
 THRESHOLD = 0.7
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -39,8 +47,8 @@ def word_terms(word: bytes) -> tuple[int, ...]:
     word = word.strip(_MARKS)
     if not word:
         return ()
-    out = [xxhash.xxh3_64_intdigest(b"w" + word)]
-    out += [xxhash.xxh3_64_intdigest(b"p" + word[:n]) for n in (4, 5) if len(word) >= n]
+    out = [xxhash.xxh32_intdigest(b"w" + word)]
+    out += [xxhash.xxh32_intdigest(b"p" + word[:n]) for n in (4, 5) if len(word) >= n]
     return tuple(out)
 
 
@@ -124,61 +132,92 @@ class FactorizationMachine:
 
     @classmethod
     def fit(cls, rows: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
-        """AdaGrad on log loss over small batches; the order is seeded, so equal samples give equal models."""
+        """Rounds of slopes of all buckets and of AdaGrad on log loss over those not at zero; seeded, so equal samples give equal models."""
         n, positive = len(rows), int(labels.sum())
         share = (positive + 0.5) / (n + 1)
         bias = float(np.log(share / (1 - share)))
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        terms = np.zeros(0, np.uint64)
-        if 0 < positive < n:
-            y = np.repeat(labels, [len(r) for r in rows])
-            terms, at = np.unique(flat, return_inverse=True)
-            total = np.bincount(at).astype(np.float64)
-            hits = np.bincount(at, y)
-            p = positive / n
-            z = (hits - total * p) / np.sqrt(total * p * (1 - p))
-            bounds = np.cumsum([len(r) for r in rows])[:-1]
-            paired = telling_pairs(np.split(at, bounds), labels, total, hits)
-            chosen = np.flatnonzero((total >= LEAST_TEXTS) & ((np.abs(z) >= LEAST_Z) | paired))
-            chosen = np.sort(chosen[np.lexsort((-np.abs(z[chosen]), ~paired[chosen]))[:MAX_TERMS]])
-            terms = terms[chosen]
+        empty = cls(np.zeros(0, np.uint64), bias, np.zeros(0), np.zeros((0, FACTORS)))
+        if not 0 < positive < n:
+            return empty
+        sizes = np.array([len(r) for r in rows])
+        row = np.repeat(np.arange(n), sizes)
+        terms, at = np.unique(np.concatenate(rows), return_inverse=True)
+        total, hits = np.bincount(at).astype(np.float64), np.bincount(at, labels[row])
+        each = np.split(at, np.cumsum(sizes)[:-1])
+        inside = telling_pairs(each, labels, total, hits) | telling_pairs(each, 1 - labels, total, total - hits)
         rng = np.random.default_rng(SEED)
-        model = cls(terms, bias, np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS)))
-        if not len(terms):
-            return model
-        kept = [np.searchsorted(terms, r[np.isin(r, terms)]) for r in rows]
-        grad_b, grad_w, grad_v = 1e-8, np.full(len(terms), 1e-8), np.full(model.vectors.shape, 1e-8)
-        for _ in range(ROUNDS):
+        weights, vectors = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), FACTORS))
+        vectors[inside] = rng.normal(0, PAIR_START, (int(inside.sum()), FACTORS))
+        # Sums of squared slopes go on from round to round, else each round would begin with steps of full size.
+        squares = [np.full(1, 1e-8), np.full(len(terms), 1e-8), np.full(vectors.shape, 1e-8)]
+        for turn in range(ROUNDS):
+            margins, sums = np.full(n, bias), np.zeros((n, FACTORS))
+            if turn and inside.any():
+                on = inside[at]
+                counts = np.bincount(row[on], minlength=n)
+                machine = cls(terms, bias, weights, vectors)
+                margins = machine.margins(at[on], counts)
+                sums = np.stack([np.bincount(row[on], vectors[at[on], f], n) for f in range(FACTORS)], 1)
+            entering = cls._slopes(at, row, len(terms), labels, margins, sums) & (total >= LEAST_TEXTS) & ~inside
+            if not inside.any() and not entering.any():
+                return empty
+            inside |= entering
+            chosen = np.flatnonzero(inside)
+            number = np.full(len(terms), -1)
+            number[chosen] = np.arange(len(chosen))
+            kept = [x[x >= 0] for x in (number[r] for r in each)]
+            machine = cls(terms[chosen], bias, weights[chosen], vectors[chosen])
+            squares[0], squares[1][chosen], squares[2][chosen] = machine._descend(kept, labels, rng, squares[0], squares[1][chosen], squares[2][chosen])
+            bias, weights[chosen], vectors[chosen] = machine.bias, machine.weights, machine.vectors
+        return machine
+
+    @staticmethod
+    def _slopes(at: np.ndarray, row: np.ndarray, size: int, labels: np.ndarray, margins: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The buckets whose weight or vector has a slope beyond the penalty, at zero, given the machine so far."""
+        p = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
+        error, spread = labels - p, p * (1 - p)
+        if sums.any():
+            spread = np.maximum(spread, error**2)  # rows that the machine is wrong and sure about vary more than it says
+        beyond = np.abs(np.bincount(at, error[row], size)) > LEAST_Z * np.sqrt(np.bincount(at, spread[row], size))
+        if sums.any():
+            pull = np.stack([np.bincount(at, (error * sums[:, f])[row], size) for f in range(FACTORS)], 1)
+            noise = np.bincount(at, (spread * (sums**2).sum(1))[row], size)
+            beyond |= (pull**2).sum(1) > LEAST_Z**2 * noise
+        return beyond
+
+    def _descend(self, kept: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, grad_b: np.ndarray, grad_w: np.ndarray, grad_v: np.ndarray):
+        n, size = len(kept), len(self.terms)
+        for _ in range(EPOCHS):
             order = rng.permutation(n)
             for start in range(0, n, BATCH):
                 part = order[start : start + BATCH]
                 counts = np.array([len(kept[i]) for i in part])
                 places = np.concatenate([kept[i] for i in part])
-                error = model.scores(places, counts) - labels[part]
+                error = self.scores(places, counts) - labels[part]
                 row = np.repeat(np.arange(len(part)), counts)
                 e = error[row]
-                sums = np.stack([np.bincount(row, model.vectors[places, f], len(part)) for f in range(FACTORS)], 1)
-                g_w = np.bincount(places, e, len(terms)) / len(part) + DECAY * model.weights / len(terms)
-                pull = e[:, None] * (sums[row] - model.vectors[places])
-                g_v = np.stack([np.bincount(places, pull[:, f], len(terms)) for f in range(FACTORS)], 1) / len(part) + DECAY * model.vectors / len(terms)
+                sums = np.stack([np.bincount(row, self.vectors[places, f], len(part)) for f in range(FACTORS)], 1)
+                g_w = np.bincount(places, e, size) / len(part) + DECAY * self.weights / size
+                pull = e[:, None] * (sums[row] - self.vectors[places])
+                g_v = np.stack([np.bincount(places, pull[:, f], size) for f in range(FACTORS)], 1) / len(part) + DECAY * self.vectors / size
                 g_b = float(error.mean())
                 grad_b, grad_w, grad_v = grad_b + g_b**2, grad_w + g_w**2, grad_v + g_v**2
-                model.bias -= STEP * g_b / grad_b**0.5
-                model.weights -= STEP * g_w / np.sqrt(grad_w)
-                model.vectors -= STEP * g_v / np.sqrt(grad_v)
-        return model
+                self.bias -= STEP * g_b / float(grad_b[0]) ** 0.5
+                self.weights -= STEP * g_w / np.sqrt(grad_w)
+                self.vectors -= STEP * g_v / np.sqrt(grad_v)
+        return grad_b, grad_w, grad_v
 
 
 def _termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Terms()
     for batch in by_bytes(batches, "__text"):
-        made = [np.array(memo.of(x), np.uint64).tobytes() for x in utf8(batch.column("__text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("__label"), pa.array(made, pa.binary())], ["__label", "terms"])
+        made = [np.array(memo.of(x), np.uint32).tobytes() for x in utf8(batch.column("__text"))]
+        yield pa.RecordBatch.from_arrays([batch.column("__order"), batch.column("__label"), pa.array(made, pa.binary())], ["__order", "__label", "terms"])
 
 
 def training_sample(labels: DataFrame, allowed, key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most `rows` labelled ids that the column `allowed` lets into training, by a hash of the id."""
-    usable = labels.select(F.col(key).alias("__of"), F.col(label).cast("int").alias("__label")).where(F.col("__of").isNotNull() & F.col("__label").isNotNull())
+    usable = labels.select(F.col(f"`{key}`").alias("__of"), F.col(f"`{label}`").cast("int").alias("__label")).where(F.col("__of").isNotNull() & F.col("__label").isNotNull())
     usable = usable.where(allowed(F.col("__of"))).groupBy("__of").agg(F.max("__label").alias("__label"))
     return usable.orderBy(F.xxhash64("__of"), "__of").limit(rows)
 
@@ -186,12 +225,18 @@ def training_sample(labels: DataFrame, allowed, key: str = "doc_id", label: str
 def train(docs: DataFrame, labels: DataFrame, allowed, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """A model from the sample's texts; the sample, bounded by `rows`, is what is broadcast and collected."""
     sample = training_sample(labels, allowed, key, label, rows)
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    met = texts.join(F.broadcast(sample), F.col("__key") == F.col("__of")).select("__label", "__text")
-    found = met.mapInArrow(_termed, "__label int, terms binary").toArrow().to_pydict()
+    texts = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
+    met = texts.join(F.broadcast(sample), F.col("__key") == F.col("__of"))
+    one = met.groupBy(F.xxhash64("__of").alias("__order"), "__of").agg(F.first("__label").alias("__label"), F.min("__text").alias("__text"))
+    termed = durable(one.select("__order", "__label", "__text").mapInArrow(_termed, "__order long, __label int, terms binary"))
+    # The first rows by hash whose terms fit; sizes of at most `rows` rows are looked at.
+    sizes = termed.select("__order", F.octet_length("terms").cast("long").alias("size")).orderBy("__order").toArrow()
+    fits = np.cumsum(sizes["size"].to_numpy()) <= SAMPLE_BYTES
+    last = int(sizes["__order"].to_numpy()[fits].max()) if fits.any() else -(1 << 63)
+    found = termed.where(F.col("__order") <= last).toArrow().to_pydict()
     # Sorted, so that the model doesn't depend on the order in which tasks end.
     pairs = sorted(zip(found["terms"], found["__label"]))
-    return FactorizationMachine.fit([np.frombuffer(t, np.uint64) for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
+    return FactorizationMachine.fit([np.frombuffer(t, np.uint32).astype(np.uint64) for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
 
 
 def _scored(shared):

@@ -256,6 +256,48 @@ def test_pairs_of_rare_terms_that_say_little_alone():
         assert set(np.flatnonzero(toxicity.telling_pairs(kept, y, total, hits)).tolist()) == want >= {3, 4}
 
 
+@pytest.mark.parametrize("share", [0.5, 0.3])
+def test_exclusive_or_of_two_terms(share):
+    # Toxic where just one of both terms stands: with a half each, neither says anything by itself.
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random(2) < share
+        rows.append(np.array([*([1] if a else []), *([2] if b else []), *np.unique(rng.integers(100, 200, 6)).tolist()], np.uint64))
+        labels.append(float(a != b))
+    model = toxicity.FactorizationMachine.fit(rows, np.array(labels))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    ask = lambda *t: model.scores(np.array([place[x] for x in t], np.int64), np.array([len(t)]))[0]
+    assert ask(1) >= toxicity.THRESHOLD and ask(2) >= toxicity.THRESHOLD and ask(1, 2) < 0.3 and ask() < 0.3
+
+
+def test_a_neutral_term_comes_in_by_the_terms_it_goes_with():
+    # Term 9 alone says nothing; with an insult (1 to 5, each mild by itself) it is toxic, without it less often than else.
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(6000):
+        insult, group = rng.random() < 0.3, rng.random() < 0.3
+        rows.append(np.array(sorted([*([rng.integers(1, 6)] if insult else []), *([9] if group else []), *np.unique(rng.integers(100, 400, 8)).tolist()]), np.uint64))
+        labels.append(float(rng.random() < (0.95 if insult and group else 0.2 if insult else 0.0 if group else 0.28)))
+    model = toxicity.FactorizationMachine.fit(rows, np.array(labels))
+    place = {int(t): i for i, t in enumerate(model.terms)}
+    ask = lambda *t: model.scores(np.array([place[x] for x in t if x in place], np.int64), np.array([sum(x in place for x in t)]))[0]
+    assert all(ask(i, 9) >= toxicity.THRESHOLD and ask(i) < 0.5 for i in range(1, 6)) and ask(9) < 0.5
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"word{i} " * 3 + ("bad" if i % 40 < 20 else "good")) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.FactorizationMachine, "fit", lambda rows, y: seen.append((len(rows), int(y.sum()), sum(map(len, rows)))))
+    allowed = lambda key: key >= 0
+    toxicity.train(docs, labels, allowed)
+    toxicity.train(docs, labels, allowed, rows=7)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200)
+    toxicity.train(docs, labels, allowed)
+    assert seen[0][:2] == (40, 20) and seen[1][0] == 7 and 0 < seen[2][0] < 15 and seen[2][2] * 4 <= 200
+
+
 def test_toxicity_edge_cases(spark, odd, none):
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, no_labels, toxicity.trainable)
