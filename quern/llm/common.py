@@ -43,8 +43,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def keyed(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """The keys under names of our own, whatever theirs are, and further columns."""
+    return df.select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)], *[c.alias(n) for n, c in columns.items()])
+
+
+def named(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under their names again. A made column whose name a key has already gets underscores after it."""
+    taken, out = {k.lower() for k in keys}, [F.col(f"__key{i}").alias(k) for i, k in enumerate(keys)]
+    for c in df.columns:
+        if not c.startswith("__key"):
+            name = c
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+            out.append(F.col(f"`{c}`").alias(name))
+    return df.select(*out)
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

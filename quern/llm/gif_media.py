@@ -2,7 +2,8 @@
 
 Reading follows the format: LZW code streams with growing code sizes, clear codes and deferred clears,
 global and local palettes, interlacing, transparency and the disposal rules. Each frame comes with
-its delay, its rectangle, what it shows there after compositing, and a colour histogram.
+its delay, its rectangle as far as it is on the screen, what that shows after compositing, and a histogram of its colours. Where
+nothing was drawn yet, or was cleared, pixels are black and `alpha` is 0; without such pixels `alpha` is null.
 
 Writing stores bytes as 8-bit samples, one code for one grey, in rows of `WIDTH`; long payloads go on in
 further frames, so no code table or canvas grows with the payload.
@@ -13,13 +14,15 @@ off or damaged, has null columns; repeated rows stay; empty tables give empty re
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, utf8
+from .common import by_bytes, keyed, named, utf8
 
 WIDTH, FRAME_ROWS, DELAY_MS = 64, 1024, 100
 _CLEAR, _END = 256, 257
@@ -188,7 +191,7 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
 
     if flags & 0x80:
         shared = palette(flags & 7)
-    canvas, frames = np.zeros((height, width, 3), np.uint8), []
+    canvas, drawn, frames = np.zeros((height, width, 3), np.uint8), np.zeros((height, width), bool), []
     delay, disposal, clear = 0, 0, None
     while True:
         if at >= len(data):
@@ -216,28 +219,27 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
         indexes = np.frombuffer(lzw_decode(codes, least, w * h), np.uint8).reshape(h, w)
         if local & 0x40:
             indexes = indexes[np.argsort(_rows_in_order(h))]
-        if top + h > canvas.shape[0] or left + w > canvas.shape[1]:
-            raise GifError("frame beyond the screen")
-        before = canvas.copy() if disposal == 3 else None
-        part = canvas[top : top + h, left : left + w]
-        if clear is None:
-            part[...] = colours[indexes]
-        else:
-            shows = indexes != clear
-            part[shows] = colours[indexes[shows]]
+        indexes = indexes[: max(0, height - top), : max(0, width - left)]
+        h, w = indexes.shape
+        before = (canvas.copy(), drawn.copy()) if disposal == 3 else None
+        here = slice(top, top + h), slice(left, left + w)
+        part, solid = canvas[here], drawn[here]
+        shows = np.ones((h, w), bool) if clear is None else indexes != clear
+        part[shows], solid[shows] = colours[indexes[shows]], True
         shown = part.copy()
         grey = bool((shown[..., 0] == shown[..., 1]).all() and (shown[..., 1] == shown[..., 2]).all())
-        bins = [np.bincount(canvas[..., c].ravel() >> 5, minlength=8).tolist() for c in range(3)]
-        frames.append({"index": len(frames), "delay_ms": delay, "disposal": disposal, "left": left, "top": top, "width": w, "height": h, "transparent": clear, "mode": "L" if grey else "RGB", "pixels": (shown[..., 0] if grey else shown).tobytes(), "red": bins[0], "green": bins[1], "blue": bins[2]})
+        bins = [np.bincount(shown[..., c].ravel() >> 5, minlength=8).tolist() for c in range(3)]
+        alpha = None if solid.all() else np.where(solid, np.uint8(255), np.uint8(0)).tobytes()
+        frames.append({"index": len(frames), "delay_ms": delay, "disposal": disposal, "left": left, "top": top, "width": w, "height": h, "transparent": clear, "mode": "L" if grey else "RGB", "pixels": (shown[..., 0] if grey else shown).tobytes(), "alpha": alpha, "red": bins[0], "green": bins[1], "blue": bins[2]})
         if disposal == 2:
-            part[...] = 0
+            part[...], solid[...] = 0, False
         elif disposal == 3:
-            canvas = before
+            canvas, drawn = before
         delay, disposal, clear = 0, 0, None
 
 
-_FRAME = pa.struct([("index", pa.int32()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("transparent", pa.int32()), ("mode", pa.string()), ("pixels", pa.binary()), ("red", pa.list_(pa.int64())), ("green", pa.list_(pa.int64())), ("blue", pa.list_(pa.int64()))])
-_FRAME_SQL = "array<struct<index:int,delay_ms:int,disposal:int,left:int,top:int,width:int,height:int,transparent:int,mode:string,pixels:binary,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
+_FRAME = pa.struct([("index", pa.int32()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("transparent", pa.int32()), ("mode", pa.string()), ("pixels", pa.binary()), ("alpha", pa.binary()), ("red", pa.list_(pa.int64())), ("green", pa.list_(pa.int64())), ("blue", pa.list_(pa.int64()))])
+_FRAME_SQL = "array<struct<index:int,delay_ms:int,disposal:int,left:int,top:int,width:int,height:int,transparent:int,mode:string,pixels:binary,alpha:binary,red:array<bigint>,green:array<bigint>,blue:array<bigint>>>"
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,23 +252,53 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def store(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """`keys`, n_bytes and media: each text's bytes as a GIF, zeros added up to a whole row."""
-    kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
-    return kept.mapInArrow(_written, kept.drop("__text").schema.add("n_bytes", "long").add("media", "binary"))
+    kept = keyed(docs, keys, __text=F.col(f"`{text}`").cast("string"))
+    return named(kept.mapInArrow(_written, kept.drop("__text").schema.add("n_bytes", "long").add("media", "binary")), keys)
+
+
+def _read(data: bytes | None):
+    try:
+        return None if data is None else read_gif(data)
+    except GifError:
+        return None
+
+
+def _added(media: DataFrame, made: T.StructType, arrays) -> DataFrame:
+    """The rows with columns that `arrays` makes of what is read of their column `media`."""
+    kept = keyed(media, media.columns)
+    own = f"__key{media.columns.index('media')}"
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, own, 4 << 20):
+            found = [_read(x) for x in batch.column(own).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays(found)], [*batch.schema.names, *made.fieldNames()])
 
-def _framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "media", 4 << 20):
-        found = []
-        for x in batch.column("media").to_pylist():
-            try:
-                found.append(None if x is None else read_gif(x))
-            except GifError:
-                found.append(None)
-        made = [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.list_(_FRAME)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "screen_width", "screen_height", "frames"])
+    return named(kept.mapInArrow(add, T.StructType([*kept.schema.fields, *made.fields])), media.columns)
 
 
 def frames(media: DataFrame) -> DataFrame:
     """The rows with screen_width, screen_height and frames of their column `media`."""
-    schema = T.StructType(list(media.schema.fields))
-    return media.mapInArrow(_framed, schema.add("screen_width", "integer").add("screen_height", "integer").add("frames", T.DataType.fromDDL(_FRAME_SQL)))
+    made = T.StructType().add("screen_width", "integer").add("screen_height", "integer").add("frames", T.DataType.fromDDL(_FRAME_SQL))
+    return _added(media, made, lambda found: [pa.array([f and f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.list_(_FRAME)))])
+
+
+def _digest(read: tuple[int, int, list[dict]] | None) -> tuple:
+    if read is None:
+        return (None,) * 7
+    digest, size, tail, grey = hashlib.sha256(), 0, b"", np.zeros(8, np.int64)
+    for frame in read[2]:
+        digest.update(frame["pixels"])
+        size += len(frame["pixels"])
+        tail = (tail + frame["pixels"][-64:])[-64:]
+        grey += frame["red"]
+    return len(read[2]), read[2][0]["delay_ms"] if read[2] else None, size, digest.hexdigest(), zlib.crc32(tail), grey.tolist(), read[2][0]["mode"] if read[2] else None
+
+
+def digests(media: DataFrame) -> DataFrame:
+    """The rows with n_frames, delay_ms and mode of the first frame, and over all frames' pixels in order: n_pixel_bytes, pixels_sha256, tail_crc32 (of the last 64) and the sum of the red (or grey) histograms.
+
+    Frames are hashed one by one where they are read, so the cost is in proportion to the pixels.
+    """
+    kinds = {"n_frames": ("integer", pa.int32()), "delay_ms": ("integer", pa.int32()), "n_pixel_bytes": ("long", pa.int64()), "pixels_sha256": ("string", pa.string()), "tail_crc32": ("long", pa.int64()), "histogram": ("array<bigint>", pa.list_(pa.int64())), "mode": ("string", pa.string())}
+    made = T.StructType([T.StructField(n, T.DataType.fromDDL(k)) for n, (k, _) in kinds.items()])
+    return _added(media, made, lambda found: [pa.array(c, kind) for c, (_, kind) in zip(zip(*map(_digest, found)) if found else [()] * len(kinds), kinds.values())])

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, utf8
+from .common import by_bytes, keyed, named, utf8
 
 #: Share of the best path's fused ratio that makes a path content by itself; weight of the neighbours when smoothing.
 SHARE, NEIGHBOUR = 0.15, 0.5
@@ -301,6 +301,6 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, keys: list[str], page: str = "html") -> DataFrame:
     """`keys`, text and n_chars for each row of `pages`."""
-    kept = pages.select(*keys, F.col(page).cast("string").alias("__html"))
+    kept = keyed(pages, keys, __html=F.col(f"`{page}`").cast("string"))
     schema = T.StructType(list(kept.drop("__html").schema.fields)).add("text", "string").add("n_chars", "long")
-    return kept.mapInArrow(_extracted, schema)
+    return named(kept.mapInArrow(_extracted, schema), keys)

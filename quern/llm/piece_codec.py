@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import M1, M2, by_bytes, fold, utf8
+from .common import M1, M2, by_bytes, fold, keyed, named, utf8
 from .token_counts import shared, vocabulary
 
 RATE, SEED = 0.1, 20_240
@@ -270,16 +270,16 @@ def _encoded(path: str, rate: float, seed: int):
 
 def encode(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """`keys`, n_bytes and ids (little-endian unsigned 32-bit) for each row."""
-    kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
+    kept = keyed(docs, keys, __text=F.col(f"`{text}`").cast("string"))
     schema = kept.drop("__text").schema.add("n_bytes", "long").add("ids", "binary")
-    return kept.mapInArrow(_encoded(path or vocabulary("piece_bpe_32k.model"), rate, seed), schema)
+    return named(kept.mapInArrow(_encoded(path or vocabulary("piece_bpe_32k.model"), rate, seed), schema), keys)
 
 
-def _decoded(path: str):
+def _decoded(path: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(PieceEncoder, path)
-        for batch in by_bytes(batches, "ids", 4 << 20):
-            texts = [None if x is None else encoder.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+        for batch in by_bytes(batches, ids, 4 << 20):
+            texts = [None if x is None else encoder.decode(x).decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -287,5 +287,6 @@ def _decoded(path: str):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The rows with `decoded`, the text of their column `ids`."""
-    schema = T.StructType(list(encoded.schema.fields)).add("decoded", "string")
-    return encoded.mapInArrow(_decoded(path or vocabulary("piece_bpe_32k.model")), schema)
+    kept = keyed(encoded, encoded.columns)
+    schema = T.StructType(list(kept.schema.fields)).add("decoded", "string")
+    return named(kept.mapInArrow(_decoded(path or vocabulary("piece_bpe_32k.model"), f"__key{encoded.columns.index('ids')}"), schema), encoded.columns)

@@ -1,7 +1,13 @@
 """Host-level quality rules: rule failures by domain, shrunk by an empirical beta prior, joined back to documents.
 
-Text rules run in one Arrow pass; everything on hosts is DataFrame work. A domain may hold a third of
-all rows: it is counted with partial aggregation, and the join back to documents is salted.
+Text rules run in Arrow passes; everything on hosts is DataFrame work. A host's failure rate has a beta posterior, from the
+prior of all hosts' rates. The host is rejected, with all its documents, if the rate is above `HOST_LIMIT` by `REJECT_Z` standard
+deviations of the posterior, and watched if it is above the prior's mean by `WATCH_Z`: documents of a watched host are held to
+the stricter limit `WATCHED_REPEAT_PERCENT`. So a host with few documents is judged by what it shows beyond chance only.
+
+A domain may hold a third of all rows: it is counted with partial aggregation. The host table is
+broadcast if counted small; else hosts with more than one in `HOT` of all rows, at most `HOT` of them, are broadcast, and the others joined.
+`host_rules` reads the texts twice, once for the hosts and once for the rows, instead of writing all documents in between.
 
 Nulls and odd cases: a null text has no words and fails; a null domain is a domain of its own; repeated
 rows stay repeated; an empty table gives an empty result; extra columns are kept by `host_rules`.
@@ -13,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import by_bytes, durable, utf8
+from .common import by_bytes, durable, named, utf8
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
-#: A domain is rejected if its shrunk failure rate reaches this.
-HOST_LIMIT = 0.5
-SALTS = 16
-#: Rows of the host table up to which it is broadcast (counted first); beyond, the salted join is taken.
-FEW_HOSTS = 5_000
+WATCHED_REPEAT_PERCENT = 10
+#: The failure rate beyond which a host is rejected; standard deviations of the posterior for the verdicts (one-sided 95 % and 80 %).
+HOST_LIMIT, REJECT_Z, WATCH_Z = 0.5, 1.645, 0.842
+#: The prior counts for at least and at most so many documents.
+STRENGTHS = (2.0, 100.0)
+#: Rows of the host table up to which it is broadcast (counted first); beyond, hosts with more than one in HOT of the rows are.
+FEW_HOSTS, HOT = 5_000, 1_000
 _FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -68,52 +76,63 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [pa.array(rows[:, i]) for i in range(len(_FEATURES))], [*rest, *_FEATURES])
 
 
-def rule_features(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """`keys`, the five features and base_failed, a row for each row of `docs`."""
-    kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
+def _failed(n_words: Column, n_repeat_words: Column, percent: int) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > percent * n_words)
+
+
+def rule_features(docs: DataFrame, columns: dict[str, Column], text: str = "text") -> DataFrame:
+    """The columns, the five features, base_failed and strict_failed, a row for each row of `docs`."""
+    kept = docs.select(*[c.alias(n) for n, c in columns.items()], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = kept.drop("__text").schema
     for name in _FEATURES:
         schema = schema.add(name, "long")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return kept.mapInArrow(_featured, schema).withColumn("base_failed", failed)
+    limits = {"base_failed": MAX_REPEAT_PERCENT, "strict_failed": WATCHED_REPEAT_PERCENT}
+    return kept.mapInArrow(_featured, schema).withColumns({n: _failed(F.col("n_words"), F.col("n_repeat_words"), p) for n, p in limits.items()})
 
 
 def beta_prior(moments: tuple[int, float | None, float | None, float | None]) -> tuple[float, float]:
     """Alpha and beta by the method of moments from (hosts, mean rate, variance of rates, mean of 1/n).
 
-    The binomial part of the variance is taken off first. Fewer than two hosts or no spread give a
-    prior of strength 100 around the mean; the prior never falls below strength 2.
+    The binomial part of the variance is taken off first. Fewer than two hosts or no spread give the
+    strongest prior around the mean.
     """
     hosts, mean, variance, inverse = moments
     mean = min(max(mean or 0.0, 1e-4), 1 - 1e-4)
     between = max(0.0, (variance or 0.0) - mean * (1 - mean) * (inverse or 0.0))
-    strength = mean * (1 - mean) / between - 1 if hosts > 1 and between > 1e-9 else 100.0
-    strength = min(max(strength, 2.0), 1e4)
+    strength = mean * (1 - mean) / between - 1 if hosts > 1 and between > 1e-9 else STRENGTHS[1]
+    strength = min(max(strength, STRENGTHS[0]), STRENGTHS[1])
     return mean * strength, (1 - mean) * strength
 
 
 def host_rates(features: DataFrame, host: str) -> DataFrame:
-    """Each host's documents, failures, shrunk rate and verdict; no host is dropped."""
+    """Each host's documents, failures, shrunk rate and verdicts; no host is dropped."""
     hosts = features.groupBy(host).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
     row = hosts.agg(F.count("*"), F.avg(rate), F.var_samp(rate), F.avg(1 / F.col("host_docs"))).first()  # one row
     alpha, beta = beta_prior(tuple(row))
-    shrunk = (F.col("host_failures") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk >= HOST_LIMIT)
+    weight = F.col("host_docs") + F.lit(alpha + beta)
+    shrunk = (F.col("host_failures") + F.lit(alpha)) / weight
+    spread = F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
+    return hosts.withColumn("host_rate", shrunk).withColumns({"host_rejected": shrunk - REJECT_Z * spread > HOST_LIMIT, "host_watched": shrunk - WATCH_Z * spread > alpha / (alpha + beta)})
+
+
+def _verdict(base_failed: Column, strict_failed: Column) -> Column:
+    """Whether a document stays, with its host's verdict beside it."""
+    return ~base_failed & ~F.coalesce("host_rejected", F.lit(False)) & ~(strict_failed & F.coalesce("host_watched", F.lit(False)))
 
 
 def judged(docs: DataFrame, keys: list[str], host: str = "source", text: str = "text") -> DataFrame:
-    """`keys`, features, base_failed, host_rate and kept for each row of `docs`.
+    """`keys`, features, base_failed, host_docs, host_failures, host_rate, host_verdict and kept for each row of `docs`.
 
-    kept is false if base_failed, else unless the host is rejected.
+    kept is false if base_failed, else the verdict of the host and the stricter limit for watched ones.
     """
-    own = [k for k in keys if k != host]
-    features = durable(rule_features(docs.withColumn("__host", F.col(host).cast("string")), [*own, "__host"], text))
+    own = {f"__key{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} | {"__host": F.col(f"`{host}`").cast("string")}
+    features = durable(rule_features(docs, own, text))
     hosts = durable(host_rates(features, "__host").withColumnRenamed("__host", "__of"))
-    joined = _by_host(features, "__host", hosts, [*_FEATURES, *own], "left")
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False))
-    out = joined.withColumn("kept", kept).withColumnRenamed("__host", host)
-    return out.select(*keys, *_FEATURES, "base_failed", "host_docs", "host_failures", "host_rate", "kept")
+    joined = _by_host(features, hosts)
+    verdict = F.when(F.col("host_rejected"), "rejected").when(F.col("host_watched"), "watched").otherwise("usual")
+    out = joined.withColumns({"host_verdict": verdict, "kept": _verdict(F.col("base_failed"), F.col("strict_failed"))})
+    return named(out.select(*[c for c in own if c != "__host"], *_FEATURES, "base_failed", "host_docs", "host_failures", "host_rate", "host_verdict", "kept"), keys)
 
 
 def host_rules(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
@@ -122,32 +141,40 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text") -> Dat
     Every row is judged by a struct of its own columns, so repeated rows, null ids and extra columns
     of any name come through; the struct rides along while only its text is read by the rules.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(host).cast("string").alias("__h"), F.col(text).cast("string").alias("__t"))
-    features = packed.select("__h", "__t").mapInArrow(_host_failed, "__h string, base_failed boolean")
-    hosts = durable(host_rates(features, "__h").where("host_rejected").select(F.col("__h").alias("__of")))
-    passed = packed.where(~_failed_udf()(F.col("__t")))
-    return _by_host(passed, "__h", hosts, ["__t"], "left_anti").select("__row.*")
-
-
-def _by_host(rows: DataFrame, host: str, hosts: DataFrame, spread: list[str], how: str) -> DataFrame:
-    """Rows joined with a row for each host: broadcast if counted to be few, else salted."""
-    if hosts.count() <= FEW_HOSTS:
-        return rows.join(F.broadcast(hosts), rows[host].eqNullSafe(hosts["__of"]), how)
-    salted = hosts.withColumn("__salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-    return rows.join(salted, rows[host].eqNullSafe(salted["__of"]) & (F.col("__salt") == F.col("__salt2")), how)
-
-
-def _fails(text: bytes) -> bool:
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{host}`").cast("string").alias("__host"), F.col(f"`{text}`").cast("string").alias("__text"))
+    features = packed.select("__host", "__text").mapInArrow(_host_failed, "__host string, base_failed boolean")
+    hosts = host_rates(features, "__host").where("host_rejected or host_watched")
+    hosts = durable(hosts.withColumnRenamed("__host", "__of"))
+    passed = packed.withColumn("__level", _level_udf()(F.col("__text"))).where("__level < 2")
+    return _by_host(passed, hosts).where(_verdict(F.lit(False), F.col("__level") == 1)).select("__row.*")
+
+
+def _by_host(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows with column __host, left-joined with hosts by __of: broadcast if counted to be few, else for the hot ones."""
+    counted = hosts.agg(F.count("*"), F.sum("host_docs")).first()
+    if counted[0] <= FEW_HOSTS:
+        return rows.join(F.broadcast(hosts), rows["__host"].eqNullSafe(hosts["__of"]), "left")
+    hot = hosts.where(F.col("host_docs") * HOT > counted[1])
+    cold = hosts.where(F.col("host_docs") * HOT <= counted[1])
+    marked = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), rows["__host"].eqNullSafe(hot["__of"]), "left")
+    there = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot is null").select(*rows.columns)
+    return there.unionByName(rest.join(cold, rest["__host"].eqNullSafe(cold["__of"]), "left"))
+
+
+def failing(text: bytes) -> int:
+    """2 if a text fails the rules, 1 if it fails only the stricter limit of watched hosts, else 0."""
     words = text.split()
-    return len(words) < MIN_WORDS or 100 * repeated_words(words) > MAX_REPEAT_PERCENT * len(words)
+    if len(words) < MIN_WORDS:
+        return 2
+    repeated = 100 * repeated_words(words)
+    return int(repeated > WATCHED_REPEAT_PERCENT * len(words)) + int(repeated > MAX_REPEAT_PERCENT * len(words))
 
 
 def _host_failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches, "__t"):
-        yield pa.RecordBatch.from_arrays([batch.column("__h"), pa.array([_fails(x) for x in utf8(batch.column("__t"))], pa.bool_())], ["__h", "base_failed"])
+    for batch in by_bytes(batches, "__text"):
+        yield pa.RecordBatch.from_arrays([batch.column("__host"), pa.array([failing(x) == 2 for x in utf8(batch.column("__text"))], pa.bool_())], ["__host", "base_failed"])
 
 
-def _failed_udf():
-    return F.arrow_udf(lambda column: pa.array([_fails(x) for x in utf8(column)], pa.bool_()), "boolean")
+def _level_udf():
+    return F.arrow_udf(lambda column: pa.array([failing(x) for x in utf8(column)], pa.int32()), "int")

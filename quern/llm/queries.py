@@ -40,26 +40,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-def _shade(i: int):
-    return lambda frame: frame["red"][i]
-
-
 def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = gif_media.frames(gif_media.store(_table(spark, sf_dir, "documents"), ["doc_id"]))
-    payload = F.aggregate("frames", F.lit(b""), lambda found, frame: F.concat(found, frame["pixels"]))
-    counts = [F.aggregate(F.transform("frames", _shade(i)), F.lit(0).cast("long"), lambda n, x: n + x).cast("string") for i in range(8)]
-    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(" ms="), F.element_at("frames", 1)["delay_ms"], F.lit(" grey="), F.concat_ws(",", *counts))
-    out = read.select("doc_id", "n_bytes", "media", payload.alias("payload"), feature.alias("feature"))
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
-    )
+    read = gif_media.digests(gif_media.store(_table(spark, sf_dir, "documents"), ["doc_id"]))
+    feature = F.concat(F.lit("frames="), "n_frames", F.lit(" ms="), "delay_ms", F.lit(" grey="), F.concat_ws(",", F.col("histogram").cast("array<string>")))
+    media = F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")
+    return read.select("doc_id", "n_bytes", F.col("n_pixel_bytes").alias("payload_bytes"), F.col("pixels_sha256").alias("payload_sha256"), "tail_crc32", *media, feature.alias("feature"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_bytes, utf8
+from .common import by_bytes, keyed, named, utf8
 
 LIMIT = 2048
 
@@ -171,6 +171,6 @@ def _counted(path: str, limit: int):
 
 def token_counts(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """`keys`, n_bytes, n_tokens and over_limit for each row. For vocabularies that drop white space."""
-    kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
+    kept = keyed(docs, keys, __text=F.col(f"`{text}`").cast("string"))
     schema = kept.drop("__text").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return kept.mapInArrow(_counted(path or vocabulary("word_bpe_49k.json"), limit), schema)
+    return named(kept.mapInArrow(_counted(path or vocabulary("word_bpe_49k.json"), limit), schema), keys)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, durable, id_remainder, utf8
+from .common import by_bytes, durable, id_remainder, keyed, named, utf8
 
 SAMPLE_ROWS, SAMPLE_BYTES, LEAST_TEXTS = 10_000, 256 << 20, 3
 #: A bucket's penalty in standard errors of its slope. A telling pair is more (or less) often toxic than all texts and than either member,
@@ -257,8 +257,9 @@ def _scored(shared):
 def scored(docs: DataFrame, model: FactorizationMachine, keys: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """`keys` and the score of each row's text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keys, F.col(text).cast("string").alias("__text"))
-    return kept.mapInArrow(_scored(shared), T.StructType(list(kept.drop("__text").schema.fields)).add("__score", "double")).withColumnRenamed("__score", name)
+    kept = keyed(docs, keys, __text=F.col(f"`{text}`").cast("string"))
+    found = kept.mapInArrow(_scored(shared), T.StructType(list(kept.drop("__text").schema.fields)).add("__score", "double"))
+    return named(found.withColumnRenamed("__score", name), keys)
 
 
 def not_toxic(docs: DataFrame, model: FactorizationMachine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

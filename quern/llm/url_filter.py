@@ -1,13 +1,13 @@
 """URL filters: host-suffix and path-prefix expressions, equi-joined on short hash prefixes.
 
-Each distinct url is expanded into the expressions that a rule could have: its host's last k labels with
-the first m characters of its path, for the shapes (k, m) that occur among the rules. Expressions meet
-rules on four bytes of their digest; the full digest confirms a meeting; the longest rule wins, and of
+Each url is expanded into the expressions that a rule could have: its host's last k labels with
+the first m characters of its path, for the shapes (k, m) that occur among the rules. Rules are grouped by four bytes of
+their digest, as a number, and expressions meet them on that alone; the full digest confirms a rule in the group; the longest rule wins, and of
 equal ones the blocking one.
 
-All of it is DataFrame work. Equal rows are counted before the joins and laid out again after them, so a
-url that holds a third of all rows is judged once. Whether the rules are broadcast is left to Spark's own
-size check; beyond it, skewed prefixes are split by adaptive joins.
+All of it is DataFrame work. Rules are counted: up to `FEW_RULES` are broadcast and joined once a shape, so
+urls aren't shuffled at all. More rules are joined to the exploded expressions of all shapes at once; there, equal rows are counted
+before and laid out again after, so a url that holds a third of all rows is judged once, and skewed prefixes are split by adaptive joins.
 
 A null url, or one without `://`, has an empty host and path, and no rule fits it; a rule without `/`
 has no path and fits every path; null rules are passed over; repeated rows stay repeated; empty tables give empty results.
@@ -17,12 +17,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lower_ascii
+from .common import keyed, lower_ascii, named
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 DEFAULT = "allow"
 #: Hexadecimal digits of the digest that the join is on.
 PREFIX = 8
+#: Rules up to which they are broadcast: a few MB.
+FEW_RULES = 20_000
 
 
 def url_host(url: Column) -> Column:
@@ -49,32 +51,55 @@ def _prepared(rules: DataFrame) -> DataFrame:
     slash = F.locate("/", F.col("rule"))
     host = lower_ascii(F.when(slash > 0, F.substring_index("rule", "/", 1)).otherwise(F.col("rule")))
     path = F.when(slash > 0, F.expr("substring(rule, locate('/', rule))")).otherwise(F.lit(""))
-    keyed = rules.where("rule is not null and action is not null").select("rule", "action", host.alias("__h"), path.alias("__p"))
+    known = rules.where("rule is not null and action is not null").select("rule", "action", host.alias("__h"), path.alias("__p"))
     best = F.max_by("action", F.when(F.col("action") == "block", 1).otherwise(0))
-    keyed = keyed.groupBy("rule", "__h", "__p").agg(best.alias("action"))
+    known = known.groupBy("rule", "__h", "__p").agg(best.alias("action"))
     digest = _digest(F.col("__h"), F.col("__p"))
-    return keyed.select("rule", "action", _labels(F.col("__h")).alias("k"), F.length("__p").alias("m"), digest.alias("rule_digest"), F.substring(digest, 1, PREFIX).alias("rule_prefix"))
+    return known.select("rule", "action", _labels(F.col("__h")).alias("k"), F.length("__p").alias("m"), digest.alias("digest"))
+
+
+def _prefix(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, PREFIX), 16, 10).cast("long")
+
+
+def _best(rules: Column, digest: Column) -> Column:
+    """The rule of a group that the digest confirms and that goes first, as a struct; null if none."""
+    fits = F.filter(rules, lambda r: r["digest"] == digest)
+    order = F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("length"), F.when(r["action"] == "block", 1).otherwise(0).alias("blocks"), r["rule"].alias("rule"), r["action"].alias("action")))
+    return F.array_max(order)
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = DEFAULT) -> DataFrame:
     """`key`, host, path, rule, verdict for each row of `pages`; rules: columns action and rule."""
-    rules = _prepared(rules)
+    known = _prepared(rules)
     # As many as there are pairs of a rule's number of labels and length of path, not as many as rules.
-    shapes = sorted((r["k"], r["m"]) for r in rules.select("k", "m").distinct().collect())
-    urls = pages.select(F.col(key).alias("__key"), F.col(url).cast("string").alias("__url")).groupBy("__key", "__url").agg(F.count("*").alias("__n"))
-    urls = urls.withColumn("host", url_host(F.col("__url"))).withColumn("path", url_path(F.col("__url")))
-    fits = [
+    counted = known.groupBy("k", "m").agg(F.count("*").alias("n")).collect()
+    shapes = sorted((r["k"], r["m"]) for r in counted)
+    groups = known.groupBy(_prefix(F.col("digest")).alias("rule_prefix")).agg(F.collect_set(F.struct("digest", "rule", "action")).alias("group"))
+    rows = keyed(pages, [key], __url=F.col(f"`{url}`").cast("string"))
+    few = sum(r["n"] for r in counted) <= FEW_RULES
+    if not few:
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
+    rows = rows.withColumns({"host": url_host(F.col("__url")), "path": url_path(F.col("__url"))})
+    expressions = [
         F.when(
             (_labels(F.col("host")) >= k) & (F.length("path") >= m) & (F.locate("://", F.col("__url")) > 0),
             _digest(F.substring_index("host", ".", -k), F.substring("path", 1, m) if m else F.lit("")),
         )
         for k, m in shapes
     ]
-    expressions = F.array_compact(F.array(*fits)) if fits else F.array().cast("array<string>")
-    wide = urls.withColumn("__e", F.explode_outer(expressions)).withColumn("__prefix", F.substring("__e", 1, PREFIX))
-    met = wide.join(rules, (F.col("__prefix") == F.col("rule_prefix")) & (F.col("__e") == F.col("rule_digest")), "left")
-    order = F.struct(F.length("rule"), F.when(F.col("action") == "block", 1).otherwise(0).alias("b"), F.col("rule"), F.col("action"))
-    best = F.max(F.when(F.col("rule").isNotNull(), order))
-    judged = met.groupBy("__key", "__url").agg(F.first("__n").alias("__n"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("b"))
-    out = judged.select(F.col("__key").alias(key), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.action", F.lit(default)).alias("verdict"), "__n")
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n", "__i")
+    if few:
+        found = []
+        for i, digest in enumerate(expressions):
+            own = F.broadcast(groups.select(F.col("rule_prefix").alias(f"__p{i}"), F.col("group").alias(f"__g{i}")))
+            rows = rows.withColumn(f"__e{i}", digest)
+            rows = rows.join(own, _prefix(F.col(f"__e{i}")) == F.col(f"__p{i}"), "left").withColumn(f"__b{i}", _best(F.col(f"__g{i}"), F.col(f"__e{i}"))).drop(f"__p{i}", f"__g{i}", f"__e{i}")
+            found.append(F.col(f"__b{i}"))
+        none = F.lit(None).cast("struct<length:int,blocks:int,rule:string,action:string>")
+        judged = rows.withColumn("__best", F.greatest(*found, none) if found else none)
+    else:
+        wide = rows.withColumn("__e", F.explode_outer(F.array_compact(F.array(*expressions)))).withColumn("__prefix", _prefix(F.col("__e")))
+        met = wide.join(groups, F.col("__prefix") == F.col("rule_prefix"), "left").withColumn("__best", _best(F.col("group"), F.col("__e")))
+        judged = met.groupBy("__key0", "__url").agg(*[F.first(c).alias(c) for c in ("__n", "host", "path")], F.max("__best").alias("__best"))
+        judged = judged.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return named(judged.select("__key0", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.action", F.lit(default)).alias("verdict")), [key])

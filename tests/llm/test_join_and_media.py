@@ -148,6 +148,32 @@ def test_transparency_disposal_and_interlacing():
     assert f[0]["pixels"] == bytes(sum((palette[i % 4] for i in range(9)), []))
 
 
+def test_histograms_are_of_the_frame_and_alpha_of_what_was_drawn():
+    first, second = bytes([200]) * 65_536, bytes([10]) * 64
+    _, _, f = gif_media.read_gif(gif_media.write_gif(first + second))
+    assert len(f) == 2 and f[0]["red"][6] == 65_536 and f[1]["red"] == [64, 0, 0, 0, 0, 0, 0, 0] and f[1]["alpha"] is None
+    palette = [[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255]]
+    _, _, f = gif_media.read_gif(gif(2, 2, palette, [(0, 0, 2, 2, [0, 3, 3, 0], 2, 3, False), (1, 1, 4, 3, [1] * 12, 0, None, False), (5, 5, 1, 1, [1], 0, None, False)]))
+    assert f[0]["alpha"] == bytes([255, 0, 0, 255]) and f[0]["pixels"] == bytes([255, 0, 0, 0, 0, 0, 0, 0, 0, 255, 0, 0])
+    assert (f[1]["width"], f[1]["height"], f[1]["pixels"], f[1]["alpha"]) == (1, 1, bytes([0, 255, 0]), None)  # clipped
+    assert (f[2]["width"], f[2]["height"], f[2]["pixels"]) == (0, 0, b"")
+
+
+def test_gif_query_features_and_stored_form(spark, tmp_path):
+    texts = ["", "a" * 70, "".join(chr(32 + i % 90) for i in range(140_001)), "a" * 70]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries.op7_gif_media(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        payload = t.encode() + bytes(-len(t) % 64 or (0 if t else 64))
+        media = gif_media.write_gif(payload)
+        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=8)
+        r = rows[i]
+        assert r["feature"] == f"frames={-(-len(payload) // 65536)} ms=100 grey=" + ",".join(map(str, grey))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert rows[1]["media_sha256"] == rows[3]["media_sha256"]
+
+
 def test_gif_tables(spark, odd, none):
     stored = gif_media.store(odd, ["doc_id"])
     rows = gif_media.frames(stored).collect()

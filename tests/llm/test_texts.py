@@ -51,6 +51,22 @@ def test_a_bad_host_goes_whole(spark, monkeypatch):
         assert quality_rules.host_rules(docs).count() == 400
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_both_host_verdicts_on_the_driver_s_data(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    rows = quality_rules.judged(docs, ["doc_id"]).collect()
+    hosts = {(r["host_verdict"], r["host_docs"], r["host_failures"], r["host_rate"]) for r in rows}
+    assert {h[0] for h in hosts} == {"usual", "watched"}
+    # Watched are hosts beyond the prior's mean, and their documents are held to the stricter limit.
+    assert min(h[3] for h in hosts if h[0] == "watched") > sum(h[2] for h in hosts) / sum(h[1] for h in hosts)
+    for r in rows:
+        strict = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 10 * r["n_words"]
+        assert r["kept"] == (not r["base_failed"] and not (strict and r["host_verdict"] == "watched"))
+    dropped = sum(not r["kept"] and not r["base_failed"] for r in rows)
+    assert 0 < dropped < 0.01 * len(rows)
+    assert quality_rules.host_rules(docs).count() == sum(r["kept"] for r in rows)
+
+
 def test_prior_shrinks_small_hosts():
     a, b = quality_rules.beta_prior((50, 0.1, 0.001, 0.01))
     assert abs(a / (a + b) - 0.1) < 1e-9 and (3 + a) / (3 + a + b) < 0.5
@@ -140,6 +156,33 @@ def test_sum_of_squares_follows_its_rule():
     assert len(level) <= 1.1 * sizes.sum() / 40 + 2
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_as_few_sequences_as_the_tokens_need(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    rows = packing.pack(docs, ["doc_id"], keep_ids=False).select("sequence_id", "length").collect()
+    assert len({r["sequence_id"] for r in rows}) == -(-sum(r["length"] for r in rows) // 2048)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_refilled_bins_are_whole_and_never_more(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(1, 41, 400)
+    before = packing.sum_of_squares(sizes, 40)
+    bins, offsets = packing.refilled(sizes, *before, 40)
+    assert bins.max() <= before[0].max() and sorted(set(bins.tolist())) == list(range(bins.max() + 1))
+    for b in range(bins.max() + 1):
+        own = np.flatnonzero(bins == b)
+        own = own[np.argsort(offsets[own])]
+        assert offsets[own].tolist() == (np.cumsum(sizes[own]) - sizes[own]).tolist() and sizes[own].sum() <= 40
+
+
+def test_repeated_rows_are_dealt_to_many_blocks(spark):
+    docs = spark.createDataFrame([(1, "the same row " * 40)] * 600 + [(i, "another") for i in range(300)], "doc_id long, text string")
+    rows = packing.pack(docs, ["doc_id"], keep_ids=False, block_rows=100).collect()
+    blocks = Counter(r["sequence_id"] >> 40 for r in rows if r["doc_id"] == 1)
+    assert sum(blocks.values()) >= 600 and len(blocks) >= 7 and max(blocks.values()) < 250
+
+
 def brute_lm(texts, train, order, strengths):
     counts = [Counter() for _ in range(order)]
     for t, used in zip(texts, train):

@@ -37,6 +37,25 @@ def test_rules_of_any_shape(spark):
     assert {r["verdict"] for r in empty.collect()} == {"allow"}
 
 
+def test_many_rules_take_the_exploded_join(spark, monkeypatch):
+    rows = [(i % 7, ["http://www.example.com/en/x", "http://a.net/es/1", "https://example.com/en/", None, "http://q.org/"][i % 5]) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    few = sorted(url_filter.filter_urls(pages, url_filter.rule_table(spark)).collect(), key=str)
+    monkeypatch.setattr(url_filter, "FEW_RULES", 0)
+    many = url_filter.filter_urls(pages, url_filter.rule_table(spark))
+    assert sorted(many.collect(), key=str) == few == sorted(((i, *brute(u)) for i, u in rows), key=str)
+
+
+def test_the_join_is_on_the_short_prefix_alone(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    plan = lambda: url_filter.filter_urls(pages, url_filter.rule_table(spark))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan().splitlines() if "Join" in line]
+    assert len(joins) == 4 and all("digest" not in j and j.count(" = ") == 1 for j in joins)
+    monkeypatch.setattr(url_filter, "FEW_RULES", 0)
+    joins = [line for line in plan().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "rule_prefix" in joins[0] and "digest" not in joins[0]
+
+
 def test_main_text():
     article = "<p>Running text, with some marks; it goes on. And on, as it does.</p>" * 3
     page = f"""<html><head><title>T</title><style>p{{}}</style></head><body><header>Top</header><nav><a>Menu</a></nav>
