@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rendering as R
 
@@ -172,3 +172,29 @@ def union_of_definitions(index: Index) -> DataFrame:
     columns = ["file_path", "name", "start_line", "end_line", "ord"]
     first = index["functions"].select(*columns, F.lit("function").alias("kind"), F.lit(0).alias("kind_rank"))
     return first.unionByName(index["classes"].select(*columns, F.lit("class").alias("kind"), F.lit(1).alias("kind_rank")))
+
+
+def occurrences(defs: DataFrame) -> DataFrame:
+    """Definitions with `times`, how many of their file (and class) have their name, and `occurrence`, which of these each is, from 1.
+
+    For functions, classes and methods alike, and for their union, where functions come first.
+    """
+    keys = [c for c in ("file_path", "class_name", "class_start_line", "name") if c in defs.columns]
+    order = [c for c in ("kind_rank", "start_line", "ord") if c in defs.columns]
+    same = Window.partitionBy(*keys)
+    return defs.withColumns({"occurrence": F.row_number().over(same.orderBy(*order)).cast("long"), "times": F.count("*").over(same)})
+
+
+def nth(defs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (file_path, name, occurrence, and class_name for methods) with the definition that they mean.
+
+    Without an occurrence a name must be there once. `status` is found, missing, ambiguous or beyond; but for found the definition is null.
+    """
+    keys = [c for c in ("file_path", "class_name", "name") if c in requests.columns]
+    rows = occurrences(defs)
+    there = rows.groupBy(*keys).agg(F.max("times").alias("times"))
+    asked = requests.join(there, keys, "left").withColumn("__at", F.coalesce(F.col("occurrence").cast("long"), F.when(F.col("times") == 1, F.lit(1).cast("long"))))
+    own = rows.select(*keys, F.col("occurrence").alias("__at"), F.struct(*[c for c in defs.columns if c not in keys]).alias("definition"))
+    joined = asked.join(own, [*keys, "__at"], "left")
+    status = F.when(F.col("times").isNull(), "missing").when(F.col("__at").isNull(), "ambiguous").when(F.col("definition").isNull(), "beyond").otherwise("found")
+    return joined.select(*requests.columns, status.alias("status"), "times", "definition")

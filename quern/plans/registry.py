@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import rendering as R
 from ..functions.parsing import content_hash, normal_newlines, parsed
 from ..operators import edits, queries as Q
 from ..operators.index import Index, tables_from
+from ..operators.staging import shared_folder
 from . import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,16 +46,16 @@ _METHOD = "'def ' || role || '(self):' || chr(10) || '    r\"\"\"' || chr(10) ||
 _PARTS = "parts AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n, '/corpus/brand/' || regexp_extract(p_brand, '[0-9]+') || '.py' AS file_path FROM part)"
 
 
-def docs(spark, sf_dir):
-    return tables_from(corpus.doc_modules(spark, sf_dir))
+def docs(spark, sf_dir, staged=False):
+    return tables_from(corpus.doc_modules(spark, sf_dir), staged)
 
 
-def conversations(spark, sf_dir):
-    return tables_from(corpus.conversation_modules(spark, sf_dir))
+def conversations(spark, sf_dir, staged=False):
+    return tables_from(corpus.conversation_modules(spark, sf_dir), staged)
 
 
-def brands(spark, sf_dir):
-    return tables_from(corpus.brand_modules(spark, sf_dir))
+def brands(spark, sf_dir, staged=False):
+    return tables_from(corpus.brand_modules(spark, sf_dir), staged)
 
 
 # Hashes and records
@@ -134,7 +134,7 @@ def methods_extract(spark, sf_dir):
 
 @_query(f"WITH {_TURNS} SELECT 'Conv' || conv_id AS class_name, role AS name, CAST(first AS INTEGER) AS start_line FROM turns")
 def class_method_join(spark, sf_dir):
-    t = conversations(spark, sf_dir)
+    t = conversations(spark, sf_dir, True)
     owner = t["classes"].select("file_path", F.col("name").alias("class_name"), F.col("start_line").alias("class_start_line"))
     return t["methods"].join(owner, ["file_path", "class_name", "class_start_line"]).select("class_name", "name", "start_line")
 
@@ -197,7 +197,7 @@ def heading_render(spark, sf_dir):
 
 @_query(f"SELECT {_DOC} AS file_path, CASE WHEN {_NL} < 0 THEN '' ELSE 'lines 4-' || (8 + {_NL}) END AS span, 'line 1' AS first FROM documents")
 def line_label(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     i = t["imports"].select("file_path", R.line_label(F.col("start_line"), F.col("end_line")).alias("first"))
     return t["functions"].select("file_path", R.line_label(F.col("start_line"), F.col("end_line")).alias("span")).join(i, "file_path")
 
@@ -216,13 +216,13 @@ _BRANDS = "WITH b AS (SELECT p_brand, '/corpus/brand/' || regexp_extract(p_brand
 
 @_query(f"{_BRANDS} SELECT file_path, {_FENCE.format(chr(39) + 'import os' + chr(39) + ' || chr(10) || ' + chr(39) + 'from sys import (' + chr(39) + ' || chr(10) || ' + chr(39) + '    argv,' + chr(39) + ' || chr(10) || ' + chr(39) + ')' + chr(39))} AS markdown FROM b")
 def imports_markdown(spark, sf_dir):
-    t = brands(spark, sf_dir)
+    t = brands(spark, sf_dir, True)
     return Q.imports(t, _paths(t))
 
 
 @_query("SELECT '/corpus/conv/' || conv_id || '.py' AS file_path, '`' || conv_id || '.py` has no module-level imports.' AS markdown FROM conversations GROUP BY conv_id")
 def imports_none(spark, sf_dir):
-    t = conversations(spark, sf_dir)
+    t = conversations(spark, sf_dir, True)
     return Q.imports(t, _paths(t))
 
 
@@ -231,13 +231,13 @@ _CHUNKS = "'BRAND = ''' || p_brand || '''' || chr(10) || chr(10) || 'if __name__
 
 @_query(f"{_BRANDS} SELECT file_path, {_FENCE.format(_CHUNKS)} AS markdown FROM b")
 def top_level_markdown(spark, sf_dir):
-    t = brands(spark, sf_dir)
+    t = brands(spark, sf_dir, True)
     return Q.top_level_chunks(t, _paths(t))
 
 
 @_query(f"{_BRANDS} SELECT file_path, '## Classes in ' || {_B} || chr(10) || chr(10) || '### class `Tiny` (lines 8-9) — full source' || chr(10) || {_FENCE.format(chr(39) + 'class Tiny:' + chr(39) + ' || chr(10) || ' + chr(39) + '    pass' + chr(39))} AS markdown FROM b")
 def classes_markdown(spark, sf_dir):
-    t = brands(spark, sf_dir)
+    t = brands(spark, sf_dir, True)
     return Q.classes(t, _paths(t))
 
 
@@ -251,31 +251,31 @@ _SHORT = _FENCE.format(f"'def doc_' || doc_id || '(limit: int=10) -> str:' || ch
 SELECT '/corpus/docs/' || doc_id || '.py' AS file_path, sha256('## Functions in `' || doc_id || '.py`' || chr(10) || chr(10) || CASE WHEN length(o) // 4 < length(c) // 4 THEN h || chr(10) || o ELSE h || ' — full source' || chr(10) || c END) AS markdown_hash FROM r"""
 )
 def functions_markdown(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     return Q.functions(t, _paths(t)).select("file_path", _sha(F.col("markdown")).alias("markdown_hash"))
 
 
 @_query(f"SELECT {_DOC} AS file_path, CAST(CASE WHEN length({_SHORT}) // 4 < length({_DOC_CODE}) // 4 THEN 1 ELSE 0 END AS INTEGER) AS outlined FROM documents")
 def outline_or_full(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     return Q.functions(t, _paths(t)).select("file_path", F.when(F.contains("markdown", F.lit(" — full source\n")), 0).otherwise(1).alias("outlined"))
 
 
 @_query(f"SELECT {_DOC} AS file_path, 'doc_' || doc_id AS name, sha256('### function `doc_' || doc_id || '` (lines 4-' || (8 + {_NL}) || ')' || chr(10) || {_DOC_CODE}) AS markdown_hash FROM documents")
 def expand_function(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     return Q.function_code(t, t["functions"].select("file_path", "name")).select("file_path", "name", _sha(F.col("markdown")).alias("markdown_hash"))
 
 
 @_query(f"SELECT {_DOC} AS file_path, '**Error:** Function `nope` was not found in `' || doc_id || '.py`. Functions in this file: `doc_' || doc_id || '`.' AS markdown FROM documents")
 def not_found_function(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     return Q.function_code(t, _paths(t).withColumn("name", F.lit("nope"))).select("file_path", "markdown")
 
 
 @_query(f"SELECT {_DOC} AS file_path, '**Error:** Class `Nope` was not found in `' || doc_id || '.py`. This file has no classes.' AS markdown FROM documents")
 def not_found_class(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     return Q.class_code(t, _paths(t).withColumn("class_name", F.lit("Nope"))).select("file_path", "markdown")
 
 
@@ -284,44 +284,68 @@ def not_found_class(spark, sf_dir):
 SELECT '/corpus/conv/' || conv_id || '.py' AS file_path, '**Error:** Method `nope` was not found in class `Conv' || conv_id || '`. Methods of this class: ' || string_agg('`' || role || '`', ', ' ORDER BY t) || '.' AS markdown FROM f GROUP BY conv_id"""
 )
 def not_found_method(spark, sf_dir):
-    t = conversations(spark, sf_dir)
+    t = conversations(spark, sf_dir, True)
     asked = t["classes"].select("file_path", F.col("name").alias("class_name"), F.lit("nope").alias("name"))
     return Q.method_code(t, asked).select("file_path", "markdown")
 
 
 @_query("SELECT doc_id, '**Error:** File `/none/' || doc_id || '.py` was not found in the index' AS markdown FROM documents")
 def not_found_file(spark, sf_dir):
-    t = docs(spark, sf_dir)
+    t = docs(spark, sf_dir, True)
     asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.lit("/none/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"))
     return Q.imports(t, asked).select("doc_id", "markdown")
 
 
+#: A method's code without its margin, and as it stands in the module.
+_OWN = _METHOD.replace("regexp_replace(chr(10) || text", "substr(regexp_replace(chr(10) || text").replace("'g')", "'g'), 2)")
+_RAW = "'    def ' || role || '(self):' || chr(10) || '        r\"\"\"' || chr(10) || text || chr(10) || '\"\"\"' || chr(10) || '        return 0'"
+_SPAN = "'(lines ' || CAST(first AS INTEGER) || '-' || CAST(first + nl + 4 AS INTEGER) || ')'"
+_CONV = "'/corpus/conv/' || conv_id || '.py'"
+
+
 @_query(
-    f"""WITH {_TURNS}, m AS (SELECT conv_id, first, role, '### method `Conv' || conv_id || '.' || role || '` (lines ' || CAST(first AS INTEGER) || '-' || CAST(first + nl + 4 AS INTEGER) || ')' || chr(10) || {_FENCE.format(_METHOD.replace('regexp_replace(chr(10) || text', 'substr(regexp_replace(chr(10) || text').replace(chr(39) + 'g' + chr(39) + ')', chr(39) + 'g' + chr(39) + '), 2)'))} AS item FROM turns WHERE role = 'user')
-SELECT '/corpus/conv/' || conv_id || '.py' AS file_path, sha256(string_agg(item, chr(10) || chr(10) ORDER BY first)) AS markdown_hash FROM m GROUP BY conv_id"""
+    f"""WITH {_TURNS}, m AS (SELECT conv_id, role, first, '### method `Conv' || conv_id || '.' || role || '` ' || {_SPAN} || chr(10) || {_FENCE.format(_OWN)} AS item FROM turns)
+SELECT {_CONV} AS file_path, role AS name, sha256(string_agg(item, chr(10) || chr(10) ORDER BY first)) AS markdown_hash FROM m GROUP BY conv_id, role"""
 )
 def expand_method(spark, sf_dir):
-    t = conversations(spark, sf_dir)
-    asked = t["methods"].where("name = 'user'").select("file_path", "class_name", "name").distinct()
-    return Q.method_code(t, asked).select("file_path", _sha(F.col("markdown")).alias("markdown_hash"))
+    t = conversations(spark, sf_dir, True)
+    asked = t["methods"].select("file_path", "class_name", "name").distinct()
+    return Q.method_code(t, asked).select("file_path", "name", _sha(F.col("markdown")).alias("markdown_hash"))
+
 
+_CLASS_TEXT = f"'class Conv' || conv_id || ':' || chr(10) || string_agg({_RAW}, chr(10) || chr(10) ORDER BY turn)"
 
-@_query()
+
+@_query(
+    f"""WITH {_TURNS}, c AS (SELECT conv_id, CAST(max(first + nl + 4) AS INTEGER) AS last, {_CLASS_TEXT} AS code FROM turns GROUP BY conv_id)
+SELECT {_CONV} AS file_path, 'Conv' || conv_id AS class_name, sha256('### class `Conv' || conv_id || '` (lines 1-' || last || ')' || chr(10) || {_FENCE.format("code")}) AS markdown_hash FROM c"""
+)
 def expand_class(spark, sf_dir):
-    t = conversations(spark, sf_dir)
-    return Q.class_code(t, t["classes"].select("file_path", F.col("name").alias("class_name")))
+    t = conversations(spark, sf_dir, True)
+    asked = t["classes"].select("file_path", F.col("name").alias("class_name"))
+    return Q.class_code(t, asked).select("file_path", "class_name", _sha(F.col("markdown")).alias("markdown_hash"))
+
+
+_METHOD_SHORT = _SHORT.replace("'def doc_' || doc_id || '(limit: int=10) -> str:'", "'def ' || role || '(self):'")
 
 
-@_query()
+@_query(
+    f"""WITH {_TURNS}, r AS (SELECT *, '### method `Conv' || conv_id || '.' || role || '` ' || {_SPAN} AS h, {_METHOD_SHORT} AS o, {_FENCE.format(_OWN)} AS c FROM turns),
+m AS (SELECT *, CASE WHEN length(o) // 4 < length(c) // 4 THEN h || chr(10) || o ELSE h || ' — full source' || chr(10) || c END AS item FROM r)
+SELECT {_CONV} AS file_path, 'Conv' || conv_id AS class_name,
+  sha256('## Methods of `Conv' || conv_id || '` (lines 1-' || CAST(max(first + nl + 4) AS INTEGER) || ')' || chr(10) || chr(10) || string_agg(item, chr(10) || chr(10) ORDER BY first)) AS markdown_hash
+FROM m GROUP BY conv_id"""
+)
 def class_methods_markdown(spark, sf_dir):
-    t = conversations(spark, sf_dir)
-    return Q.class_methods(t, t["classes"].select("file_path", F.col("name").alias("class_name")))
+    t = conversations(spark, sf_dir, True)
+    asked = t["classes"].select("file_path", F.col("name").alias("class_name"))
+    return Q.class_methods(t, asked).select("file_path", "class_name", _sha(F.col("markdown")).alias("markdown_hash"))
 
 
-@_query(f"{_BRANDS} SELECT file_path, '## Methods of `Tiny`' AS heading, 'Class `Tiny` (lines 8-9) has no methods.' AS markdown FROM b")
+@_query(f"{_BRANDS} SELECT file_path, 'Class `Tiny` (lines 8-9) has no methods.' AS markdown FROM b")
 def class_methods_none(spark, sf_dir):
-    t = brands(spark, sf_dir)
-    return Q.class_methods(t, _paths(t).withColumn("class_name", F.lit("Tiny"))).select("file_path", F.lit("## Methods of `Tiny`").alias("heading"), "markdown")
+    t = brands(spark, sf_dir, True)
+    return Q.class_methods(t, _paths(t).withColumn("class_name", F.lit("Tiny"))).select("file_path", "markdown")
 
 
 # Ranking and unions
@@ -332,10 +356,8 @@ def class_methods_none(spark, sf_dir):
 SELECT '/corpus/conv/' || conv_id || '.py' AS file_path, role AS name, occurrence, times, CAST(first AS INTEGER) AS start_line FROM k"""
 )
 def pick_nth(spark, sf_dir):
-    m = conversations(spark, sf_dir)["methods"]
-    w = W.partitionBy("file_path", "class_name", "class_start_line", "name")
-    rows = m.select("file_path", "name", F.row_number().over(w.orderBy("ord")).alias("occurrence"), F.count("*").over(w).alias("times"), "start_line")
-    return rows.withColumn("occurrence", F.col("occurrence").cast("long"))
+    rows = Q.occurrences(conversations(spark, sf_dir)["methods"])
+    return rows.select("file_path", "name", "occurrence", "times", "start_line")
 
 
 @_query(
@@ -354,15 +376,14 @@ def pick_ambiguous(spark, sf_dir):
     f"""WITH {_PARTS} SELECT file_path, 'p_' || p_partkey AS name, 'function' AS kind FROM parts UNION ALL SELECT DISTINCT file_path, 'Tiny', 'class' FROM parts"""
 )
 def union_defs(spark, sf_dir):
-    return Q.union_of_definitions(brands(spark, sf_dir)).select("file_path", "name", "kind")
+    return Q.union_of_definitions(brands(spark, sf_dir, True)).select("file_path", "name", "kind")
 
 
 # Incremental maintenance
 
 
 def _index(spark: SparkSession) -> Index:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return Index(spark, f"{shared.rstrip('/')}/index-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="quern-index-"), 8)
+    return Index(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}", 8)
 
 
 def _next_version(m: DataFrame) -> DataFrame:
@@ -400,12 +421,13 @@ def refresh_unchanged(spark, sf_dir):
 
 
 @_query(
-    f"""SELECT doc_id, 'changed' AS status, sha256(replace({_MODULE}, 'import os', 'import sys')) AS text_hash, 1 AS line FROM documents WHERE strpos(coalesce(text, ''), 'import os') = 0"""
+    f"""WITH n AS (SELECT *, 1 + CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'import os', ''))) // 9 AS INTEGER) AS n_matches FROM documents)
+SELECT doc_id, n_matches, CASE WHEN n_matches = 1 THEN 'changed' ELSE 'refused' END AS status, CASE WHEN n_matches = 1 THEN sha256(replace({_MODULE}, 'import os', 'import sys')) END AS text_hash, CASE WHEN n_matches = 1 THEN 1 END AS line FROM n"""
 )
 def replace_text(spark, sf_dir):
     m = corpus.doc_modules(spark, sf_dir)
     r = m.select("doc_id", edits.replace_text(F.col("text"), F.lit("import os"), F.lit("import sys")).alias("r"))
-    return r.where("r.n_matches = 1").select("doc_id", "r.status", _sha(F.col("r.new_text")).alias("text_hash"), "r.line")
+    return r.select("doc_id", "r.n_matches", "r.status", _sha(F.col("r.new_text")).alias("text_hash"), "r.line")
 
 
 @_query("SELECT doc_id, CAST((length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'th', ''))) // 2 AS INTEGER) AS n_matches FROM documents")
@@ -474,23 +496,48 @@ def delete_definition(spark, sf_dir):
     return _edit(corpus.doc_modules(spark, sf_dir), "doc_id", "delete_definition", name=_name())
 
 
+#: A brand's module up to its tiny class, that class, its functions and its guard.
+_BRAND = "'import os' || chr(10) || 'from sys import (' || chr(10) || '    argv,' || chr(10) || ')' || chr(10) || 'BRAND = ' || chr(39) || p_brand || chr(39) || chr(10) || chr(10) || chr(10)"
+_TINY = "'class Tiny:' || chr(10) || '    pass' || chr(10)"
+_DEFS = "string_agg('def p_' || p_partkey || '():' || chr(10) || '    \"\"\"' || p_name || '\"\"\"' || chr(10) || '    return ' || p_size || chr(10) || chr(10) || chr(10), '' ORDER BY p_partkey)"
+_GUARD = "'if __name__ == \"__main__\":' || chr(10) || '    print(BRAND)' || chr(10)"
+_BRAND_TEXT = f"WITH b AS (SELECT p_brand, count(*) AS n, {_DEFS} AS defs FROM part GROUP BY p_brand)"
+_IN_BRAND = "in `' || regexp_extract(p_brand, '[0-9]+') || '.py`. The file was re-indexed.'"
+
+
 @_query(
-    """WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
-SELECT p_brand, 'changed' AS status, 'Added method `m` to class `Tiny` (lines 11-12) in `' || regexp_extract(p_brand, '[0-9]+') || '.py`. The file was re-indexed.' AS message FROM b"""
+    f"""{_BRAND_TEXT} SELECT p_brand, 'changed' AS status, sha256({_BRAND} || {_TINY} || chr(10) || '    def m(self):' || chr(10) || '        pass' || chr(10) || chr(10) || chr(10) || defs || {_GUARD}) AS text_hash,
+'Added method `m` to class `Tiny` (lines 11-12) {_IN_BRAND} AS message FROM b"""
 )
 def add_method(spark, sf_dir):
-    return _edit(corpus.brand_modules(spark, sf_dir), "p_brand", "add_method", cls_name="Tiny", new_code="def m(self):\n    pass").drop("text_hash")
+    return _edit(corpus.brand_modules(spark, sf_dir), "p_brand", "add_method", cls_name="Tiny", new_code="def m(self):\n    pass")
 
 
 @_query(
-    """WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)
-SELECT p_brand, 'Added function `g` (lines ' || (10 + 5 * n + 2) || '-' || (10 + 5 * n + 3) || ') in `' || regexp_extract(p_brand, '[0-9]+') || '.py`. The file was re-indexed.' AS message FROM b"""
+    f"""{_BRAND_TEXT} SELECT p_brand, 'changed' AS status, sha256({_BRAND} || {_TINY} || chr(10) || chr(10) || defs || 'def g():' || chr(10) || '    pass' || chr(10) || chr(10) || chr(10) || {_GUARD}) AS text_hash,
+'Added function `g` (lines ' || (10 + 5 * n + 2) || '-' || (10 + 5 * n + 3) || ') {_IN_BRAND} AS message FROM b"""
 )
 def main_guard_anchor(spark, sf_dir):
-    return _edit(corpus.brand_modules(spark, sf_dir), "p_brand", "add_function", new_code="def g():\n    pass").select("p_brand", "message")
+    return _edit(corpus.brand_modules(spark, sf_dir), "p_brand", "add_function", new_code="def g():\n    pass")
+
+
+@_query(f"""{_BRAND_TEXT} SELECT p_brand, 'changed' AS status, sha256({_BRAND} || defs || {_GUARD}) AS text_hash, 'Deleted class `Tiny` (was lines 8-9) {_IN_BRAND} AS message FROM b""")
+def delete_before_sibling(spark, sf_dir):
+    return _edit(corpus.brand_modules(spark, sf_dir), "p_brand", "delete_definition", name="Tiny")
 
 
-@_query()
+@_query(
+    f"""WITH {_TURNS}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS occurrence FROM turns),
+e AS (SELECT a.conv_id, a.role AS name, a.occurrence, a.first, a.nl, b.turn, CASE WHEN a.turn = b.turn THEN '    def other(self):' || chr(10) || '        return 1' ELSE {_RAW.replace("|| role ||", "|| b.role ||").replace("|| text ||", "|| b.text ||")} END AS code
+FROM k a JOIN turns b ON a.conv_id = b.conv_id)
+SELECT conv_id, name, occurrence, 'changed' AS status, sha256('class Conv' || conv_id || ':' || chr(10) || string_agg(code, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS text_hash,
+'Replaced method `Conv' || conv_id || '.' || name || '` (was lines ' || CAST(first AS INTEGER) || '-' || CAST(first + nl + 4 AS INTEGER) || ', now lines ' || CAST(first AS INTEGER) || '-' || CAST(first + 1 AS INTEGER) || ') in `' || conv_id || '.py`. The file was re-indexed.' AS message
+FROM e GROUP BY conv_id, name, occurrence, first, nl"""
+)
 def replace_method(spark, sf_dir):
-    name = F.concat(F.lit("Conv"), F.col("conv_id").cast("string"))
-    return _edit(corpus.conversation_modules(spark, sf_dir), "conv_id", "replace_method", cls_name=name, method_name="user", new_code="def user(self):\n    return 1", occurrence=1)
+    """Each method of each class, by its name and which of that name it is."""
+    m = corpus.conversation_modules(spark, sf_dir)
+    asked = Q.occurrences(tables_from(m)["methods"]).select("file_path", "class_name", "name", "occurrence")
+    args = F.to_json(F.struct(F.col("class_name").alias("cls_name"), F.col("name").alias("method_name"), F.lit("def other(self):\n    return 1").alias("new_code"), "occurrence"))
+    r = m.join(asked, "file_path").select("conv_id", "name", "occurrence", edits.edited(F.col("text"), F.lit("replace_method"), args, F.col("file_path")).alias("r"))
+    return r.select("conv_id", "name", "occurrence", "r.status", _sha(F.col("r.new_text")).alias("text_hash"), "r.message")

@@ -11,11 +11,11 @@ from ..operators.index import Index
 def index_stream(sources: DataFrame, index: Index, checkpoint: str, **trigger) -> StreamingQuery:
     """One refresh for each batch. A batch that runs again finds its hashes in place and changes nothing.
 
-    Of several versions of a file in one batch any one is indexed; sources that keep an order should send one.
+    Of several versions of a file in one batch none is indexed, as their order is open (see `Index.refresh`).
     """
 
     def refresh(batch: DataFrame, _: int) -> None:
-        index.refresh(batch.dropDuplicates(["file_path"]))
+        index.refresh(batch)
 
     writer = sources.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
