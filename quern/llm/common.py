@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..operators.staging import durable, shared_folder  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -24,25 +25,6 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(text.cast("binary")) % modulus
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where all runs in one process (tests)."""
-    context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="quern-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def keyed(df: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
     """The keys under names of our own, whatever theirs are, and further columns."""
     return df.select(*[F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)], *[c.alias(n) for n, c in columns.items()])

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import by_bytes, durable, id_remainder, keyed, named, utf8
+from .counts import distinct
 
 SAMPLE_ROWS, SAMPLE_BYTES, LEAST_TEXTS = 10_000, 256 << 20, 3
 #: A bucket's penalty in standard errors of its slope. A telling pair is more (or less) often toxic than all texts and than either member,
@@ -140,8 +141,8 @@ class FactorizationMachine:
         if not 0 < positive < n:
             return empty
         sizes = np.array([len(r) for r in rows])
-        row = np.repeat(np.arange(n), sizes)
-        terms, at = np.unique(np.concatenate(rows), return_inverse=True)
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        terms, _, at = distinct(np.concatenate(rows).astype(np.uint64), bits=32)
         total, hits = np.bincount(at).astype(np.float64), np.bincount(at, labels[row])
         each = np.split(at, np.cumsum(sizes)[:-1])
         inside = telling_pairs(each, labels, total, hits) | telling_pairs(each, 1 - labels, total, total - hits)
@@ -235,8 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed, key: str = "doc_id", text
     last = int(sizes["__order"].to_numpy()[fits].max()) if fits.any() else -(1 << 63)
     found = termed.where(F.col("__order") <= last).toArrow().to_pydict()
     # Sorted, so that the model doesn't depend on the order in which tasks end.
-    pairs = sorted(zip(found["terms"], found["__label"]))
-    return FactorizationMachine.fit([np.frombuffer(t, np.uint32).astype(np.uint64) for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
+    pairs = sorted(zip(found.pop("terms"), found.pop("__label")))
+    return FactorizationMachine.fit([np.frombuffer(t, np.uint32) for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
 
 
 def _scored(shared):
