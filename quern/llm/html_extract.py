@@ -9,11 +9,11 @@ element around all of them (the body, say), every block between the first and th
 and lists, tables and quotations right after. What HTML itself calls menu,
 header, footer, aside or the like is never content. What only a class names so, and forms, are read in a second go,
 which counts if it gives `MUCH` times the running text; names of remarks, adverts and cookie notes hold unless nothing
-is left without them. A `main` is free of the names around it. Text inside `article` or `main` is preferred
-unless the content without that preference has `MUCH` times the running text outside of it.
+is left without them. A `main` is free of the names around it. Of a page with `article` or `main` that part is kept, without the links before and
+after the content that the ratios find in it, unless the content outside of it has `MUCH` times its running text.
 
 Nulls and odd cases: a null or empty page, or one without text, gives the empty text; unclosed and misplaced
-tags are closed where HTML closes them; equal pages give equal texts; repeated rows stay; an empty table gives an
+tags are closed where HTML closes them; time and memory grow with the page's length, however deep it nests; equal pages give equal texts; repeated rows stay; an empty table gives an
 empty result; extra columns are left out.
 """
 
@@ -78,13 +78,46 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
+class _Page:
+    """A page's elements as they open: parent, tag, path, and the last element inside each; its blocks of text.
+
+    Elements are numbered in page order, so an element holds just those from its own number to `last`. A path is known by a
+    number: of its parent's path and its own label. So whatever the nesting, each element and block takes the same room.
+    """
+
+    def __init__(self):
+        self.parent, self.tag, self.path, self.last = [-1], [""], [0], [0]
+        self.wrapper, self.inside = [0], [False]  # the innermost element that may hold content; whether in article or main
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[_Block] = []
+
+    def open(self, parent: int, tag: str, label: str) -> int:
+        n = len(self.parent)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[parent], label), len(self.paths) + 1))
+        self.last.append(n)
+        self.wrapper.append(n if tag in WRAPPERS else self.wrapper[parent])
+        self.inside.append(self.inside[parent] or tag in ("article", "main"))
+        return n
+
+    def holds(self, element: int, other: int) -> bool:
+        return element <= other <= self.last[element]
+
+    def child(self, element: int, other: int) -> int:
+        """The child of an element that an element inside of it is in."""
+        while self.parent[other] != element:
+            other = self.parent[other]
+        return other
+
+
 class _Block:
-    """A block's path of labels, the numbers of these elements in the page, its text and whether that is mostly links."""
+    """A block's element, path and tag, its text and whether that is mostly links, and why it may be left out."""
 
-    __slots__ = ("path", "at", "text", "inside", "linked", "mark")
+    __slots__ = ("element", "path", "tag", "text", "inside", "linked", "mark")
 
-    def __init__(self, path: tuple[str, ...], at: tuple[int, ...], text: str, inside: bool, linked: bool, mark: int):
-        self.path, self.at, self.text, self.inside, self.linked, self.mark = path, at, text, inside, linked, mark
+    def __init__(self, element: int, path: int, tag: str, text: str, inside: bool, linked: bool, mark: int):
+        self.element, self.path, self.tag, self.text, self.inside, self.linked, self.mark = element, path, tag, text, inside, linked, mark
 
 
 def _named(marks: str, names: frozenset[str]) -> bool:
@@ -93,12 +126,13 @@ def _named(marks: str, names: frozenset[str]) -> bool:
     return any(p and p[0] not in TURNED and not names.isdisjoint(p) for p in parts)
 
 
-def blocks_of(page: str) -> list[_Block]:
-    """The blocks of text in page order with their marks, without the parts that are never content."""
-    stack: list[tuple[str, str, int, int, str]] = []  # tag, label, mark of it or what is around it, its number, why it is marked
-    out: list[_Block] = []
+def read(page: str) -> _Page:
+    """The elements and the blocks of text in page order with their marks, without the parts that are never content."""
+    out = _Page()
+    stack: list[tuple[str, int, int, str]] = []  # tag, mark of it or what is around it, its number, why it is marked
+    opened: Counter[str] = Counter()  # how many of each tag are open
     words: list[str] = []
-    link, in_links, number = False, 0, 0
+    link, in_links = False, 0
 
     def flush() -> None:
         nonlocal in_links
@@ -107,15 +141,27 @@ def blocks_of(page: str) -> list[_Block]:
             text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
             words.clear()
             in_links = 0
-            mark = stack[-1][2] if stack else 0
+            mark, element = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
             if text and mark < NEVER:
-                labels = tuple(s[1] for s in stack)
-                out.append(_Block(labels, tuple(s[3] for s in stack), text, any(s[0] in ("article", "main") for s in stack), linked, mark))
+                out.blocks.append(_Block(element, out.path[element], out.tag[element], text, out.inside[element], linked, mark))
 
     def close(depth: int) -> None:
         flush()
+        for tag, _, element, _ in stack[depth:]:
+            opened[tag] -= 1
+            out.last[element] = len(out.parent) - 1
         del stack[depth:]
 
+    def innermost(tags: tuple[str, ...], kept_by: tuple[str, ...] = ()) -> int:
+        """The place of the innermost open element of these tags, up to one that keeps it open; -1 if none."""
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in tags:
+                    return i
+                if stack[i][0] in kept_by:
+                    break
+        return -1
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
@@ -139,11 +185,8 @@ def blocks_of(page: str) -> list[_Block]:
             if name == "br":
                 words.append(" ")
             elif name in BLOCK:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if depth >= 0:
-                    close(depth)
-                else:
-                    flush()
+                depth = innermost((name,))
+                close(depth if depth >= 0 else len(stack))
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}\s*/?>", re.I).search(page, at)
@@ -165,28 +208,18 @@ def blocks_of(page: str) -> list[_Block]:
                 words.append(" ")
             continue
         if name in CLOSED_BY:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSED_BY[name]:
-                    close(i)
-                    if name != "tr":
-                        break
-                elif stack[i][0] in KEPT_BY[name]:
-                    break
-        elif name in _NO_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "button", "caption", "object", "table"):
-                    break
-        if name == "body" or name == "html" or name not in ("head",):
-            depth = next((i for i, s in enumerate(stack) if s[0] == "head"), -1)
-            if depth >= 0 and name not in ("html", "head"):
+            while (depth := innermost(CLOSED_BY[name], KEPT_BY[name])) >= 0:
                 close(depth)
+                if name != "tr":
+                    break
+        elif name in _NO_P and (depth := innermost(("p",), ("td", "th", "button", "caption", "object", "table"))) >= 0:
+            close(depth)
+        if name not in ("html", "head") and (depth := innermost(("head",))) >= 0:
+            close(depth)
         flush()
         marks = " ".join("".join(x) for x in _ATTRIBUTE.findall(attributes)).lower() if attributes.strip() else ""
         plain = name in ("html", "body", "main")
-        around, why = (stack[-1][2], stack[-1][4]) if stack else (0, "")
+        around, why = (stack[-1][1], stack[-1][3]) if stack else (0, "")
         if around < NEVER and (name == "main" or why == "form" and name == "article"):
             around, why = 0, ""  # a named part or a form around a whole page
         if name == "form" and around < LOOSE:
@@ -196,15 +229,17 @@ def blocks_of(page: str) -> list[_Block]:
         if around < STRICT and not plain and marks and _named(marks, REMARKS if name == "article" else NAMED):
             around, why = STRICT if _named(marks, FIRM) else LOOSE, "named"
         if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-            number += 1
-            stack.append((name, f"{name}.{marks}" if marks and not plain and name != "article" else name, around, number, why))
-    flush()
+            label = f"{name}.{marks}" if marks and not plain and name != "article" else name
+            stack.append((name, around, out.open(stack[-1][2] if stack else 0, name, label), why))
+            opened[name] += 1
+    close(0)
+    out.last[0] = len(out.parent) - 1
     return out
 
 
-def tag_path_ratios(blocks: list[_Block]) -> dict[tuple[str, ...], float]:
+def tag_path_ratios(blocks: list[_Block]) -> dict[int, float]:
     """The fused, smoothed ratio of each path."""
-    totals: dict[tuple[str, ...], list[int]] = {}
+    totals: dict[int, list[int]] = {}
     for b in blocks:
         t = totals.setdefault(b.path, [0, 0, 0])
         t[0] += 1
@@ -213,18 +248,13 @@ def tag_path_ratios(blocks: list[_Block]) -> dict[tuple[str, ...], float]:
     ratios = np.array([(totals[b.path][1] / totals[b.path][0], (totals[b.path][2] + 0.5) / totals[b.path][0]) for b in blocks])
     padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
     smooth = (padded[1:-1] + NEIGHBOUR * (padded[:-2] + padded[2:])) / (1 + 2 * NEIGHBOUR)
-    fused: dict[tuple[str, ...], list[float]] = {}
+    fused: dict[int, list[float]] = {}
     for b, (length, marks) in zip(blocks, smooth.tolist()):
         fused.setdefault(b.path, []).append(length * marks)
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
-def _depth(block: _Block, most: int | None = None) -> int:
-    """How many elements of a block's path, of the first `most`, lead to the innermost one that may hold content."""
-    return next((i for i in range(len(block.path) if most is None else most, 0, -1) if block.path[i - 1].split(".")[0] in WRAPPERS), 0)
-
-
-def content(blocks: list[_Block]) -> list[_Block]:
+def content(page: _Page, blocks: list[_Block]) -> list[_Block]:
     """The blocks of running text and what stands among them."""
     if not blocks:
         return []
@@ -234,29 +264,36 @@ def content(blocks: list[_Block]) -> list[_Block]:
     # The path to compare with counts by its text as well: one long line doesn't outweigh an article of many.
     best = max(fused, key=lambda p: fused[p] * totals[p])
     running = [b for b in blocks if fused[b.path] >= SHARE * fused[best] and not b.linked] or [b for b in blocks if b.path == best]
-    first, most = running[0].at, min(len(b.at) for b in running)
-    shared = next((i for i in range(most) if any(b.at[i] != first[i] for b in running)), most)
-    depth = _depth(running[0], shared)
-    around = first[:depth]
-    parts = {b.at[:d] for b in running for d in [_depth(b)] if d and b.path[d - 1] != "body"}
+    # The smallest element that may hold content around all of them; the page itself if there is none.
+    around, first, last = page.wrapper[running[0].element], min(b.element for b in running), max(b.element for b in running)
+    while around and not (page.holds(around, first) and page.holds(around, last)):
+        around = page.wrapper[page.parent[around]]
+    parts = sorted({w for b in running if (w := page.wrapper[b.element]) and page.tag[w] != "body"})
+    reach = np.maximum.accumulate(np.array([page.last[w] for w in parts] or [-1]))
+    before = np.searchsorted(parts, [b.element for b in blocks], "right") - 1
     sure = {id(b) for b in running}
-    held = [i for i, b in enumerate(blocks) if id(b) in sure or any(b.at[:d] in parts for d in range(1, len(b.at) + 1))]
+    held = [i for i, b in enumerate(blocks) if id(b) in sure or before[i] >= 0 and reach[before[i]] >= b.element]
     start, stop = held[0], held[-1] + 1
-    heading = next((i for i in range(start - 1, -1, -1) if blocks[i].linked or blocks[i].at[:depth] != around or _heading(blocks[i])), -1)
-    while heading >= 0 and blocks[heading].at[:depth] == around and _heading(blocks[heading]):
+    heading = start - 1
+    while heading >= 0 and page.holds(around, blocks[heading].element) and not blocks[heading].linked and not _heading(blocks[heading]):
+        heading -= 1
+    while heading >= 0 and page.holds(around, blocks[heading].element) and _heading(blocks[heading]):
         start, heading = heading, heading - 1
+    child = 0
     for i in range(stop, len(blocks)):
-        b = blocks[i]
-        tag = b.path[depth].split(".")[0] if b.at[:depth] == around and len(b.path) > depth and not b.linked else ""
+        b, tag = blocks[i], ""
+        if not b.linked and page.holds(around, b.element) and b.element != around:
+            child = child if child and page.holds(child, b.element) else page.child(around, b.element)
+            tag = page.tag[child]
         if tag in APPENDED:
             stop = i + 1
         elif tag not in HEADINGS:
             break
-    return [b for b in blocks[start:stop] if b.at[:depth] == around]
+    return [b for b in blocks[start:stop] if page.holds(around, b.element)]
 
 
 def _heading(block: _Block) -> bool:
-    return not block.linked and bool(block.path) and block.path[-1].split(".")[0] in HEADINGS
+    return not block.linked and block.tag in HEADINGS
 
 
 def _running(blocks: list[_Block]) -> int:
@@ -264,29 +301,39 @@ def _running(blocks: list[_Block]) -> int:
     return sum(len(b.text) for b in blocks if not b.linked and _PUNCTUATION.search(b.text))
 
 
-def _preferred(blocks: list[_Block]) -> list[_Block]:
+def _preferred(page: _Page, blocks: list[_Block]) -> list[_Block]:
     """What is inside `article` or `main`, unless the real article stands outside of it."""
     inside = [b for b in blocks if b.inside]
-    if not inside or len(inside) == len(blocks):
-        return inside or content(blocks)
+    if not inside:
+        return content(page, blocks)
     outside = [b for b in blocks if not b.inside]
-    if _running(outside) <= MUCH * _running(inside) or _running(found := content(outside)) <= MUCH * _running(inside):
-        return inside
+    if _running(outside) <= MUCH * _running(inside) or _running(found := content(page, outside)) <= MUCH * _running(inside):
+        return _whole(page, inside)
     sure = {id(b) for b in found}
     first, last = blocks.index(found[0]), blocks.index(found[-1])
     return [b for b in blocks[first : last + 1] if b.inside or id(b) in sure]
 
 
-def main_text(page: str) -> str:
+def _whole(page: _Page, inside: list[_Block]) -> list[_Block]:
+    """What is inside `article` or `main`, but for links before and after the content that the ratios find.
+
+    The author marked all of it as the article, so short lines at its edges stay.
+    """
+    found = content(page, inside)
+    first, last = inside.index(found[0]), inside.index(found[-1])
+    return [b for i, b in enumerate(inside) if first <= i <= last or not b.linked]
+
+
+def main_text(html_text: str) -> str:
     """The content blocks, joined by an empty line."""
-    blocks = blocks_of(page)
+    page = read(html_text)
     kept: list[_Block] = []
     for mark in (0, LOOSE, STRICT):
-        if any(b.mark == mark for b in blocks):
-            now, before = [b for b in blocks if b.mark <= mark], _running(kept)
+        if any(b.mark == mark for b in page.blocks):
+            now, before = [b for b in page.blocks if b.mark <= mark], _running(kept)
             # Firm names hold as long as there is running text, or an article of a few words, without them.
             if not kept or (mark == LOOSE or not before and not any(b.inside for b in kept)) and _running(now) > MUCH * before:
-                found = _preferred(now)
+                found = _preferred(page, now)
                 kept = found if not kept or _running(found) > MUCH * before else kept
     return "\n\n".join(b.text for b in kept)
 

@@ -1,3 +1,8 @@
+import re
+import time
+
+import pytest
+
 from quern.llm import html_extract, url_filter
 
 RULES = url_filter.RULES
@@ -135,3 +140,59 @@ def test_articles_of_the_pages(spark):
         first = inner.split("<h1>")[1].split("</h1>")[0].replace("&amp;", "&")
         got = html_extract.main_text(r["html"])
         assert got.startswith(first.strip()) and "&copy;" not in got and "©" not in got
+
+
+def stripped(page):
+    """A page without the names and tags that tell its parts: only nesting, text and links are left."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main|form)\b", r"<\1div", page))
+
+
+def test_ratios_decide_where_tags_and_names_tell_nothing(spark, monkeypatch):
+    pages = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [html_extract.main_text(p).split("\n\n") for p in pages]
+    got = [html_extract.main_text(stripped(p)).split("\n\n") for p in pages]
+    menus = [re.findall(r"<li><a[^>]*>([^<]*)</a>", p) for p in pages]
+    # All of the article, at most the line before and the one after it besides, and nothing of the menu.
+    assert all(set(w) <= set(g) and len(g) <= len(w) + 2 for w, g in zip(want, got))
+    assert sum(w == g for w, g in zip(want, got)) > 0.1 * len(pages)
+    assert not any(set(m) & set(g) - set(w) for m, g, w in zip(menus, got, want))
+    # Without ratios no page comes out the same, and menus come in.
+    monkeypatch.setattr(html_extract, "tag_path_ratios", lambda blocks: {b.path: 1.0 for b in blocks})
+    off = [html_extract.main_text(stripped(p)).split("\n\n") for p in pages]
+    assert not any(w == o for w, o in zip(want, off)) and sum(o != g for o, g in zip(off, got)) > 0.9 * len(pages)
+
+
+def test_ratios_trim_the_links_of_an_article():
+    text = "Running text, with some marks; it goes on and on, at length. And on, as it does, to its end."
+    links = "".join(f"<div><a href=x>Another story {i}</a></div>" for i in range(3))
+    page = f"<article>{links}<h1>Head</h1><p>{text}</p><p><a href=y>A link among it</a></p><p>{text}</p><div>Short end</div>{links}</article>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", text, "A link among it", text, "Short end"]
+
+
+def test_path_ratios_like_brute_force():
+    page = html_extract.read("<body><ul><li><a>One</a><li><a>Two</a></ul><div><p>First, one.</p><p>Second; two, three!</p></div><div class=x><p>Third.</p></div><p>Last, and least.</p></body>")
+    texts = [("ul", "One"), ("ul", "Two"), ("p", "First, one."), ("p", "Second; two, three!"), ("x", "Third."), ("body", "Last, and least.")]
+    assert [b.text for b in page.blocks] == [t for _, t in texts]
+    own = {}
+    for path, t in texts:
+        own.setdefault(path, []).append(t)
+    ratio = {p: (sum(map(len, ts)) / len(ts), (sum(c in ".,;!" for t in ts for c in t) + 0.5) / len(ts)) for p, ts in own.items()}
+    line = [ratio[p] for p, _ in texts]
+    smooth = []
+    for i in range(len(line)):
+        before, after = line[max(i - 1, 0)], line[min(i + 1, len(line) - 1)]
+        smooth.append([(x + 0.5 * (a + b)) / 2 for x, a, b in zip(line[i], before, after)])
+    want = {}
+    for (path, _), (length, marks) in zip(texts, smooth):
+        want.setdefault(path, []).append(length * marks)
+    got = html_extract.tag_path_ratios(page.blocks)
+    assert len(got) == 4
+    for (path, _), b in zip(texts, page.blocks):
+        assert abs(got[b.path] - sum(want[path]) / len(want[path])) < 1e-9
+
+
+@pytest.mark.parametrize("page", ["<div>some text, it is. " * 100_000, "<p><b><i>x</q></div></article>" * 50_000, "<li><div>" * 60_000 + "End.", "<" * 200_000, "<a href='" * 50_000])
+def test_deep_and_broken_pages_take_time_in_proportion(page):
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 60
