@@ -10,7 +10,7 @@ and lists, tables and quotations right after. What HTML itself calls menu,
 header, footer, aside or the like is never content. What only a class names so, and forms, are read in a second go,
 which counts if it gives `MUCH` times the running text; names of remarks, adverts and cookie notes hold unless nothing
 is left without them. A `main` is free of the names around it. Of a page with `article` or `main` that part is kept, without the links before and
-after the content that the ratios find in it, unless the content outside of it has `MUCH` times its running text.
+after the running text that the ratios find in it, unless the content outside of it has `MUCH` times its running text.
 
 Nulls and odd cases: a null or empty page, or one without text, gives the empty text; unclosed and misplaced
 tags are closed where HTML closes them; time and memory grow with the page's length, however deep it nests; equal pages give equal texts; repeated rows stay; an empty table gives an
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import by_bytes, keyed, named, utf8
 
 #: Share of the best path's fused ratio that makes a path content by itself; weight of the neighbours when smoothing.
-SHARE, NEIGHBOUR = 0.15, 0.5
+SHARE, NEIGHBOUR = 0.2, 0.5
 #: How many times the running text outweighs a name or an `article`.
 MUCH = 4
 # Fixed values of the format: void elements, raw-text elements, elements that break a line.
@@ -162,8 +162,12 @@ def read(page: str) -> _Page:
                     break
         return -1
 
-    at, end = 0, len(page)
+    at, end, closed = 0, len(page), page.rfind(">")
     while at < end:
+        if at > closed and page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?"):
+            words.append("<")  # no tag can end any more
+            at += 1
+            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         token = m.group()
@@ -254,24 +258,29 @@ def tag_path_ratios(blocks: list[_Block]) -> dict[int, float]:
     return {p: sum(v) / len(v) for p, v in fused.items()}
 
 
-def content(page: _Page, blocks: list[_Block]) -> list[_Block]:
-    """The blocks of running text and what stands among them."""
-    if not blocks:
-        return []
+def running(blocks: list[_Block]) -> list[_Block]:
+    """The blocks whose paths stand out by their ratios."""
     fused, totals = tag_path_ratios(blocks), Counter()
     for b in blocks:
         totals[b.path] += 0 if b.linked else len(b.text)
     # The path to compare with counts by its text as well: one long line doesn't outweigh an article of many.
     best = max(fused, key=lambda p: fused[p] * totals[p])
-    running = [b for b in blocks if fused[b.path] >= SHARE * fused[best] and not b.linked] or [b for b in blocks if b.path == best]
+    return [b for b in blocks if fused[b.path] >= SHARE * fused[best] and not b.linked] or [b for b in blocks if b.path == best]
+
+
+def content(page: _Page, blocks: list[_Block]) -> list[_Block]:
+    """The blocks of running text and what stands among them."""
+    if not blocks:
+        return []
+    seeds = running(blocks)
     # The smallest element that may hold content around all of them; the page itself if there is none.
-    around, first, last = page.wrapper[running[0].element], min(b.element for b in running), max(b.element for b in running)
+    around, first, last = page.wrapper[seeds[0].element], min(b.element for b in seeds), max(b.element for b in seeds)
     while around and not (page.holds(around, first) and page.holds(around, last)):
         around = page.wrapper[page.parent[around]]
-    parts = sorted({w for b in running if (w := page.wrapper[b.element]) and page.tag[w] != "body"})
+    parts = sorted({w for b in seeds if (w := page.wrapper[b.element]) and page.tag[w] != "body"})
     reach = np.maximum.accumulate(np.array([page.last[w] for w in parts] or [-1]))
     before = np.searchsorted(parts, [b.element for b in blocks], "right") - 1
-    sure = {id(b) for b in running}
+    sure = {id(b) for b in seeds}
     held = [i for i, b in enumerate(blocks) if id(b) in sure or before[i] >= 0 and reach[before[i]] >= b.element]
     start, stop = held[0], held[-1] + 1
     heading = start - 1
@@ -308,19 +317,19 @@ def _preferred(page: _Page, blocks: list[_Block]) -> list[_Block]:
         return content(page, blocks)
     outside = [b for b in blocks if not b.inside]
     if _running(outside) <= MUCH * _running(inside) or _running(found := content(page, outside)) <= MUCH * _running(inside):
-        return _whole(page, inside)
+        return _whole(inside)
     sure = {id(b) for b in found}
     first, last = blocks.index(found[0]), blocks.index(found[-1])
     return [b for b in blocks[first : last + 1] if b.inside or id(b) in sure]
 
 
-def _whole(page: _Page, inside: list[_Block]) -> list[_Block]:
+def _whole(inside: list[_Block]) -> list[_Block]:
     """What is inside `article` or `main`, but for links before and after the content that the ratios find.
 
     The author marked all of it as the article, so short lines at its edges stay.
     """
-    found = content(page, inside)
-    first, last = inside.index(found[0]), inside.index(found[-1])
+    seeds = running(inside)
+    first, last = inside.index(seeds[0]), inside.index(seeds[-1])
     return [b for i, b in enumerate(inside) if first <= i <= last or not b.linked]
 
 

@@ -154,12 +154,12 @@ def test_ratios_decide_where_tags_and_names_tell_nothing(spark, monkeypatch):
     menus = [re.findall(r"<li><a[^>]*>([^<]*)</a>", p) for p in pages]
     # All of the article, at most the line before and the one after it besides, and nothing of the menu.
     assert all(set(w) <= set(g) and len(g) <= len(w) + 2 for w, g in zip(want, got))
-    assert sum(w == g for w, g in zip(want, got)) > 0.1 * len(pages)
+    assert sum(w == g for w, g in zip(want, got)) > 0.3 * len(pages)
     assert not any(set(m) & set(g) - set(w) for m, g, w in zip(menus, got, want))
-    # Without ratios no page comes out the same, and menus come in.
+    # Without ratios no page comes out as the article alone.
     monkeypatch.setattr(html_extract, "tag_path_ratios", lambda blocks: {b.path: 1.0 for b in blocks})
     off = [html_extract.main_text(stripped(p)).split("\n\n") for p in pages]
-    assert not any(w == o for w, o in zip(want, off)) and sum(o != g for o, g in zip(off, got)) > 0.9 * len(pages)
+    assert not any(w == o for w, o in zip(want, off)) and sum(o != g for o, g in zip(off, got)) > 0.3 * len(pages)
 
 
 def test_ratios_trim_the_links_of_an_article():
