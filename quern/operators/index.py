@@ -122,13 +122,13 @@ class Index:
         return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
 
     def _remove(self, parts: list[str]) -> None:
-        """Removes folders of buckets, and those around them that are then empty."""
+        """Removes folders of buckets, and refreshes' folders that then have none."""
         for part in parts:
-            path = self._path(f"{self.root}/{part}")
-            self._fs.delete(path, True)
-            for around in (path.getParent(), path.getParent().getParent()):
-                if self._fs.exists(around) and not any(f.isDirectory() for f in self._fs.listStatus(around)):
-                    self._fs.delete(around, True)
+            self._fs.delete(self._path(f"{self.root}/{part}"), True)
+        for top in {p.split("/")[0] for p in parts}:
+            path = self._path(f"{self.root}/{top}")
+            if self._fs.exists(path) and not any(b.isDirectory() for t in self._fs.listStatus(path) if t.isDirectory() for b in self._fs.listStatus(t.getPath())):
+                self._fs.delete(path, True)
 
     def vacuum(self) -> None:
         """Removes all that neither the tables nor their last readers use. Not to be run beside a refresh."""

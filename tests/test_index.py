@@ -47,6 +47,78 @@ def test_other_layouts_are_dropped(spark, tmp_path):
     assert Index(spark, str(tmp_path / "i")).tables()["files"].count() == 0
 
 
+def folders(path, prefix):
+    return sorted(x for x in os.listdir(path) if x.startswith(prefix))
+
+
+def test_refreshes_leave_no_folders(spark, tmp_path):
+    root = tmp_path / "i"
+    index = Index(spark, str(root), 2)
+    for i in range(4):
+        index.refresh(frame(spark, ("/a.py", f"x = {i}\n"), ("/b.py", "def b(): pass\n")))
+        index.refresh(frame(spark, ("/a.py", f"x = {i}\n")))
+    assert not folders(root, "staged-") and len(folders(root, "part-")) <= 3
+    before = content(index)
+    (root / "staged-lost").mkdir()
+    (root / "part-lost" / "files" / "bucket=0").mkdir(parents=True)
+    index.vacuum()
+    assert content(index) == before and not folders(root, "staged-") and "part-lost" not in folders(root, "part-")
+
+
+def test_a_reader_of_the_tables_before_can_finish(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), 2)
+    index.refresh(frame(spark, ("/a.py", "def a(): pass\n")))
+    held = index.tables()["functions"]
+    index.refresh(frame(spark, ("/a.py", "def b(): pass\n")))
+    assert [r["name"] for r in held.collect()] == ["a"] and [r["name"] for r in index.tables()["functions"].collect()] == ["b"]
+
+
+def test_one_file_opens_one_bucket(spark, tmp_path, monkeypatch):
+    index = Index(spark, str(tmp_path / "i"), 16)
+    index.refresh(frame(spark, *[(f"/{i}.py", f"x = {i}\n") for i in range(60)]))
+    opened = []
+    kept = Index._bucketed
+    monkeypatch.setattr(Index, "_bucketed", lambda self, m, t, b: opened.append((t, tuple(b))) or kept(self, m, t, b))
+    index.refresh(frame(spark, ("/7.py", "x = 8\n")))
+    assert len({b for _, b in opened}) == 1 and all(len(b) == 1 for _, b in opened)
+    assert index.tables()["files"].count() == 60
+
+
+def test_one_path_several_times(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "i"), 2)
+    same = "def a(): pass\n"
+    got = index.refresh(frame(spark, ("/a.py", same), ("/a.py", same), ("/b.py", "x = 1\n"), ("/b.py", "x = 2\n"))).collect()
+    rows = {r["file_path"]: r for r in got}
+    assert len(got) == 2 and rows["/a.py"]["changed"] and rows["/a.py"]["error"] is None
+    assert not rows["/b.py"]["changed"] and rows["/b.py"]["error"]["msg"] == "several texts for one path"
+    assert [r["file_path"] for r in index.tables()["files"].collect()] == ["/a.py"] and index.tables()["functions"].count() == 1
+
+
+def test_another_python_leaves_an_index_alone(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "i")
+    own = Index(spark, root, 2)
+    own.refresh(frame(spark, ("/a.py", "x = 1\n")))
+    monkeypatch.setattr(Index, "_python", staticmethod(lambda: "9.9"))
+    other = Index(spark, root, 2)
+    assert other.tables()["files"].count() == 0
+    other.refresh(frame(spark, ("/b.py", "x = 1\n")))
+    assert [r[0] for r in Index(spark, root).tables()["files"].select("file_path").collect()] == ["/b.py"]
+    monkeypatch.undo()
+    assert [r[0] for r in Index(spark, root).tables()["files"].select("file_path").collect()] == ["/a.py"]
+
+
+def test_bulk_edits_reach_the_disk_and_the_index(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"m{i}.py").write_text(f"def f{i}():\n    return {i}\n")
+    w = Workspace(spark, str(tmp_path / "i"), approve=lambda path, text: not path.endswith("m3.py"))
+    rows = [(str(tmp_path / f"m{i}.py"), "add_function", json.dumps({"new_code": f"def g{i}(): pass"})) for i in range(4)]
+    rows += [(str(tmp_path / "m4.py"), "delete_definition", '{"name": "none"}'), (str(tmp_path / "none.py"), "add_imports", '{"imports": "import a"}')]
+    got = {os.path.basename(r["file_path"]): r for r in w.bulk_edit(spark.createDataFrame(rows, "file_path string, operation string, arguments string")).collect()}
+    assert [got[f"m{i}.py"]["status"] for i in range(5)] == ["changed"] * 3 + ["refused"] * 2 and got["none.py"]["status"] == "refused"
+    assert "not approved" in got["m3.py"]["message"] and "def g2" in (tmp_path / "m2.py").read_text() and "def g3" not in (tmp_path / "m3.py").read_text()
+    assert sorted(r["name"] for r in w.index.tables()["functions"].collect()) == ["f0", "f1", "f2", "g0", "g1", "g2"]
+
+
 def test_tables_have_their_columns(spark):
     for name, df in tables_from(frame(spark, ("/a.py", "x = 1"))).items():
         assert df.columns == [c.split(" ")[0] for c in TABLES[name].split(", ")]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import queries as Q
 from quern.operators.index import tables_from
@@ -73,3 +74,33 @@ def test_functions_in_sql(spark):
     row = spark.sql("""SELECT parse_module('def f(): pass').functions[0].name AS name, count_tokens('abcd') AS tokens,
         apply_edit('x = 1\\n', 'replace_text', '{"old_text": "1", "new_text": "2"}', 'm.py').new_text AS text""").first()
     assert (row["name"], row["tokens"], row["text"]) == ("f", 2, "x = 2\n")
+
+
+def test_nth_definition(spark):
+    text = "def a(): pass\n\n\ndef b(): pass\n\n\ndef a(): return 2\n\n\nclass b: pass\n"
+    t = tables_from(spark.createDataFrame([("/m.py", text), ("/n.py", "def a(): pass\n")], "file_path string, text string"))
+    asked = [("/m.py", "a", 1), ("/m.py", "a", 2), ("/m.py", "a", 3), ("/m.py", "a", None), ("/m.py", "c", None), ("/n.py", "a", None), ("/n.py", "a", 0)]
+    rows = Q.nth(t["functions"], spark.createDataFrame(asked, "file_path string, name string, occurrence int")).collect()
+    got = {(r["file_path"], r["name"], r["occurrence"]): (r["status"], r["definition"] and r["definition"]["start_line"]) for r in rows}
+    assert got == dict(zip(asked, [("found", 1), ("found", 7), ("beyond", None), ("ambiguous", None), ("missing", None), ("found", 1), ("beyond", None)]))
+    both = Q.occurrences(Q.union_of_definitions(t)).where("file_path = '/m.py' and name = 'b'").collect()
+    assert sorted((r["kind"], r["occurrence"], r["times"]) for r in both) == [("class", 2, 2), ("function", 1, 2)]
+
+
+@pytest.mark.parametrize("query", ["imports_markdown", "top_level_markdown", "classes_markdown", "functions_markdown", "class_methods_markdown", "expand_function", "expand_class", "expand_method"])
+def test_reads_parse_once(spark, query):
+    from quern.plans import registry
+
+    plan = registry.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan  # parsed before, into what the tables share
+
+
+def test_count_tokens_with_and_without_a_tokenizer(spark):
+    import public_tokenizers
+
+    from quern.functions.tokens import count_tokens
+
+    df = spark.createDataFrame([("hello world, hello",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(count_tokens(F.col("t"))).collect()] == [5, None, 1]
+    assert [r[0] for r in df.select(count_tokens(F.col("t"), "no such encoding")).collect()] == [5, None, 1]
+    assert [r[0] for r in df.select(count_tokens(F.col("t"), public_tokenizers.path("byte_bpe_50k.json"))).collect()] == [4, None, 0]
