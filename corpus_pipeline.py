@@ -7,12 +7,12 @@ again for the next, so a lost executor costs one stage at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import jaccard_join, packing, quality_rules, toxicity
+from quern.operators.staging import shared_folder
 
 #: Near copies: word n-grams of this length, with this similarity in percent or more.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -47,8 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-pipeline-")
-    folder = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
