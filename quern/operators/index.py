@@ -23,6 +23,8 @@ from ..schemas import CHILD_TABLES, SCHEMA_VERSION, TABLES, schema_of
 from .staging import durable
 
 BUCKETS = 64
+#: Files of a bucket that one task writes.
+FILES_A_TASK = 20_000
 
 
 def bucket_of(path: str, buckets: int) -> int:
@@ -166,17 +168,19 @@ class Index:
         if not paths.where("times > 1").isEmpty():
             rows = rows.dropDuplicates(["file_path"])
         good = rows.where("p.ok").select("file_path")
-        touched = [r[0] for r in good.select(_bucket(F.col("file_path"), buckets)).distinct().collect()]  # at most `buckets`
+        sizes = {r[0]: r[1] for r in good.groupBy(_bucket(F.col("file_path"), buckets)).count().collect()}  # at most `buckets`
+        touched = [*sizes]
         if touched:
             new, retired = fan_out(rows), []
+            # A large bucket is written by several tasks, a file's rows by one.
+            part = F.pmod(F.xxhash64("file_path"), F.lit(-(-max(sizes.values()) // FILES_A_TASK)))
             for table in TABLES:
                 parts = manifest["parts"][table]
                 kept = self._bucketed(manifest, table, touched).join(good, "file_path", "left_anti")
                 whole = kept.unionByName(new[table]).withColumn("bucket", _bucket(F.col("file_path"), buckets))
                 folder = f"part-{name}/{table}"
                 order = ["bucket", "file_path"] + (["start_line", "ord"] if table != "files" else [])
-                # By file, so that a large bucket is written by several tasks.
-                whole.repartition("bucket", "file_path").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+                whole.repartition("bucket", part).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
                 for b in touched:
                     if old := parts.pop(str(b), None):
                         retired.append(old)
