@@ -41,12 +41,14 @@ def _widths(count: int, least: int) -> np.ndarray:
 
 
 _STEP = 4096
-_TABLES: dict[int, np.ndarray] = {}
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _bit_starts(least: int) -> np.ndarray:
+def _bit_starts(least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code begins after a clear code, and its width."""
     if least not in _TABLES:
-        _TABLES[least] = np.concatenate(([0], np.cumsum(_widths(_STEP, least))))
+        widths = _widths(_STEP, least)
+        _TABLES[least] = np.concatenate(([0], np.cumsum(widths))), widths
     return _TABLES[least]
 
 
@@ -85,7 +87,7 @@ def lzw_encode(samples: bytes) -> bytes:
 def lzw_decode(data: bytes, least: int, wanted: int) -> bytes:
     """The samples of a code stream whose smallest code size is `least`."""
     clear, bits = 1 << least, np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    starts, widths, total = _bit_starts(least), _widths(_STEP, least), 8 * len(data)
+    (starts, widths), total = _bit_starts(least), 8 * len(data)
     base, out, made, at, done = [*_SINGLE[:clear], b"", b""], [], 0, 0, False
     while not done and made < wanted:
         table, previous, first, emit = list(base), None, True, out.append
@@ -224,11 +226,14 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
         before = (canvas.copy(), drawn.copy()) if disposal == 3 else None
         here = slice(top, top + h), slice(left, left + w)
         part, solid = canvas[here], drawn[here]
-        shows = np.ones((h, w), bool) if clear is None else indexes != clear
-        part[shows], solid[shows] = colours[indexes[shows]], True
+        if clear is None:
+            part[...], solid[...] = colours[indexes], True
+        else:
+            shows = indexes != clear
+            part[shows], solid[shows] = colours[indexes[shows]], True
         shown = part.copy()
         grey = bool((shown[..., 0] == shown[..., 1]).all() and (shown[..., 1] == shown[..., 2]).all())
-        bins = [np.bincount(shown[..., c].ravel() >> 5, minlength=8).tolist() for c in range(3)]
+        bins = [np.bincount(shown[..., c].ravel() >> 5, minlength=8).tolist() for c in range(1 if grey else 3)] * (3 if grey else 1)
         alpha = None if solid.all() else np.where(solid, np.uint8(255), np.uint8(0)).tobytes()
         frames.append({"index": len(frames), "delay_ms": delay, "disposal": disposal, "left": left, "top": top, "width": w, "height": h, "transparent": clear, "mode": "L" if grey else "RGB", "pixels": (shown[..., 0] if grey else shown).tobytes(), "alpha": alpha, "red": bins[0], "green": bins[1], "blue": bins[2]})
         if disposal == 2:
