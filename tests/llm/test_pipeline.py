@@ -24,5 +24,20 @@ def test_stages_against_brute_force(spark, documents):
     assert {r["doc_id"] for r in out} == single
 
 
+def test_odd_rows_and_an_empty_table_through_all_stages(spark, odd, none, tmp_path):
+    for k, docs in enumerate((odd, none)):
+        rows = docs
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            out = stage(spark, rows, DATA)
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes  # extra columns of any name come through
+            out.write.parquet(f"{tmp_path}/{k}-{i}")
+            rows = spark.read.parquet(f"{tmp_path}/{k}-{i}")
+        left = sorted(((r["doc_id"], (r["text"] or "")[:8]) for r in rows.collect()), key=str)
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, DATA).collect()
+        # Of the copies of the first text the one with the least id stays, once; short and empty texts went with the rules.
+        assert left == ([(1, "a b c d "), (5, "w0x0 w1x"), (8, "another "), (8, "▁ odd <|"), (None, "null id ")] if k == 0 else [])
+        assert {r["doc_id"] for r in packed} == {i for i, _ in left}
+
+
 def test_query_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
