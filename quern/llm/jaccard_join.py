@@ -36,7 +36,7 @@ from .components import components
 from .counts import answer, distinct, hash_bits, looked_up
 
 #: Bytes of text of a block, and rows that a text must have as a share of all (one in `HOT`) to be sent on for one id only.
-BLOCK_BYTES, HOT = 12 << 20, 1000
+BLOCK_BYTES, HOT = 6 << 20, 1000
 #: Digests that a task remembers to send each text on once.
 REMEMBERED = 1 << 18
 #: Groups of hashes whose counts bound the distance of two sets (the suffix filter): so many that even sets of
@@ -143,9 +143,11 @@ def _prefixed(n: int, percent: int, bits: int):
         if not table.num_rows:
             return _FIELDS.empty_table()
         classes, grams = _block(table, n)
+        del table
         flat = np.concatenate(grams)
-        _, _, at = distinct(flat >> np.uint64(64 - bits), bits=bits)
+        at = distinct(flat >> np.uint64(64 - bits), bits=bits)[2]
         keys = ranked(answer(told, 0)[0])[at] << np.uint64(64 - RANK_BITS) | flat >> RANK_BITS
+        del flat, at, told
         first_shared, rows, start = np.uint64(1) << np.uint64(64 - RANK_BITS), [], 0
         for name, own in zip(classes, grams):
             key = unique(np.sort(keys[start : start + len(own)]))
