@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,16 +53,38 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def released() -> None:
+    """Give memory that is free again back to the system; Python workers live on from task to task, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _bounds(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Start and length of slices of at most `limit` bytes, but one row at least."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield start, stop - start
+        start = stop
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], name: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `limit` bytes of column `name`, but one row at least."""
     for batch in batches:
-        sizes = np.array([len(x) for x in utf8(batch.column(name))], np.int64)
-        ends, start = np.cumsum(sizes), 0
-        while start < len(sizes):
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        for start, size in _bounds(batch.column(name), limit):
+            yield batch.slice(start, size)
+    batch = None
+    released()
+
+
+def each_part(texts: pa.Array, values, kind: pa.DataType, limit: int = 8 << 20) -> pa.Array:
+    """`values(texts' bytes)`, a value for each text, called for slices of at most `limit` bytes, but one row at least."""
+    made = [pa.array(values(utf8(texts.slice(start, size))), kind) for start, size in _bounds(texts, limit)]
+    released()
+    return pa.concat_arrays(made) if made else pa.array([], kind)
 
 
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import by_bytes, durable, id_remainder, keyed, named, utf8
+from .common import by_bytes, durable, each_part, id_remainder, keyed, named, utf8
 from .counts import distinct
 
 SAMPLE_ROWS, SAMPLE_BYTES, LEAST_TEXTS = 10_000, 256 << 20, 3
@@ -273,8 +273,12 @@ def not_toxic(docs: DataFrame, model: FactorizationMachine, text: str = "text",
         model = shared.value
         if not memo:
             memo.append(_Terms({int(t): i for i, t in enumerate(model.terms)}))
-        rows = [memo[0].of(x) for x in utf8(texts)]
-        return pa.array(model.scores(np.array([p for r in rows for p in r], np.int64), np.array([len(r) for r in rows], np.int64)), pa.float64())
+
+        def scores(part: list[bytes]) -> np.ndarray:
+            rows = [memo[0].of(x) for x in part]
+            return model.scores(np.array([p for r in rows for p in r], np.int64), np.array([len(r) for r in rows], np.int64))
+
+        return each_part(texts, scores, pa.float64())
 
     return docs.where(score(F.col(f"`{text}`").cast("string")) < threshold)
 

@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from quern.llm import queries, toxicity  # noqa: E402
+from quern.llm import quality_rules, queries, toxicity  # noqa: E402
+from quern.llm.common import each_part  # noqa: E402
 
 from .test_join_and_media import brute_components  # noqa: E402
 from .test_texts import rules  # noqa: E402
@@ -39,5 +41,22 @@ def test_odd_rows_and_an_empty_table_through_all_stages(spark, odd, none, tmp_pa
         assert {r["doc_id"] for r in packed} == {i for i, _ in left}
 
 
+def test_quality_rules_judge_each_text_once_and_by_one_worker_a_task(spark, documents):
+    plan = quality_rules.host_rules(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_long_batches_are_judged_in_parts():
+    texts, met = pa.array(["a" * 10, None, "", "b" * 30, "cd", "ef"]), []
+
+    def values(part):
+        met.append(part)
+        return [len(x) for x in part]
+
+    assert each_part(texts.slice(1), values, pa.int32(), 20).to_pylist() == [0, 0, 30, 2, 2]
+    assert met == [[b"", b""], [b"b" * 30], [b"cd", b"ef"]]
+    assert each_part(texts[:0], values, pa.int32()).to_pylist() == []
+
+
 def test_query_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
